@@ -39,6 +39,16 @@ def words(col: Column) -> Column:
     return F.split(col, f"[^{WORD}]+")
 
 
+def text_array(values: list[str]) -> Column:
+    """A constant array of texts, made in one call."""
+    return F.expr("array(" + ", ".join(sql_text(value) for value in values) + ")")
+
+
+def sql_text(value: str) -> str:
+    """A raw SQL literal for a text without single quotes."""
+    return f"r'{value}'"
+
+
 def contains_any(col: Column, terms: list[str]) -> Column:
     """True if ``col`` contains any of the fixed terms as a substring; stops at the first."""
     return reduce(lambda left, right: left | right, [col.contains(term) for term in terms])

@@ -19,6 +19,7 @@ from guardframe.functions.jsondoc import (
     spaced_json,
     string_leaves,
 )
+from guardframe.functions.text import text_array
 from guardframe.operators.screening import screen
 from guardframe.rules import (
     DELETE_DETAILS,
@@ -143,7 +144,7 @@ def _decide(screened: DataFrame, keep: list[str], op: Column, drop: Column) -> D
         .when(attack, F.col("_text"))
     )
     categories = (
-        F.when(operator | protected, F.array(*[F.lit(name) for name in POLICY_CATEGORIES]))
+        F.when(operator | protected, text_array(POLICY_CATEGORIES))
         .when(attack, verdict["flagged_categories"])
     )
     outcome = (

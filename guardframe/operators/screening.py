@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -17,7 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.functions.text import contains_any, strip_text, whole_word_pattern, words
+from guardframe.functions.text import (
+    contains_any,
+    sql_text,
+    strip_text,
+    text_array,
+    whole_word_pattern,
+    words,
+)
 from guardframe.rules import (
     CATEGORIES,
     DEFAULT_THRESHOLD,
@@ -64,35 +70,38 @@ VOCABULARY = sorted({word for group in TRIGGERS.values() for p in group if (word
 
 def trigger_words(lowered: Column) -> Column:
     """The distinct trigger words of a lowercased text; usually an empty array."""
-    return F.array_intersect(words(lowered), F.array(*[F.lit(word) for word in VOCABULARY]))
+    return F.array_intersect(words(lowered), text_array(VOCABULARY))
 
 
-def _matches(pattern: str, lowered: Column, found: Column) -> Column:
+def _match_sql(pattern: str) -> str:
+    """Whether a trigger is in ``_lowered``, given its trigger words in ``_found``."""
     literal, word = _literal(pattern), _key_word(pattern)
-    if literal == word and _bounded(pattern):
-        return F.array_contains(found, word)
-    hit = lowered.contains(literal)
-    if word:
-        hit = F.array_contains(found, word) & hit
-    if _bounded(pattern):
-        hit = hit & lowered.rlike(whole_word_pattern(literal))
-    elif literal != pattern:
-        hit = hit & lowered.rlike(pattern)
-    return hit
+    tests = [f"array_contains(_found, {sql_text(word)})"] if word else []
+    if literal != word:
+        tests.append(f"contains(_lowered, {sql_text(literal)})")
+        if _bounded(pattern):
+            tests.append(f"rlike(_lowered, {sql_text(whole_word_pattern(literal))})")
+        elif literal != pattern:
+            tests.append(f"rlike(_lowered, {sql_text(pattern)})")
+    return f"int({' AND '.join(tests)})"
+
+
+MATCHES_SQL = "array(" + ", ".join(
+    " + ".join(_match_sql(pattern) for pattern in TRIGGERS[name]) for name in CATEGORIES
+) + ")"
 
 
 def match_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """Add ``matches``: per category, in order, the number of triggers found in the text."""
+    """Add ``matches``: per category, in order, the number of triggers found in the text.
+
+    The found words pass through a one-row ``explode``. A filter on the verdict would otherwise be
+    pushed below the projections, with the text split again for every trigger; filters on other
+    columns still reach the scan.
+    """
     keep = [c for c in df.columns if c != "matches"]
     lowered = df.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lowered"))
-    found = lowered.select("*", trigger_words(F.col("_lowered")).alias("_found"))
-    counts = [
-        reduce(lambda a, b: a + b, [
-            _matches(p, F.col("_lowered"), F.col("_found")).cast("int") for p in TRIGGERS[name]
-        ])
-        for name in CATEGORIES
-    ]
-    return found.select(*keep, F.array(*counts).alias("matches"))
+    found = F.explode_outer(F.array(trigger_words(F.col("_lowered")))).alias("_found")
+    return lowered.select("*", found).select(*keep, F.expr(MATCHES_SQL).alias("matches"))
 
 
 def score(matches: Column) -> Column:
@@ -109,7 +118,7 @@ def keyword_scores(matches: Column, empty: Column) -> Column:
 
 
 def category_array() -> Column:
-    return F.array(*[F.lit(name) for name in CATEGORIES])
+    return text_array(CATEGORIES)
 
 
 def flags(scores: Column, threshold: Column) -> Column:
@@ -164,8 +173,8 @@ def _verdict(scored: DataFrame, keep: list[str], output: str) -> DataFrame:
     )
 
 
-def override_scores(text: Column, scores: Column) -> Column:
-    """Set the fixed scores of the override in a ``map<string,double>`` of scores.
+def override_scores(df: DataFrame, text_col: str, scores_col: str) -> DataFrame:
+    """Set the fixed scores of the override in a ``map<string,double>`` column of scores.
 
     Applies where the lowercased text contains any of the weapons terms, inside words too.
     """
@@ -174,8 +183,10 @@ def override_scores(text: Column, scores: Column) -> Column:
             value = F.when(name == category, fixed).otherwise(value)
         return value
 
-    hit = contains_any(F.lower(text), OVERRIDE_TERMS)
-    return F.when(hit, F.transform_values(scores, replaced)).otherwise(scores)
+    lowered = df.select("*", F.lower(F.col(text_col)).alias("_lowered"))
+    hit = contains_any(F.col("_lowered"), OVERRIDE_TERMS)
+    fixed = F.when(hit, F.transform_values(scores_col, replaced)).otherwise(F.col(scores_col))
+    return lowered.withColumn(scores_col, fixed).select(*df.columns)
 
 
 def sigmoid(x: Column) -> Column:
@@ -240,11 +251,12 @@ def score_with_model(
         else F.get(F.col("_probabilities"), F.lit(i))
         for i, name in enumerate(CATEGORIES)
     ])
-    weapons = contains_any(F.lower(F.col("_text")), OVERRIDE_TERMS)
+    weapons = contains_any(F.col("_lower_text"), OVERRIDE_TERMS)
     chosen = (
         counted
         .select(
             "*",
+            F.lower("_text").alias("_lower_text"),
             F.when(empty, ENGINE_EMPTY).when(failed, ENGINE_KEYWORDS).otherwise(engine).alias("_engine"),
             probabilities.alias("_probabilities"),
         )
@@ -260,8 +272,9 @@ def score_with_model(
 
 def scores_long(df: DataFrame, keys: list[str], screen_col: str = "screen") -> DataFrame:
     """One row per key, category and score."""
+    # never empty; a plain explode would add a filter that works the map out a second time
     return df.select(
-        *keys, F.explode(F.col(screen_col)["probabilities"]).alias("category", "score")
+        *keys, F.explode_outer(F.col(screen_col)["probabilities"]).alias("category", "score")
     )
 
 

@@ -97,18 +97,22 @@ _BLANKS = "e' \\t\\n\\r' || chr(31) || chr(12288)"
 
 def _trigger(pattern: str, x: str) -> str:
     inner = pattern.replace(r"\b", "")
-    if inner != pattern:
-        inner = rf"(^|[^\pL\pN_]){inner}($|[^\pL\pN_])"
-    return f"CAST(regexp_matches({x}, '{inner}') AS INT)"
+    if inner == pattern:
+        return f"CAST(regexp_matches({x}, '{inner}') AS INT)"
+    border = rf"(^|[^\pL\pN_]){inner}($|[^\pL\pN_])"
+    return f"CASE WHEN contains({x}, '{inner}') AND regexp_matches({x}, '{border}') THEN 1 ELSE 0 END"
 
 
 def _counts(source: str, keys: str, x: str = "text") -> str:
     """Select the twelve counts of a source table as c0 to c11."""
     cols = ", ".join(
-        " + ".join(_trigger(p, f"lower({x})") for p in TRIGGERS[name]) + f" AS c{i}"
+        " + ".join(_trigger(p, "low") for p in TRIGGERS[name]) + f" AS c{i}"
         for i, name in enumerate(CATEGORIES)
     )
-    return f"SELECT {keys}, trim({x}, {_BLANKS}) = '' AS is_empty, {cols} FROM {source}"
+    return (
+        f"SELECT * EXCLUDE (low), {cols} FROM (SELECT {keys}, trim({x}, {_BLANKS}) = '' AS is_empty,"
+        f" lower({x}) AS low FROM {source})"
+    )
 
 
 def _score(i: int) -> str:
@@ -129,7 +133,7 @@ def _flags(threshold: str) -> str:
 _MAX = "greatest(" + ", ".join(f"s{i}" for i in N) + ")"
 _ENGINE = "CASE WHEN is_empty THEN 'empty_input' ELSE 'fallback' END"
 _SCORED = (
-    f"{_SCREEN_INPUT}, counted AS ({_counts('texts', 'doc_id, text')}),"
+    f"{_SCREEN_INPUT}, counted AS MATERIALIZED ({_counts('texts', 'doc_id, text')}),"
     f" scored AS ({_scores('counted', 'doc_id, text')})"
 )
 
@@ -154,7 +158,7 @@ def _override(fallback: str, extra: str = "") -> str:
 
 _MODEL = (
     f"WITH {_SCREEN_INPUT}, stripped AS (SELECT doc_id, trim(text, {_BLANKS}) AS text FROM texts),"
-    f" counted AS ({_counts('stripped', 'doc_id, text')}),"
+    f" counted AS MATERIALIZED ({_counts('stripped', 'doc_id, text')}),"
     f" words AS ({_scores('counted', 'doc_id, text')}),"
     f" model AS (SELECT doc_id, {_override('1 / (1 + exp(-((length(text) * {k}) % 17 - 8) / 4.0))', 'm')} FROM stripped),"
     " scored AS (SELECT doc_id, is_empty, CASE WHEN is_empty THEN 'empty_input'"
@@ -223,7 +227,7 @@ texts AS (SELECT *, CASE WHEN gate IS NULL THEN CASE op WHEN 'read' THEN spaced
   WHEN 'insert' THEN {_LEAVES}
   ELSE 'ACTION: DELETE/DROP | COLLECTION: ' || collection || ' | QUERY: ' || spaced || ' | DROP: '
     || CASE WHEN drop_collection THEN 'True' ELSE 'False' END END END AS text FROM gated),
-counted AS ({_counts('texts', '*', "coalesce(text, '')")}),
+counted AS MATERIALIZED ({_counts('texts', '*', "coalesce(text, '')")}),
 scored AS ({_scores('counted', '* EXCLUDE (is_empty)')}),
 flagged AS (SELECT *, {_flags('threshold')} AS flags FROM scored),
 decided AS (SELECT *, text IS NOT NULL AND flags <> '' AS attack,
@@ -533,7 +537,7 @@ ORACLE_SQL: dict[str, str] = {
     "blocked_total": (
         f"WITH {_AUDIT} SELECT {_REPORTED}, count(*) FILTER (security_alert) AS blocked_requests FROM audited"
     ),
-    "stream_screen": _screen(more=", text"),
+    "stream_screen": _screen(more=f", {_redact('text')} AS text"),
     "stream_audit": f"WITH {_AUDIT} {_VIOLATIONS}",
     "stream_counters": (
         f"WITH {_AUDIT}, marks AS (SELECT 'request' AS kind, 'processed' AS name FROM audited"

@@ -44,7 +44,7 @@ def _flat(df, *keys):
 
 
 def _category_columns(values, name="c"):
-    return [F.get(values, F.lit(i)).alias(f"{name}{i}") for i in range(len(CATEGORIES))]
+    return [values[i].alias(f"{name}{i}") for i in range(len(CATEGORIES))]
 
 
 def screen_empty(spark, sf_dir):
@@ -98,13 +98,11 @@ def score_with_model(spark, sf_dir):
 
 
 def score_override(spark, sf_dir):
-    given = F.map_from_arrays(
-        screening.category_array(),
-        F.array(*[((F.col("doc_id") + i) % 10) / 10.0 for i in range(len(CATEGORIES))]),
-    )
-    scored = _screen_input(spark, sf_dir).select("doc_id", "text", given.alias("given"))
-    fixed = screening.override_scores(F.col("text"), F.col("given"))
-    return scored.select("doc_id", F.map_values(fixed).alias("s")).select(
+    scores = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: ((F.col("doc_id") + i) % 10) / 10.0)
+    given = F.map_from_arrays(screening.category_array(), scores).alias("given")
+    scored = _screen_input(spark, sf_dir).select("doc_id", "text", given)
+    fixed = screening.override_scores(scored, "text", "given")
+    return fixed.select("doc_id", F.map_values("given").alias("s")).select(
         "doc_id", *_category_columns(F.col("s"), "s"))
 
 

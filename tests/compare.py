@@ -13,6 +13,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           " pages benchmark labels conversations").split()
 
 
+TIMES = [0.0, 0.0]
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for name in TABLES:
@@ -35,11 +38,14 @@ def rows(columns, data):
 
 def compare(spark, con, sf_dir, query, sql):
     """None if both sides agree, else a short description of the difference."""
+    start = time.time()
     df = query(spark, sf_dir)
     ours = rows(df.columns, [tuple(r) for r in df.collect()])
+    mid = time.time()
     res = con.execute(sql)
     columns = [c[0] for c in res.description]
     theirs = rows(columns, res.fetchall())
+    TIMES[:] = [mid - start, time.time() - mid]
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     if ours == theirs:
@@ -62,9 +68,8 @@ if __name__ == "__main__":
     names = sys.argv[2:] or list(entry.queries())
     con, sqls = duck(sf_dir), entry.oracle_sql()
     for name in names:
-        start = time.time()
         try:
             result = compare(spark, con, sf_dir, entry.queries()[name], sqls[name])
         except Exception as error:
             result = f"{type(error).__name__}: {str(error)[:600]}"
-        print(f"{name:24s} {time.time() - start:6.2f}s {'ok' if result is None else result[:900]}", flush=True)
+        print(f"{name:24s} spark {TIMES[0]:6.2f}s sql {TIMES[1]:6.2f}s {'ok' if result is None else result[:900]}", flush=True)
