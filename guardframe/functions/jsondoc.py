@@ -1,6 +1,6 @@
 """JSON text of unknown shape: validity, keys, string values and redaction.
 
-Validity is what ``try_parse_json`` accepts. It refuses ``NaN`` and, unless the session sets
+Validity is what ``try_parse_json`` accepts, with nothing behind the value. It refuses ``NaN`` and, unless the session sets
 ``spark.sql.variant.allowDuplicateKeys``, objects that name a key twice; such requests are
 treated as bad JSON, which is the safe side.
 """
@@ -38,17 +38,31 @@ _NO_FILTER = ["{}", "[]", "null", "false", '""']
 _ZERO = r"^-?0(?:\.0+)?(?:[eE][+-]?[0-9]+)?$"
 
 
-def canonical_json(text: Column) -> Column:
-    """Minified JSON with escapes decoded and keys sorted, or null if the text is not JSON."""
-    return F.to_json(F.try_parse_json(text))
+def _as_item(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _as_field(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether the whole text is one JSON value; false for null.
+
+    The parser stops behind the first value, so ``1 x`` would pass. Only a single value fits both
+    an array and an object: what could close or continue the one is an error in the other.
+    """
+    return _as_item(text).isNotNull() & _as_field(text).isNotNull()
+
+
+def canonical_json(text: Column) -> Column:
+    """Minified JSON with escapes decoded and keys sorted, or null if the text is not JSON."""
+    value = F.try_variant_get(_as_item(text), "$[0]", "variant")
+    return F.when(_as_field(text).isNotNull(), F.to_json(value))
 
 
 def is_json_object(text: Column) -> Column:
-    return is_json(text) & F.ltrim(text, F.lit(" \t\n\r")).startswith("{")
+    return is_json(text) & F.coalesce(F.ltrim(text, F.lit(" \t\n\r")).startswith("{"), F.lit(False))
 
 
 def spaced_json(canonical: Column) -> Column:

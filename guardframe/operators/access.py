@@ -26,7 +26,9 @@ def guarded_read(
     rows = df if predicate is None else df.where(predicate)
     if order_by:
         rows = rows.orderBy(*order_by)
-    rows = rows.limit(limit)
+    # the bound leaves one partition; naming it keeps the masks above the bound, which would
+    # otherwise move below it and turn the top-k into a sort of the whole collection
+    rows = rows.limit(limit).coalesce(1)
     if include:
         rows = rows.select(*include)
     if exclude:

@@ -97,8 +97,7 @@ def audit(requests: DataFrame, known: list[str]) -> DataFrame:
         .when(uses_query & F.col("_query").isNull(), "bad_query_json")
         .when(F.col("_operator").isNotNull(), "prohibited_operator")
         .when((op == "read") & bad_json(F.col("projection")), "bad_projection_json")
-        .when((op == "insert") & ~F.coalesce(is_json(F.col("document")), F.lit(False)),
-              "bad_document_json")
+        .when((op == "insert") & ~is_json(F.col("document")), "bad_document_json")
         .when((op == "insert") & ~is_json_object(F.col("document")), "document_not_object")
     )
     gated = policy.select("*", gate.alias("_gate"))
