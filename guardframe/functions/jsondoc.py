@@ -30,7 +30,10 @@ from guardframe.rules import (
 
 # Possessive quantifiers keep Java from recursing once per character on long documents.
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
-_VALUE_OR_KEY = rf"({_STRING})\s*+(:?)"
+_KEY = rf"({_STRING})\s*+:|{_STRING}"
+_VALUE = rf"{_STRING}\s*+:|({_STRING})"
+# a control sign, which JSON strings cannot hold unescaped
+_BETWEEN = "\x01"
 _OUTSIDE_STRINGS = rf'\G((?:[^",:]++|{_STRING})*+)([,:])'
 _OPERATOR_KEY = r'[{,]"(?:' + "|".join(re.escape(op) for op in PROHIBITED_OPERATORS) + r')":'
 # canonical texts that a document store client would treat as "no filter"
@@ -75,31 +78,36 @@ def is_empty_filter(canonical: Column) -> Column:
     return canonical.isin(_NO_FILTER) | canonical.rlike(_ZERO)
 
 
-def _decoded(literals: Column) -> Column:
-    return F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
+def _literals(text: Column, pattern: str) -> Column:
+    # every string is matched whole, the unwanted ones outside the group
+    return F.array_remove(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), "")
 
 
-def _literals(text: Column, keys: bool) -> Column:
-    strings = F.regexp_extract_all(text, F.lit(_VALUE_OR_KEY), F.lit(1))
-    colons = F.regexp_extract_all(text, F.lit(_VALUE_OR_KEY), F.lit(2))
-    wanted = F.filter(F.arrays_zip(strings.alias("s"), colons.alias("c")),
-                      lambda pair: (pair["c"] == ":") if keys else (pair["c"] == ""))
-    return _decoded(F.transform(wanted, lambda pair: pair["s"]))
+def _decoded(literals: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
 
 
 def json_strings(text: Column) -> Column:
     """All string values of a JSON text at any depth, in document order (no keys)."""
-    return _literals(text, keys=False)
+    return _decoded(_literals(text, _VALUE))
 
 
 def json_keys(text: Column) -> Column:
     """All keys of a JSON text at any depth, in document order."""
-    return _literals(text, keys=True)
+    return _decoded(_literals(text, _KEY))
 
 
 def string_leaves(text: Column) -> Column:
-    """String values joined by ``" | "``; the text must be valid JSON."""
-    return F.array_join(json_strings(text), " | ")
+    """String values joined by ``" | "``; the text must be valid JSON.
+
+    Without escapes the literals are their own values, and only their quotes have to go.
+    """
+    joined = F.concat(F.lit(_BETWEEN), F.array_join(_literals(text, _VALUE), _BETWEEN), F.lit(_BETWEEN))
+    plain = F.replace(joined, F.lit(f'"{_BETWEEN}"'), F.lit(" | "))
+    for edge in (f'{_BETWEEN}"', f'"{_BETWEEN}', _BETWEEN):
+        plain = F.replace(plain, F.lit(edge), F.lit(""))
+    escaped = F.array_join(json_strings(text), " | ")
+    return F.when(text.contains("\\"), escaped).otherwise(plain)
 
 
 def prohibited_operator(text: Column, canonical: Column) -> Column:

@@ -1,8 +1,8 @@
 """Text safety screening over a text column.
 
 A trigger is counted once however often it occurs. Matching works on word sets: the text is split
-into words once, intersected with the trigger words, and every single-word trigger is then a
-lookup in that small set. Phrases are searched only in texts that hold their longest word.
+into words once, reduced to the trigger words, and every single-word trigger is then a lookup in
+that small set. Phrases are searched only in texts that hold their longest word.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ VOCABULARY = sorted({word for group in TRIGGERS.values() for p in group if (word
 
 
 def trigger_words(lowered: Column) -> Column:
-    """The distinct trigger words of a lowercased text; usually an empty array."""
-    return F.array_intersect(words(lowered), text_array(VOCABULARY))
+    """The trigger words in a lowercased text; usually an empty array."""
+    return F.filter(words(lowered), lambda word: word.isin(VOCABULARY))
 
 
 def _match_sql(pattern: str) -> str:
@@ -86,9 +86,16 @@ def _match_sql(pattern: str) -> str:
     return f"int({' AND '.join(tests)})"
 
 
-MATCHES_SQL = "array(" + ", ".join(
+# a text without trigger words can only match the triggers that have no whole word
+_ANY_SQL = " OR ".join(["size(_found) > 0"] + [
+    _match_sql(pattern) + " = 1"
+    for name in CATEGORIES for pattern in TRIGGERS[name] if not _key_word(pattern)
+])
+_COUNTS_SQL = ", ".join(
     " + ".join(_match_sql(pattern) for pattern in TRIGGERS[name]) for name in CATEGORIES
-) + ")"
+)
+_ZEROS_SQL = ", ".join("0" for _ in CATEGORIES)
+MATCHES_SQL = f"if({_ANY_SQL}, array({_COUNTS_SQL}), array({_ZEROS_SQL}))"
 
 
 def match_counts(df: DataFrame, text_col: str) -> DataFrame:
