@@ -121,7 +121,8 @@ def score(matches: Column) -> Column:
 
 def keyword_scores(matches: Column, empty: Column) -> Column:
     """Scores in category order; an empty text scores zero everywhere."""
-    return F.transform(matches, lambda n: F.when(empty, 0.0).otherwise(score(n)))
+    zeros = F.array_repeat(F.lit(0.0), len(CATEGORIES))
+    return F.when(empty, zeros).otherwise(F.transform(matches, score))
 
 
 def category_array() -> Column:
@@ -129,9 +130,13 @@ def category_array() -> Column:
 
 
 def flags(scores: Column, threshold: Column) -> Column:
-    """Names of the categories that reach the threshold, in category order."""
+    """Names of the categories that reach the threshold, in category order.
+
+    The scores are zipped, not looked up from inside a lambda, where the optimizer would work them
+    out again for every category.
+    """
     pairs = F.arrays_zip(category_array().alias("category"), scores.alias("score"))
-    return F.transform(F.filter(pairs, lambda p: p["score"] >= threshold), lambda p: p["category"])
+    return F.filter(pairs, lambda pair: pair["score"] >= threshold)["category"]
 
 
 def _as_column(value) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from guardframe.functions.pii import redact
 from guardframe.operators.audit import audit
 from guardframe.operators.telemetry import with_latency
+from guardframe.sources.tables import spread
 
 KNOWN = ["users", "transactions", "security_logs", "rules", "scratch"]
 
@@ -132,6 +133,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()])
 
@@ -175,12 +180,12 @@ def requests_from(events: DataFrame) -> DataFrame:
 
 
 def audited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_latency(audit(requests_from(table(spark, sf_dir, "events")), KNOWN))
+    return with_latency(audit(requests_from(spread_table(spark, sf_dir, "events")), KNOWN))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audited requests; an allowed read answers with the document of the user's number."""
-    documents = redact_input(table(spark, sf_dir, "documents")).select(
+    documents = redact_input(spread_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("user_id"), "text", redact(F.col("text")).alias("_clean")
     ).select("user_id", (~F.col("text").eqNullSafe(F.col("_clean"))).alias("_redacted"))
     return audited_requests(spark, sf_dir).join(documents, "user_id", "left").withColumn(

@@ -14,7 +14,7 @@ from guardframe.plans import inputs
 from guardframe.plans.inputs import KNOWN, table
 from guardframe.rules import CATEGORIES
 from guardframe.sources import generate, tables
-from guardframe.sources.scratch import scratch_path
+from guardframe.sources.scratch import materialize, scratch_path
 from guardframe.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ BASE_TIME = "2026-05-27 12:00:00"
 # --- screening --------------------------------------------------------------------------
 
 def _screen_input(spark, sf_dir):
-    return inputs.screen_input(table(spark, sf_dir, "documents"))
+    return inputs.screen_input(inputs.spread_table(spark, sf_dir, "documents"))
 
 
 def _screened(spark, sf_dir, threshold=0.5):
@@ -117,7 +117,7 @@ def screen_counters(spark, sf_dir):
 # --- redaction --------------------------------------------------------------------------
 
 def _documents(spark, sf_dir):
-    return inputs.redact_input(table(spark, sf_dir, "documents"))
+    return inputs.redact_input(inputs.spread_table(spark, sf_dir, "documents"))
 
 
 def _masked(mask):
@@ -267,7 +267,7 @@ def gen_logs(spark, sf_dir):
 # --- request audit ----------------------------------------------------------------------
 
 def _requests(spark, sf_dir, op=None):
-    requests = inputs.requests_from(table(spark, sf_dir, "events"))
+    requests = inputs.requests_from(inputs.spread_table(spark, sf_dir, "events"))
     return requests.where(F.col("op") == op) if op else requests
 
 
@@ -335,7 +335,9 @@ def violations(spark, sf_dir):
 
 
 def violations_latest(spark, sf_dir):
-    return audit.violations_latest(_violations(spark, sf_dir)).select(
+    # the log is stored first: a range sort reads its input twice, once for the bounds
+    log = materialize(_violations(spark, sf_dir), "violation_log")
+    return audit.violations_latest(log).select(
         "request_id", "event_type", text.iso_utc(F.col("timestamp")).alias("timestamp"))
 
 
@@ -346,7 +348,7 @@ def request_counters(spark, sf_dir):
 
 
 def _timed(spark, sf_dir):
-    return telemetry.with_latency(_requests(spark, sf_dir))
+    return telemetry.with_latency(inputs.requests_from(table(spark, sf_dir, "events")))
 
 
 def latency_ms(spark, sf_dir):

@@ -20,6 +20,16 @@ def read_collection(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small scan among all cores before work that is heavy per row.
+
+    A few small files make few tasks. A scan with at least a task per core is left as it is, so
+    large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def collection_counts(collections: dict[str, DataFrame]) -> DataFrame:
     """Name and number of documents per collection (parquet answers from its footers)."""
     counts = [
