@@ -304,18 +304,16 @@ BASE = "TIMESTAMP '2026-05-27 12:00:00'"
 def _pick(row: str, salt: int, n) -> str:
     p = g.PRIME
     seed = f"((({row} % {p}) * 48271 + {salt * 1299709 + 12345}) % {p})"
-    square = f"(({seed} * {seed} + {salt}) % {p})"
-    mixed = f"(({square} * 16807 + {seed}) % {p})"
-    return f"(((({mixed} * {mixed} + {seed}) % {p}) // 64) % {n})"
+    return f"((((({seed} * {seed}) % {p}) * 16807 + {salt}) % {p}) // 64) % {n}"
 
 
 def _choice(row: str, salt: int, values: list) -> str:
     items = ", ".join(_text(v) if isinstance(v, str) else repr(v) for v in values)
-    return f"([{items}])[{_pick(row, salt, len(values))} + 1]"
+    return f"([{items}])[({_pick(row, salt, len(values))}) + 1]"
 
 
 def _number(row: str, salt: int, low: int, high: int) -> str:
-    return f"CAST({_pick(row, salt, high - low + 1)} + {low} AS VARCHAR)"
+    return f"CAST(({_pick(row, salt, high - low + 1)}) + {low} AS VARCHAR)"
 
 
 def _before(row: str, salt: int) -> str:
@@ -336,14 +334,14 @@ def _user(row: str) -> dict[str, str]:
         "credit_card": f"{_number(row, 10, 4000, 4999)} || '-' || "
                        + " || '-' || ".join(_number(row, s, 1000, 9999) for s in (11, 12, 13)),
         "password_hash": f"'$2b$12$' || substr(sha256(CAST({row} AS VARCHAR)), 1, 53)",
-        "account_balance": f"({_pick(row, 14, 18510001)} - 10000) / 100.0",
+        "account_balance": f"(({_pick(row, 14, 18510001)}) - 10000) / 100.0",
         "role": _choice(row, 15, g.ROLES),
         "status": _choice(row, 16, g.STATUSES),
     }
 
 
 _DRAWN = (
-    f"drawn AS (SELECT o_orderkey AS k, {_pick('o_orderkey', 21, '(SELECT count(*) + 4 FROM customer)')} - 4 AS u"
+    f"drawn AS (SELECT o_orderkey AS k, ({_pick('o_orderkey', 21, '(SELECT count(*) + 4 FROM customer)')}) - 4 AS u"
     " FROM orders)"
 )
 

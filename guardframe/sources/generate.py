@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardframe.functions.text import iso_utc
+from guardframe.functions.text import iso_utc, text_array
 from guardframe.sources.seeds import (
     CORE_LOGS,
     CORE_TRANSACTIONS,
@@ -41,25 +41,28 @@ LOG_MESSAGES = ["Query finished.", "User signed in.", "Session refreshed.", "Bac
 PRIME = 2147483647
 
 
-def pick(row: Column, salt: int, n: int | Column) -> Column:
-    """A number from 0 to ``n - 1`` that depends on the row and the salt only."""
-    seed = ((row.cast("bigint") % PRIME) * 48271 + salt * 1299709 + 12345) % PRIME
-    square = (seed * seed + salt) % PRIME
-    mixed = (square * 16807 + seed) % PRIME
-    again = (mixed * mixed + seed) % PRIME
-    return F.floor(again / 64).cast("bigint") % n
+def pick(row: str, salt: int, n: int) -> Column:
+    """A number from 0 to ``n - 1`` that depends on the row and the salt only.
+
+    ``row`` names a column of integers; one SQL text makes the plan quicker to build than columns.
+    """
+    seed = f"((`{row}` % {PRIME} * 48271L + {salt * 1299709 + 12345}L) % {PRIME})"
+    return F.expr(f"({seed} * {seed} % {PRIME} * 16807L + {salt}L) % {PRIME} div 64 % {n}L")
 
 
-def choice(row: Column, salt: int, values: list) -> Column:
-    options = F.array(*[F.lit(value) for value in values])
+def choice(row: str, salt: int, values: list) -> Column:
+    if isinstance(values[0], str):
+        options = text_array(values)
+    else:
+        options = F.expr("array(" + ", ".join(f"{value!r}D" for value in values) + ")")
     return F.get(options, pick(row, salt, len(values)).cast("int"))
 
 
-def _number(row: Column, salt: int, low: int, high: int) -> Column:
+def _number(row: str, salt: int, low: int, high: int) -> Column:
     return (pick(row, salt, high - low + 1) + low).cast("string")
 
 
-def _time_before(row: Column, salt: int, base: Column) -> Column:
+def _time_before(row: str, salt: int, base: Column) -> Column:
     """ISO text of a time up to 30 days, 23 hours and 59 minutes before ``base``."""
     back = F.make_interval(
         days=pick(row, salt, 31).cast("int"),
@@ -69,10 +72,10 @@ def _time_before(row: Column, salt: int, base: Column) -> Column:
     return iso_utc(base - back)
 
 
-def _user_columns(row: Column) -> list[Column]:
+def _user_columns(row: str) -> list[Column]:
     first, last = choice(row, 1, FIRST_NAMES), choice(row, 2, LAST_NAMES)
     return [
-        F.concat(F.lit("usr_"), (row + 10000).cast("string")).alias("user_id"),
+        F.concat(F.lit("usr_"), (F.col(row) + 10000).cast("string")).alias("user_id"),
         F.concat_ws(" ", first, last).alias("name"),
         F.concat(F.lower(F.substring(first, 1, 3)), F.lower(last), F.lit("@"),
                  choice(row, 3, DOMAINS)).alias("email"),
@@ -82,7 +85,7 @@ def _user_columns(row: Column) -> list[Column]:
                     _number(row, 9, 1000, 9999)).alias("ssn"),
         F.concat_ws("-", _number(row, 10, 4000, 4999),
                     *[_number(row, salt, 1000, 9999) for salt in (11, 12, 13)]).alias("credit_card"),
-        F.concat(F.lit("$2b$12$"), F.substring(F.sha2(row.cast("string"), 256), 1, 53))
+        F.concat(F.lit("$2b$12$"), F.substring(F.sha2(F.col(row).cast("string"), 256), 1, 53))
         .alias("password_hash"),
         ((pick(row, 14, 18510001) - 10000) / 100.0).alias("account_balance"),
         choice(row, 15, ROLES).alias("role"),
@@ -93,7 +96,7 @@ def _user_columns(row: Column) -> list[Column]:
 def gen_users(ids: DataFrame, id_col: str = "id") -> DataFrame:
     """The core users and one generated user per id."""
     core = ids.sparkSession.createDataFrame(CORE_USERS, USERS_SCHEMA)
-    return core.unionByName(ids.select(*_user_columns(F.col(id_col))))
+    return core.unionByName(ids.select(*_user_columns(id_col)))
 
 
 def gen_transactions(ids: DataFrame, n_users: int, base: Column, id_col: str = "id") -> DataFrame:
@@ -103,23 +106,24 @@ def gen_transactions(ids: DataFrame, n_users: int, base: Column, id_col: str = "
     transaction names is a number, and a generated user's fields follow from that number, so no
     join is needed.
     """
-    row, user = F.col(id_col), F.col("_user")
-    drawn = ids.select(row, (pick(row, 21, n_users + len(CORE_USERS)) - len(CORE_USERS)).alias("_user"))
+    n_core = len(CORE_USERS)
+    drawn = ids.select(id_col, (pick(id_col, 21, n_users + n_core) - n_core).alias("_user"))
+    names = [part.split()[0] for part in USERS_SCHEMA.split(",")]
+    columns = dict(zip(names, _user_columns("_user")))
 
     def copied(name: str) -> Column:
-        position = [part.split()[0] for part in USERS_SCHEMA.split(",")].index(name)
-        core = F.array(*[F.lit(values[position]) for values in CORE_USERS])
-        from_core = F.get(core, (user + len(CORE_USERS)).cast("int"))
-        return F.when(user < 0, from_core).otherwise(_user_columns(user)[position]).alias(name)
+        core = text_array([values[names.index(name)] for values in CORE_USERS])
+        from_core = F.get(core, (F.col("_user") + n_core).cast("int"))
+        return F.when(F.col("_user") < 0, from_core).otherwise(columns[name]).alias(name)
 
     generated = drawn.select(
-        F.concat(F.lit("tx_"), (row + 100000).cast("string")).alias("transaction_id"),
+        F.concat(F.lit("tx_"), (F.col(id_col) + 100000).cast("string")).alias("transaction_id"),
         copied("user_id"),
-        choice(row, 22, [price for _, price in PRODUCTS]).alias("amount"),
+        choice(id_col, 22, [price for _, price in PRODUCTS]).alias("amount"),
         copied("credit_card"),
-        choice(row, 22, [name for name, _ in PRODUCTS]).alias("product"),
-        _time_before(row, 23, base).alias("date"),
-        choice(row, 26, TRANSACTION_STATUSES).alias("status"),
+        choice(id_col, 22, [name for name, _ in PRODUCTS]).alias("product"),
+        _time_before(id_col, 23, base).alias("date"),
+        choice(id_col, 26, TRANSACTION_STATUSES).alias("status"),
     )
     core = ids.sparkSession.createDataFrame(CORE_TRANSACTIONS, TRANSACTIONS_SCHEMA)
     return core.unionByName(generated)
@@ -127,13 +131,12 @@ def gen_transactions(ids: DataFrame, n_users: int, base: Column, id_col: str = "
 
 def gen_logs(ids: DataFrame, base: Column, id_col: str = "id") -> DataFrame:
     """The core log lines and one per id."""
-    row = F.col(id_col)
     generated = ids.select(
-        F.concat(F.lit("log_"), (row + 100).cast("string")).alias("log_id"),
-        choice(row, 31, LOG_LEVELS).alias("level"),
-        choice(row, 32, LOG_MESSAGES).alias("message"),
-        _time_before(row, 33, base).alias("timestamp"),
-        F.concat(F.lit("192.168.1."), _number(row, 36, 2, 254)).alias("client_ip"),
+        F.concat(F.lit("log_"), (F.col(id_col) + 100).cast("string")).alias("log_id"),
+        choice(id_col, 31, LOG_LEVELS).alias("level"),
+        choice(id_col, 32, LOG_MESSAGES).alias("message"),
+        _time_before(id_col, 33, base).alias("timestamp"),
+        F.concat(F.lit("192.168.1."), _number(id_col, 36, 2, 254)).alias("client_ip"),
     )
     core = ids.sparkSession.createDataFrame(CORE_LOGS, LOGS_SCHEMA)
     return core.unionByName(generated)
