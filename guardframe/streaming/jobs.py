@@ -14,6 +14,7 @@ from guardframe.functions.pii import redact
 from guardframe.operators.audit import audit, violations
 from guardframe.operators.screening import screen
 from guardframe.rules import DEFAULT_THRESHOLD
+from guardframe.sources.tables import spread
 
 POLL = "2500 milliseconds"
 
@@ -56,7 +57,7 @@ def stream_audit(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{audited_path}/batch_id={batch_id}"
-        audit(batch, known).write.mode("overwrite").parquet(target)
+        audit(spread(batch), known).write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.parquet(target)
         violations(written).write.mode("overwrite").parquet(f"{violations_path}/batch_id={batch_id}")
 
