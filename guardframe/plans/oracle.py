@@ -44,10 +44,12 @@ def _text(value) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _literal(value) -> str:
+    return _text(value) if isinstance(value, str) else f"CAST({value!r} AS DOUBLE)"
+
+
 def _values(rows) -> str:
-    def one(value):
-        return _text(value) if isinstance(value, str) else repr(value)
-    return "VALUES " + ", ".join("(" + ", ".join(one(v) for v in row) + ")" for row in rows)
+    return "VALUES " + ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
 
 
 # --- redaction --------------------------------------------------------------------------
@@ -308,7 +310,7 @@ def _pick(row: str, salt: int, n) -> str:
 
 
 def _choice(row: str, salt: int, values: list) -> str:
-    items = ", ".join(_text(v) if isinstance(v, str) else repr(v) for v in values)
+    items = ", ".join(_literal(v) for v in values)
     return f"([{items}])[({_pick(row, salt, len(values))}) + 1]"
 
 

@@ -50,7 +50,7 @@ def _category_columns(values, name="c"):
 def screen_empty(spark, sf_dir):
     stripped = text.strip_text(F.concat(F.lit(" \n\t"), F.col("text"), F.lit("\x1f　")))
     return _screen_input(spark, sf_dir).select(
-        "doc_id", F.length(stripped).alias("n_stripped"),
+        "doc_id", F.length(stripped).cast("bigint").alias("n_stripped"),
         screening.is_empty_text(F.col("text")).alias("is_empty"),
     )
 

@@ -46,7 +46,7 @@ def pick(row: str, salt: int, n: int) -> Column:
 
     ``row`` names a column of integers; one SQL text makes the plan quicker to build than columns.
     """
-    seed = f"((`{row}` % {PRIME} * 48271L + {salt * 1299709 + 12345}L) % {PRIME})"
+    seed = f"((pmod(`{row}`, {PRIME}) * 48271L + {salt * 1299709 + 12345}L) % {PRIME})"
     return F.expr(f"({seed} * {seed} % {PRIME} * 16807L + {salt}L) % {PRIME} div 64 % {n}L")
 
 
