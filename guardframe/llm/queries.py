@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from guardframe.llm.common import read
 from guardframe.llm.minhash import near_duplicates
+from guardframe.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Query] = {
+    "op2_packing": op2_packing,
     "op8_minhash": op8_minhash,
 }
 
