@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     smallest neighbour, follows the pointers twice, and contracts the graph onto the nodes
     pointed at; a round at least halves the nodes left in every component, and pointers only go
     to smaller nodes, so the last one standing is the smallest. Each round is a table in the
-    shared folder. Nodes without links are not listed; nulls and self-links are ignored.
+    shared folder. Nodes without links are not listed; nulls and self-links are ignored. Without
+    any link the result is empty.
     """
     edges = materialize(
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

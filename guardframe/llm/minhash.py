@@ -8,6 +8,7 @@ candidates, and every candidate is confirmed on full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,12 @@ from guardframe.sources.scratch import materialize
 
 RING = 1 << 20
 BANDS, ROWS = 24, 5
+#: Coordinates of which one bit is kept, and standard deviations below the expected agreement at
+#: the bar at which a candidate is not confirmed (a link is lost there with probability 1e-7).
+BITS, DEVIATIONS = 512, 5.2
 SEED = 20240611
+#: Rounds that compare every member of a bucket with one of them before all others are.
+STARS = 4
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -53,7 +59,7 @@ class Signer:
     """Signatures of shingle sets over one pair of permutations."""
 
     def __init__(self, bands: int, rows: int, seed: int = SEED, ring: int = RING):
-        size = bands * rows
+        size = max(BITS, bands * rows)
         numbers = np.random.default_rng(seed).permutation(ring).astype(np.uint32)
         turned = np.concatenate([numbers, numbers[:size]])
         self.windows = np.lib.stride_tricks.sliding_window_view(turned, size)[:ring]
@@ -63,14 +69,19 @@ class Signer:
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
         cells = np.unique(_mix(hashes ^ self.seed) & self.ring).astype(np.int64)
-        least = self.windows[cells[:2048]].min(axis=0)
-        for at in range(2048, len(cells), 2048):
-            np.minimum(least, self.windows[cells[at:at + 2048]].min(axis=0), out=least)
+        least = self.windows[cells[:256]].min(axis=0)
+        for at in range(256, len(cells), 256):
+            np.minimum(least, self.windows[cells[at:at + 256]].min(axis=0), out=least)
         return least
 
-    def band_keys(self, hashes: np.ndarray) -> np.ndarray:
+    def bits(self, signature: np.ndarray) -> np.ndarray:
+        """One bit of every coordinate, packed into 64-bit numbers."""
+        one = (signature[:BITS] * np.uint32(0x9E3779B1) >> np.uint32(15)) & np.uint32(1)
+        return np.packbits(one.astype(np.uint8)).view(np.int64)
+
+    def band_keys(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit key per band."""
-        bands = self.signature(hashes).reshape(self.bands, self.rows).astype(np.uint64)
+        bands = signature[:self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
         out = self.salt.copy()
         for k in range(self.rows):
             out = _mix((out * _M1) ^ (bands[:, k] + _M3))
@@ -78,22 +89,25 @@ class Signer:
 
 
 _SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
-                     ("bands", pa.list_(pa.int64()))])
+                     ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+_SIGNED_DDL = "id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for batch in batches:
-            ids, sizes, digests, keys = [], [], [], []
+            ids, sizes, digests, keys, bits = [], [], [], [], []
             for key, text in zip(batch.column(0), batch.column(1)):
                 hashes = shingle_set(text.as_py(), words)
                 ids.append(key.as_py())
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-                keys.append(signer.band_keys(hashes) if len(hashes) and ids[-1] is not None else None)
+                found = signer.signature(hashes) if len(hashes) and ids[-1] is not None else None
+                keys.append(None if found is None else signer.band_keys(found))
+                bits.append(None if found is None else signer.bits(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip((ids, sizes, digests, keys), _SIGNED)], schema=_SIGNED)
+                [pa.array(c, f.type) for c, f in zip((ids, sizes, digests, keys, bits), _SIGNED)], schema=_SIGNED)
     return run
 
 
@@ -112,6 +126,14 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _alike(a: str, b: str, percent: int):
+    """Bits agree as often as those of similar sets do, but for chance."""
+    equal = (1 + percent / 100) / 2
+    most = int(BITS * (1 - equal) + DEVIATIONS * math.sqrt(BITS * equal * (1 - equal)))
+    unequal = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITS // 64)), F.lit(0))
+    return unequal <= most
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -126,6 +148,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         .where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b"), "links")
 
 
+def _star(live: DataFrame, order) -> DataFrame:
+    """In buckets that still hold several classes: the first member in an order, with all of other classes."""
+    first = (
+        live.groupBy("key").agg(F.min(F.struct(order.alias("order"), "rid", "n", "root")).alias("p"),
+                                F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high").select("key", F.col("p.rid").alias("prid"), F.col("p.n").alias("pn"),
+                                    F.col("p.root").alias("proot")))
+    return live.join(first, "key").where("root <> proot").select(
+        F.least("rid", "prid").alias("a"), F.greatest("rid", "prid").alias("b"), "n", "pn")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicates: one row (id, n_shingles, component_id, kept) per input row.
@@ -136,45 +169,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned each; under different texts, a link of one of them counts for the id. Rows without id
     are returned with a null class, not kept, and link nothing. Further columns are ignored.
 
-    Equal sets are folded first, so a group of copies costs one aggregate. Of each band's bucket,
-    all members are compared with the smallest one; only members that then still belong to
-    different classes are compared with each other. A pair at the bar of 80 % is missed by all
-    24 bands of 5 with probability 5e-5, at 85 % with 8e-7.
+    Equal sets are folded first, so a group of copies costs one aggregate. Then every bucket's
+    members are compared with one of them, in up to STARS rounds with other choices, leaving out
+    pairs that are in one class already; what then still lies in one bucket but in different
+    classes is compared with each other. A pair at the bar of 80 % is missed by all 24 bands of 5
+    with probability 5e-5, at 85 % with 8e-7. One bit of each of 512 coordinates sorts out the
+    candidates that are far from the bar.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(
-        _sign(words, bands, rows), "id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = materialize(texts.mapInArrow(_sign(words, bands, rows), _SIGNED_DDL), "signed")
     classes = materialize(
         signed.where("id is not null and digest is not null").groupBy("digest")
-        .agg(F.min(F.struct("id", "n_shingles", "bands")).alias("first"))
+        .agg(F.min(F.struct("id", "n_shingles", "bands", "bits")).alias("first"))
         .select("digest", F.col("first.id").alias("rid"), F.col("first.n_shingles").alias("n"),
-                F.col("first.bands").alias("bands")), "classes")
+                F.col("first.bands").alias("bands"), F.col("first.bits").alias("bits")), "classes")
+    bits = classes.select("rid", "bits")
     buckets = classes.select(F.explode("bands").alias("key"), "rid", "n")
-    shared = materialize(
-        buckets.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("first"), F.count("*").alias("size"))
-        .where("size > 1").select("key", F.col("first.rid").alias("a"), F.col("first.n").alias("na"), "size"),
-        "shared")
-    members = materialize(buckets.join(shared, "key").where("rid <> a"), "members")
-    star = members.where(_fits("n", "na", percent)).select("a", F.col("rid").alias("b")).distinct()
-    links = _confirm(materialize(star, "star"), texts, words, percent)
-    roots = components(links)
-
-    rest = members.where("size > 2").select("key", "rid", "n")
-    rest = rest.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "key", "rid", "n", F.coalesce("root", "rid").alias("root"))
-    split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = materialize(rest.join(split, "key", "left_semi"), "rest")
-    other = rest.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-    open_pairs = (
-        rest.withColumnsRenamed({"rid": "a", "n": "na"}).join(other, "key")
-        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _fits("na", "nb", percent))
-        .select("a", "b").distinct())
+    shared = materialize(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    live = materialize(buckets.join(shared, "key").withColumn("root", F.col("rid")), "live")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(_fits("n", "pn", percent)).select("a", "b").distinct()
+        return materialize(
+            pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+            .where(_alike("bits_a", "bits_b", percent)).select("a", "b"), "near")
+
+    links = roots = None
+    for turn in range(STARS):
+        order = F.lit(0) if turn == 0 else F.xxhash64("rid", F.lit(turn))
+        more = _confirm(near(_star(live, order)), texts, words, percent)
+        found = not more.isEmpty()
+        if found:
+            links = more if links is None else materialize(links.unionAll(more), "links")
+            roots = components(links)
+            live = live.drop("root").join(roots.toDF("rid", "top"), "rid", "left").withColumn(
+                "root", F.coalesce("top", "rid")).select("key", "rid", "n", "size", "root")
+        if turn == 0:
+            live = live.where("size > 2")
+        split = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        live = materialize(live.join(split.select("key"), "key", "left_semi"), "live")
+        if turn and not found:
+            break
+
+    live = materialize(live.join(bits, "rid"), "live")
+    other = live.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "n", "root", "bits")))
+    open_pairs = live.join(other, "key").where(
+        (F.col("rid") < F.col("rid_b")) & (F.col("root") != F.col("root_b")) & _fits("n", "n_b", percent)
+        & _alike("bits", "bits_b", percent)).select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct()
     more = _confirm(materialize(open_pairs, "open"), texts, words, percent)
     if not more.isEmpty():
-        roots = components(links.unionAll(more))
+        links = more if links is None else links.unionAll(more)
+        roots = components(links)
 
-    grouped = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "digest", F.coalesce("root", "rid").alias("class"))
+    grouped = classes.select("digest", "rid")
+    if roots is not None:
+        grouped = grouped.join(roots.toDF("rid", "root"), "rid", "left").withColumn("rid", F.coalesce("root", "rid"))
+    grouped = grouped.select("digest", F.col("rid").alias("class"))
     lone = F.when(F.col("digest").isNull(), F.col("id"))
     return (
         signed.select("id", "n_shingles", "digest").join(grouped, "digest", "left")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardframe.llm.common import read
+from guardframe.llm.common import fold, read
+from guardframe.llm.decontaminate import leaks
+from guardframe.llm.langid import identify, train
 from guardframe.llm.minhash import near_duplicates
 from guardframe.llm.packing import pack
 
@@ -18,6 +20,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("fold", fold("doc_id", 5))
+    field = train(docs.where("fold > 0"))
+    return identify(docs, field).select(
+        F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -25,6 +38,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
+    "op4_langid": op4_langid,
+    "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
 }
 
