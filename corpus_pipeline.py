@@ -1,8 +1,66 @@
-"""The corpus pipeline."""
+"""From documents to packed training sequences: language, near-duplicates, benchmark leaks, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are stored and are the
+next stage's docs. All but the last return the columns of ``documents``. A stage keeps what its
+operator does not object to.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from guardframe.llm.common import fold, read
+from guardframe.llm.decontaminate import without_leaks
+from guardframe.llm.langid import in_language, train
+from guardframe.llm.minhash import near_duplicates
+from guardframe.llm.packing import pack
+from guardframe.sources.scratch import materialize
+
+#: Least mean probability of the best language; every word counts, so mixed text stays.
+LEAST_LANGUAGE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; texts that are null or without a letter go."""
+    field = train(docs.where(fold("doc_id", 5) > 0))
+    return in_language(docs, field, least=LEAST_LANGUAGE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest id.
+
+    Of rows that repeat id and text, one stays. Documents without id are in no class and stay.
+    """
+    kept = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
+    repeats = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(repeats)).where("_nth = 1")
+    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as pieces of full sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Neither the field, nor banding, alignment or token ids can be said in SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardframe.llm import warc
+from guardframe.llm.ann import nearest
 from guardframe.llm.common import fold, read
 from guardframe.llm.decontaminate import leaks
 from guardframe.llm.langid import identify, train
+from guardframe.llm.licenses import scan
 from guardframe.llm.minhash import near_duplicates
 from guardframe.llm.packing import pack
 
@@ -20,6 +23,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest(rows.where("vec_id % 20 = 0"), rows, 20).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("fold", fold("doc_id", 5))
     field = train(docs.where("fold > 0"))
@@ -36,11 +45,33 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.transform("places", lambda p: p["label"])
+    spans = F.transform("spans", lambda s: s["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return scan(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["word"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["word"])).alias("last_word"),
+        joined(said).alias("base_labels"), joined(F.concat(said, spans)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(
+            F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0))).alias("score"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(read(spark, sf_dir, "pages"))
+    return warc.read(spark, archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
+    "op3_neighbours": op3_neighbours,
     "op4_langid": op4_langid,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
+    "op9_licenses": op9_licenses,
+    "op10_warc": op10_warc,
 }
 
 #: SQL for the queries that SQL can express.
