@@ -11,14 +11,41 @@ from guardframe.llm import warc
 from guardframe.llm.ann import nearest
 from guardframe.llm.common import fold, read
 from guardframe.llm.decontaminate import leaks
+from guardframe.llm.extraction import extract
 from guardframe.llm.langid import identify, train
+from guardframe.llm.lattice import score, taught
 from guardframe.llm.licenses import scan
 from guardframe.llm.minhash import near_duplicates
 from guardframe.llm.packing import pack
+from guardframe.llm.token_counts import BYTE_BPE, PIECES, Rollup, count_tokens, deletes, inserts, revisions
+from guardframe.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents, revised counts of those that have blanks to
+    spare, deletion of all but the first of equal texts. The last batch is committed twice."""
+    docs = read(spark, sf_dir, "documents")
+    versions = [BYTE_BPE, PIECES]
+    blanks = F.trim(F.regexp_replace("text", r"[ \t]+", " "))
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key")
+    before = materialize(count_tokens(docs, versions), "counts")
+    after = materialize(count_tokens(
+        docs.where(blanks != F.col("text")).withColumn("text", blanks), versions), "recounts")
+    stale = before.join(after.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+    live = before.join(after.select("doc_id", "version"), ["doc_id", "version"], "left_anti").unionByName(after)
+    hashes = docs.select("doc_id", key)
+    first = hashes.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = hashes.join(first, "key").where("doc_id <> first").select("doc_id")
+    rollup = Rollup(spark, scratch_path(spark, "token-counts"))
+    rollup.commit(1, inserts(before))
+    rollup.commit(2, revisions(stale, after))
+    for _ in range(2):
+        rollup.commit(3, deletes(live.join(copies, "doc_id", "left_semi")))
+    return rollup.totals()
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -36,6 +63,15 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents"), taught()).select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -65,9 +101,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_neighbours": op3_neighbours,
     "op4_langid": op4_langid,
+    "op5_extraction": op5_extraction,
+    "op6_lattice": op6_lattice,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
     "op9_licenses": op9_licenses,

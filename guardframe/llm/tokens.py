@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import public_tokenizers
@@ -12,67 +11,31 @@ from tokenizers import Tokenizer
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
-#: Where a space between two words may not be cut: white space on both sides of it, or a second one.
-_UNCUT = re.compile(r"\s \s|  ")
-
 
 class Encoder:
     """Ids exactly as ``Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False)``.
 
-    The vocabulary splits text before merging and no split part reaches over a space that stands
-    between other characters, so the ids of a text are those of its space-led words one after the
-    other. Words are kept in a bounded table; the ranks of the same vocabulary encode new ones,
-    several times faster than the full tokenizer, which gets the texts that may hold its special
-    strings. Both paths are parameters.
+    The ranks of the same vocabulary make the same merges several times faster; texts that may
+    hold its special strings go to the tokenizer itself. Both paths are parameters.
     """
 
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, keep: int = 300_000):
-        ranks = ranks or public_tokenizers.path(RANKS)
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None):
         table = {}
-        with open(ranks, "rb") as lines:
+        with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
             for line in lines:
                 token, rank = line.split()
                 table[base64.b64decode(token)] = int(rank)
         self.core = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.leads = np.zeros(max(table.values()) + 1, bool)
-        for token, rank in table.items():
-            self.leads[rank] = token[:1] == b" "
         self.vocabulary, self.full = vocabulary or public_tokenizers.path(VOCABULARY), None
-        self.known: dict[str, bytes] = {}
-        self.keep = keep
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.core(text), "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the words, each led by a space, into the table."""
-        simple = [w for w in words if w.split() == [w]]
-        if simple:
-            ids = np.array(self.core(" " + " ".join(simple)), "<u4")
-            ends = np.flatnonzero(self.leads[ids])[1:].tolist() + [len(ids)]
-            at = 0
-            for word, end in zip(simple, ends, strict=True):
-                self.known[word] = ids[at:end].tobytes()
-                at = end
-        for word in set(words).difference(simple):
-            self.known[word] = self._plain(" " + word)
+    def ids(self, text: str) -> list[int]:
+        if "<|" not in text:
+            return self.core(text)
+        if self.full is None:
+            self.full = Tokenizer.from_file(self.vocabulary)
+        return self.full.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if "<|" in text:
-            if self.full is None:
-                self.full = Tokenizer.from_file(self.vocabulary)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _UNCUT.search(text):
-            return self._plain(text)
-        first, *words = text.split(" ")
-        if len(self.known) > self.keep:
-            self.known.clear()
-        found = list(map(self.known.get, words))
-        if None in found:
-            self._learn(list({w for w, ids in zip(words, found) if ids is None}))
-            found = list(map(self.known.__getitem__, words))
-        return self._plain(first) + b"".join(found)
+        return np.array(self.ids(text), "<u4").tobytes()
