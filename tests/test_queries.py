@@ -4,6 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from guardframe.plans.oracle import ORACLE_SQL
+from guardframe.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,10 +14,11 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf_dir, name):
     assert compare.compare(spark, con, sf_dir, contract.queries()[name], contract.oracle_sql()[name]) is None
 
