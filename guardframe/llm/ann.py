@@ -49,11 +49,13 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1)
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int,
          strip: int = STRIP) -> list[tuple[int, list[int], list[float]]]:
     """The k best rows of each query, itself left out: (query, row ids, scores), best first.
 
     Equal rows are computed once; of each lot, the k + 1 smallest ids can be among the answers.
+    A product without a value comes last, as minus infinity.
     """
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
@@ -71,6 +73,8 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
         # |q.r - q'.r'| <= |q'||r - r'| + |q - q'||r'| + |q - q'||r - r'|, and a little for rounding
         slack = (q_size[at:to, None] + q_error[at:to, None]) * error + q_error[at:to, None] * size
         slack += 1e-6 * (np.abs(near) + slack) + 1e-300
+        vast = ~np.isfinite(near) | ~np.isfinite(slack)  # beyond double precision: always computed again
+        near[vast], slack[vast] = 0, np.inf
         low = near - slack
         # the query itself takes one place at most, so k + 1 lots hold k answers
         n = min(k + 1, low.shape[1])
@@ -80,7 +84,8 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
             found = []
             for g, score in zip(good.tolist(), exact(queries[j], distinct[good]).tolist()):
                 ids = row_ids[by_lot[starts[g]:min(starts[g + 1], starts[g] + k + 1)]]
-                found.extend((-score, int(i)) for i in ids if i != query_ids[j])
+                score = -score if score == score else float("inf")
+                found.extend((score, int(i)) for i in ids if i != query_ids[j])
             best = heapq.nsmallest(k, found)
             if best:
                 out.append((int(query_ids[j]), [i for _, i in best], [-s for s, _ in best]))

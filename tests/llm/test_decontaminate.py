@@ -1,0 +1,92 @@
+import random
+
+import edge
+import numpy as np
+
+from guardframe.llm import decontaminate
+from guardframe.llm.decontaminate import GAP, MATCH, MISMATCH, align, leaks, without_leaks, words
+
+
+def plain_score(window, item):
+    table = [[0] * (len(item) + 1) for _ in range(len(window) + 1)]
+    for i, a in enumerate(window):
+        for j, b in enumerate(item):
+            table[i + 1][j + 1] = max(0, table[i][j] + (MATCH if a == b else MISMATCH), table[i][j + 1] + GAP, table[i + 1][j] + GAP)
+    return max(map(max, table))
+
+
+def test_alignment_is_the_best_one():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        window, item = rng.integers(1, 6, rng.integers(1, 30)), rng.integers(1, 6, rng.integers(1, 12))
+        score, first, last = align(window, item)
+        assert score == plain_score(window, item)
+        if score:
+            assert plain_score(window[first:last], item) == score
+
+
+def test_whole_table_against_all_alignments(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in leaks(docs, items).collect()}
+    tests = [(r["item_id"], words(r["text"])) for r in items.collect()]
+    number = {w: k + 1 for k, w in enumerate(sorted({w for _, own in tests for w in own}))}
+    wanted = {}
+    for r in docs.collect():
+        own = np.array([number.get(w, 0) for w in words(r["text"])], int)
+        for key, test in tests:
+            test = np.array([number[w] for w in test])
+            if np.isin(test, own).mean() >= 0.4:
+                score = decontaminate.best_end(own, test)[0] / (MATCH * len(test))
+                if score >= decontaminate.LEAK:
+                    wanted[r["doc_id"], key] = score
+    assert found == wanted
+    kept = {r["doc_id"] for r in without_leaks(docs, items).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} - {d for d, _ in wanted}
+
+
+def test_edited_copies_are_found_and_prose_is_left_alone(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)] + ["the", "of", "and"] * 200
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(40))) for k in range(30)]
+    rows, wanted = [], set()
+    for key in range(300):
+        prose = [rng.choice(vocabulary) for _ in range(400)]
+        if key % 3 == 0:
+            item = key // 3 % 30
+            own = items[item][1].split()
+            for _ in range(6):
+                own[rng.randrange(len(own))] = "edited"
+            del own[rng.randrange(len(own))]
+            own.insert(rng.randrange(len(own)), "added")
+            at = rng.randrange(300)
+            prose[at:at] = [w.upper() + "," for w in own]
+            wanted.add((key, item))
+        rows.append((key, " ".join(prose)))
+    found = leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == wanted
+
+
+def test_leaks_in_most_documents_and_blocks_of_items(spark):
+    item = " ".join(f"leak{k}" for k in range(20))
+    docs = spark.createDataFrame([(k, f"before {item} after") for k in range(200)] + [(999, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item), (3, " ".join(f"other{k}" for k in range(20))), (4, None), (5, "two words")],
+                                  "item_id long, text string")
+    for size in (1 << 20, 100):
+        found = leaks(docs, items, block_bytes=size).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, i) for k in range(200) for i in (1, 2)}
+        assert {(r["score"], r["first_word"], r["last_word"]) for r in found} == {(1.0, 1, 20)}
+        assert [r["doc_id"] for r in without_leaks(docs, items, block_bytes=size).collect()] == [999]
+
+
+def test_edges(spark):
+    docs = edge.documents(spark)
+    items = edge.clashing(spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (None, "Word1 UND1 word2 und2")],
+                                                "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (6, None)}
+    kept = without_leaks(docs, items)
+    assert kept.schema == docs.schema
+    assert kept.count() == 15 - 5
+    assert leaks(edge.none(spark), items).collect() == []
+    assert leaks(docs, items.limit(0)).collect() == []
+    assert without_leaks(docs, items.limit(0)).count() == 15
