@@ -15,18 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.functions.pii import is_sensitive_key
-from guardframe.rules import (
-    CARD_MASK,
-    CARD_PATTERN,
-    EMAIL_PATTERN,
-    PHONE_MASK,
-    PHONE_PATTERN,
-    PROHIBITED_OPERATORS,
-    SECRET_MASK,
-    SSN_MASK,
-    SSN_PATTERN,
-)
+from guardframe.functions.pii import NINE_DIGITS, is_sensitive_key, redact
+from guardframe.rules import PROHIBITED_OPERATORS, SECRET_MASK, SENSITIVE_KEYS
 
 # Possessive quantifiers keep Java from recursing once per character on long documents.
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -34,7 +24,6 @@ _KEY = rf"({_STRING})\s*+:|{_STRING}"
 _VALUE = rf"{_STRING}\s*+:|({_STRING})"
 # a control sign, which JSON strings cannot hold unescaped
 _BETWEEN = "\x01"
-_OUTSIDE_STRINGS = rf'\G((?:[^",:]++|{_STRING})*+)([,:])'
 _OPERATOR_KEY = r'[{,]"(?:' + "|".join(re.escape(op) for op in PROHIBITED_OPERATORS) + r')":'
 # canonical texts that a document store client would treat as "no filter"
 _NO_FILTER = ["{}", "[]", "null", "false", '""']
@@ -64,13 +53,29 @@ def canonical_json(text: Column) -> Column:
     return F.when(_as_field(text).isNotNull(), F.to_json(value))
 
 
+def starts_object(text: Column) -> Column:
+    """Whether JSON text is an object, by its first sign."""
+    return F.coalesce(F.ltrim(text, F.lit(" \t\n\r")).startswith("{"), F.lit(False))
+
+
 def is_json_object(text: Column) -> Column:
-    return is_json(text) & F.coalesce(F.ltrim(text, F.lit(" \t\n\r")).startswith("{"), F.lit(False))
+    return is_json(text) & starts_object(text)
 
 
-def spaced_json(canonical: Column) -> Column:
-    """Canonical JSON with a space after each ``,`` and ``:`` that stands outside strings."""
-    return F.regexp_replace(canonical, _OUTSIDE_STRINGS, "$1$2 ")
+def document_text(text: Column) -> Column:
+    """Valid JSON on one line in document order: ``, `` and ``: `` between, escapes decoded.
+
+    Strings without a backslash stay as they are; the others are read and written again.
+    """
+    def written(token: Column) -> Column:
+        read = F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")
+        again = F.to_json(read)
+        again = F.substring(again, F.lit(2), F.length(again) - 2)
+        between = F.replace(F.replace(token, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+        return F.when(~token.startswith('"'), between).when(token.contains("\\"), again).otherwise(token)
+
+    tokens = F.regexp_extract_all(text, F.lit(rf'({_STRING}|[^"\s]++)'), F.lit(1))
+    return F.array_join(F.transform(tokens, written), "")
 
 
 def is_empty_filter(canonical: Column) -> Column:
@@ -120,67 +125,121 @@ def prohibited_operator(text: Column, canonical: Column) -> Column:
     return F.when(canonical.rlike(_OPERATOR_KEY), F.get(found, F.lit(0)))
 
 
-def typed_string_leaves(col: Column, dtype: T.DataType) -> Column:
-    """String values of a typed column as one array, in field order; nulls left out."""
-    return F.array_compact(_typed_leaves(col, dtype))
-
-
-def _typed_leaves(col: Column, dtype: T.DataType) -> Column:
-    none = F.array().cast("array<string>")
-    if isinstance(dtype, T.StructType):
-        parts = [_typed_leaves(col.getField(f.name), f.dataType) for f in dtype.fields]
-        return F.concat(none, *parts)
-    if isinstance(dtype, T.MapType):
-        return _typed_leaves(F.map_values(col), T.ArrayType(dtype.valueType))
-    if isinstance(dtype, T.ArrayType):
-        items = F.transform(col, lambda item: _typed_leaves(item, dtype.elementType))
-        return F.coalesce(F.flatten(items), none)
-    return F.array(col) if isinstance(dtype, T.StringType) else none
+# One token of JSON text: a sign, a string, or another scalar. ``NaN`` and infinities pass as scalars.
+_TOKEN = re.compile(
+    r'[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
+    r'|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity))')
+_MASKED = f'"{SECRET_MASK}"'
+# what a token may be at each place of a document
+_VALUE_AT, _FIRST_ITEM, _KEY_AT, _FIRST_KEY, _COLON, _AFTER, _END = range(7)
 
 
-def _digits(match: re.Match) -> str:
-    return "".join(ch for ch in match.group(0) if ch.isdecimal())
+def _read_string(literal: str) -> str:
+    """The value of a string literal; the literal's inside where it has no value in Unicode."""
+    if "\\" not in literal:
+        return literal[1:-1]
+    value = json.loads(literal)
+    return literal[1:-1] if any("\ud800" <= sign <= "\udfff" for sign in value) else value
 
 
-def _card_mask(match: re.Match) -> str:
-    return CARD_MASK + _digits(match)[-4:]
+def segments(text: str) -> list[tuple[str, str | None]] | None:
+    """JSON text in pieces (raw, value): the pieces' raw texts are the document without secrets.
 
-
-def _phone_mask(match: re.Match) -> str:
-    digits = _digits(match)
-    country = f"+{digits[:-10]} " if len(digits) > 10 else ""
-    return country + PHONE_MASK + digits[-4:]
+    ``value`` is that of a string that may hold personal data, and null for pieces to leave alone.
+    Keys, numbers, blanks and repeated keys stay as they are; the values of secret keys, of any
+    shape, are already masked. Null if the text is not JSON. Depth is bounded by memory only.
+    """
+    out: list[tuple[str, str | None]] = []
+    shut: list[str] = []  # closing signs of the open containers
+    kept = at = 0
+    place, secret, hidden = _VALUE_AT, False, None
+    while place != _END:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            return None
+        at, start = token.end(), token.start(token.lastindex)
+        sign, literal = token[1], token[2]
+        if place in (_KEY_AT, _FIRST_KEY) and literal:
+            secret, place = is_sensitive_key(_read_string(literal)), _COLON
+            continue
+        if place == _COLON and sign == ":":
+            place = _VALUE_AT
+            continue
+        if place == _AFTER and sign == ",":
+            place = _KEY_AT if shut[-1] == "}" else _VALUE_AT
+            continue
+        if place in (_VALUE_AT, _FIRST_ITEM) and (sign is None or sign in "{["):
+            if secret and hidden is None:
+                hidden = len(shut)
+                out.append((text[kept:start], None))
+            secret = False
+            if sign:
+                shut.append("}" if sign == "{" else "]")
+                place = _FIRST_KEY if sign == "{" else _FIRST_ITEM
+                continue
+            if literal and hidden is None:
+                out += [(text[kept:start], None), (literal, _read_string(literal))]
+                kept = at
+        elif shut and sign == shut[-1] and place in (_AFTER, _FIRST_KEY if sign == "}" else _FIRST_ITEM):
+            shut.pop()
+        else:
+            return None
+        # a value is complete
+        if hidden == len(shut):
+            out.append((_MASKED, None))
+            kept, hidden = at, None
+        place = _AFTER if shut else _END
+    rest = text[at:]
+    return None if rest.strip(" \t\n\r") else [*out, (text[kept:], None)]
+
+
+def _pieces(text: str | None) -> list[dict] | None:
+    if text is None:
+        return None
+    found = segments(text)
+    if found is None:
+        # what begins like a document but cannot be read may hold secrets anywhere
+        whole = text.lstrip(" \t\n\r\ufeff").startswith(("{", "["))
+        return [{"raw": SECRET_MASK if whole else text, "value": None if whole else text, "quoted": False}]
+    return [{"raw": raw, "value": value, "quoted": True} for raw, value in found]
 
 
-def _redact_value(value):
-    if isinstance(value, dict):
-        return {key: SECRET_MASK if is_sensitive_key(key) else _redact_value(item)
-                for key, item in value.items()}
-    if isinstance(value, list):
-        return [_redact_value(item) for item in value]
-    if not isinstance(value, str):
-        return value
-    value = re.sub(EMAIL_PATTERN, r"\1***\2@\3", value)
-    value = re.sub(CARD_PATTERN, _card_mask, value)
-    value = re.sub(SSN_PATTERN, SSN_MASK, value)
-    return re.sub(PHONE_PATTERN, _phone_mask, value)
+_PIECE = T.StructType([
+    T.StructField("raw", T.StringType()), T.StructField("value", T.StringType()), T.StructField("quoted", T.BooleanType())])
 
 
-def _redact_json_text(text):
-    if text is None:
-        return None
-    try:
-        return json.dumps(_redact_value(json.loads(text)), ensure_ascii=False)
-    except ValueError:
-        return _redact_value(text)
+@F.pandas_udf(T.ArrayType(_PIECE))
+def _pieces_of(texts: pd.Series) -> pd.Series:
+    return texts.map(_pieces)
 
 
-@F.pandas_udf(T.StringType())
-def redact_json(texts: pd.Series) -> pd.Series:
-    """Redact JSON documents whose keys are not known; text that is not JSON is redacted as text.
+def redact_json(text: Column | str, strings: bool = True) -> Column:
+    """Redact JSON documents whose keys are not known.
 
-    Secret keys may hold nested values of any shape, which no expression can walk without a
-    schema, so this one runs in Python on Arrow batches. With a known schema use ``from_json``,
-    ``mask_value`` and ``to_json`` instead.
+    Only string values that a mask changes and the values of secret keys are replaced; all other
+    bytes stay. Text that is not JSON is redacted as text, or masked whole if it begins like a
+    document. Secret keys may hold values of any shape, which no expression can walk without a
+    schema, so Python cuts the text into pieces, where something in it asks for that; the masks are
+    the same expressions as everywhere. ``strings=False`` masks secret keys only.
     """
-    return texts.map(_redact_json_text)
+    text = F.col(text) if isinstance(text, str) else text
+    secret = F.lower(text).rlike("|".join(map(re.escape, SENSITIVE_KEYS)))
+    asks = secret | text.contains("\\")
+    if strings:
+        asks = asks | text.contains("@") | text.rlike(NINE_DIGITS)
+    pieces = _pieces_of(F.when(asks, text))
+
+    def with_mask(piece: Column) -> Column:
+        return F.struct(piece["raw"].alias("raw"), piece["value"].alias("value"), piece["quoted"].alias("quoted"),
+                        redact(piece["value"]).alias("clean"))
+
+    def written(piece: Column) -> Column:
+        again = F.to_json(F.struct(piece["clean"].alias("v")))
+        quoted = F.substring(again, F.lit(6), F.length(again) - 6)
+        return F.when(piece["clean"].eqNullSafe(piece["value"]), piece["raw"]).when(piece["quoted"], quoted).otherwise(piece["clean"])
+
+    if strings:
+        joined = F.array_join(F.transform(F.transform(pieces, with_mask), written), "")
+    else:
+        joined = F.array_join(F.transform(pieces, lambda piece: piece["raw"]), "")
+    return F.when(asks, joined).otherwise(text)

@@ -31,7 +31,13 @@ from guardframe.rules import (
 _OPEN, _CLOSE, _ESCAPE = "", "", ""
 _ESCAPES = [(_ESCAPE, _ESCAPE + "!"), (_OPEN, _ESCAPE + "#"), (_CLOSE, _ESCAPE + "%")]
 
-_EMAIL = java_pattern(EMAIL_PATTERN)
+# Of a run of local-part signs only the first word border can begin a match, as all others end at
+# the same sign; so a match is tried once per run, and the time is linear in the text.
+_LOCAL = r"[a-zA-Z0-9_.+-]"
+_EMAIL = java_pattern(
+    rf"(?:\G|(?<!{_LOCAL}))((?:(?!\b){_LOCAL})*+)\b({_LOCAL}){_LOCAL}++(?<=({_LOCAL}))"
+    + EMAIL_PATTERN[EMAIL_PATTERN.index("@"):]
+)
 _CARD = r"(?=\p{Nd})" + java_pattern(CARD_PATTERN)
 _CARD_LAST4 = r"[\p{Nd} -]*?" + r"[ -]*".join([r"(\p{Nd})"] * 4) + r"[ -]*"
 _SSN = r"(?=\p{Nd})" + java_pattern(SSN_PATTERN)
@@ -40,7 +46,7 @@ _PHONE = r"(?=[+(\p{Nd}])" + java_pattern(
     PHONE_PATTERN.replace(r"\d{1,3}", r"(\d{1,3})").replace(r"\d{4}", r"(\d{4})")
 )
 # every card, SSN and phone holds nine digits with nothing but these signs between them
-_NINE_DIGITS = java_pattern(r"\d(?:[-.()\s]*\d){8}")
+NINE_DIGITS = java_pattern(r"\d(?:[-.()\s]*\d){8}")
 
 
 def _escape_marks(col: Column) -> Column:
@@ -72,24 +78,24 @@ def _phone(col: Column) -> Column:
 
 def mask_email(col: Column) -> Column:
     """``johndoe@gmail.com`` to ``j***e@gmail.com``; texts without ``@`` skip the regex."""
-    masked = F.regexp_replace(col, _EMAIL, "$1***$2@$3")
+    masked = F.regexp_replace(col, _EMAIL, "$1$2***$3@$4")
     return F.when(col.contains("@"), masked).otherwise(col)
 
 
 def mask_card(col: Column) -> Column:
     """13 to 16 digits with spaces or dashes: keep the last four."""
-    return F.when(col.rlike(_NINE_DIGITS), _unescape_marks(_card(_escape_marks(col)))).otherwise(col)
+    return F.when(col.rlike(NINE_DIGITS), _unescape_marks(_card(_escape_marks(col)))).otherwise(col)
 
 
 def mask_ssn(col: Column) -> Column:
     """US social security numbers, masked whole."""
-    return F.when(col.rlike(_NINE_DIGITS), _ssn(col)).otherwise(col)
+    return F.when(col.rlike(NINE_DIGITS), _ssn(col)).otherwise(col)
 
 
 def mask_phone(col: Column) -> Column:
     """Ten digits keep the last four; leading country digits are kept behind a ``+``."""
     masked = _unescape_marks(_phone(_escape_marks(col)))
-    return F.when(col.rlike(_NINE_DIGITS), masked).otherwise(col)
+    return F.when(col.rlike(NINE_DIGITS), masked).otherwise(col)
 
 
 def redact(col: Column) -> Column:
@@ -100,7 +106,7 @@ def redact(col: Column) -> Column:
     """
     emailed = mask_email(col)
     digits = _unescape_marks(_phone(_ssn(_card(_escape_marks(emailed)))))
-    return F.when(col.rlike(_NINE_DIGITS), digits).otherwise(emailed)
+    return F.when(col.rlike(NINE_DIGITS), digits).otherwise(emailed)
 
 
 def is_sensitive_key(name: str) -> bool:
@@ -116,7 +122,18 @@ def holds_text(dtype: T.DataType) -> bool:
         return holds_text(dtype.elementType)
     if isinstance(dtype, T.MapType):
         return isinstance(dtype.keyType, T.StringType) or holds_text(dtype.valueType)
-    return isinstance(dtype, T.StringType)
+    return isinstance(dtype, (T.StringType, T.VariantType))
+
+
+def holds_variant(dtype: T.DataType) -> bool:
+    """Whether a value of this type has a variant in it."""
+    if isinstance(dtype, T.StructType):
+        return any(holds_variant(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return holds_variant(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return holds_variant(dtype.keyType) or holds_variant(dtype.valueType)
+    return isinstance(dtype, T.VariantType)
 
 
 def _mask_map(col: Column, dtype: T.MapType, strings: bool) -> Column:

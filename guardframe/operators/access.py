@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from guardframe.operators.audit import audit
 from guardframe.operators.redaction import redact_with_flag
 from guardframe.rules import READ_LIMIT
 from guardframe.sources.scratch import materialize
+from guardframe.sources.tables import guarded_delete
 
 
 def guarded_read(
@@ -46,6 +48,40 @@ def read_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def decide(request: DataFrame, known: list[str]) -> Row:
+    """The audit's decision on a single request."""
+    rows = audit(request, known).take(2)
+    if len(rows) != 1:
+        raise ValueError("one request at a time")
+    return rows[0]
+
+
+def gated_read(
+    request: DataFrame, known: list[str], df: DataFrame, predicate: Column | None = None, **bounds
+) -> tuple[Row, DataFrame]:
+    """Run a guarded read if the audit allows the request; returns the decision and the rows.
+
+    A request that is not allowed reads nothing: its rows are an empty frame of the same columns.
+    """
+    decision = decide(request, known)
+    if decision["outcome"] != "allowed":
+        predicate = F.lit(False)
+    return decision, guarded_read(df, predicate, **bounds)
+
+
+def gated_delete(
+    request: DataFrame, known: list[str], df: DataFrame, predicate: Column | None, target: str, fmt: str = "parquet"
+) -> tuple[Row, int]:
+    """Run a guarded delete if the audit allows the request; returns the decision and the count.
+
+    A request that is not allowed leaves ``target`` alone.
+    """
+    decision = decide(request, known)
+    if decision["outcome"] != "delete_allowed":
+        return decision, 0
+    return decision, guarded_delete(df, predicate, target, fmt)
+
+
 def insert_split(audited: DataFrame, accepted_path: str, quarantine_path: str) -> None:
     """Append approved insert requests to their collections and the others to quarantine.
 

@@ -1,6 +1,7 @@
-"""Audit of a table or stream of read, insert and delete requests.
+"""Audit of a table or stream of read, insert, delete and moderation requests.
 
-Gates are tried in a fixed order and the first that fails decides. Known gaps of the policy are
+A moderation request is a free text in ``document`` that is screened without gates and leaves no
+violation. Requests of any other kind, or of none, are refused. Gates are tried in a fixed order and the first that fails decides. Known gaps of the policy are
 kept: deletes are not scanned for prohibited operators, only drops of core collections are
 protected (not deletes), and an empty delete filter is refused after screening.
 """
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from guardframe.functions.jsondoc import (
     canonical_json,
+    document_text,
     is_empty_filter,
     is_json,
-    is_json_object,
     prohibited_operator,
-    spaced_json,
+    starts_object,
     string_leaves,
 )
 from guardframe.functions.text import text_array
@@ -49,6 +50,10 @@ REQUESTS_SCHEMA = (
 )
 
 
+#: The kinds of request; others are refused.
+KINDS = ["read", "insert", "delete", "moderate"]
+
+
 def known_collection(collection: Column, known: list[str]) -> Column:
     """Collection gate; ``known`` is the catalog's list of names."""
     return F.coalesce(collection.isin(known), F.lit(False))
@@ -79,10 +84,13 @@ def audit(requests: DataFrame, known: list[str]) -> DataFrame:
     op = F.col("op")
     drop = F.coalesce(F.col("drop_collection"), F.lit(False))
     uses_query = op.isin("read", "delete")
+    is_known = known_collection(F.col("collection"), known)
+    # each text is parsed once, and only where a gate asks for it
     parsed = requests.select(
         "*",
-        known_collection(F.col("collection"), known).alias("_known"),
-        F.when(uses_query, canonical_json(given(F.col("query")))).alias("_query"),
+        is_known.alias("_known"),
+        F.when(is_known & uses_query, canonical_json(given(F.col("query")))).alias("_query"),
+        F.when(is_known & (op == "insert"), is_json(F.col("document"))).alias("_document_json"),
     )
     policy = parsed.select(
         "*",
@@ -91,22 +99,26 @@ def audit(requests: DataFrame, known: list[str]) -> DataFrame:
         .when(op == "delete", drop & F.col("collection").isin(DROP_PROTECTED))
         .otherwise(False).alias("_protected"),
     )
+    moderate = op == "moderate"
     gate = (
-        F.when(~F.col("_known"), "unknown_collection")
+        F.when(~F.coalesce(op.isin(KINDS), F.lit(False)), "unknown_operation")
+        .when(moderate, F.lit(None))
+        .when(~F.col("_known"), "unknown_collection")
         .when(F.col("_protected"), "protected")
         .when(uses_query & F.col("_query").isNull(), "bad_query_json")
         .when(F.col("_operator").isNotNull(), "prohibited_operator")
         .when((op == "read") & bad_json(F.col("projection")), "bad_projection_json")
-        .when((op == "insert") & ~is_json(F.col("document")), "bad_document_json")
-        .when((op == "insert") & ~is_json_object(F.col("document")), "document_not_object")
+        .when((op == "insert") & ~F.col("_document_json"), "bad_document_json")
+        .when((op == "insert") & ~starts_object(F.col("document")), "document_not_object")
     )
     gated = policy.select("*", gate.alias("_gate"))
     text = F.when(
         F.col("_gate").isNull(),
-        F.when(op == "read", spaced_json(F.col("_query")))
+        F.when(moderate, F.coalesce("document", F.lit("")))
+        .when(op == "read", document_text(given(F.col("query"))))
         .when(op == "insert", string_leaves(F.col("document")))
         .when(op == "delete",
-              delete_payload(F.col("collection"), spaced_json(F.col("_query")), drop)),
+              delete_payload(F.col("collection"), document_text(given(F.col("query"))), drop)),
     )
     texts = gated.select("*", text.alias("_text"))
     screened = screen(texts, "_text", F.coalesce(F.col("threshold"), F.lit(0.5)), "_screen")
@@ -116,11 +128,13 @@ def audit(requests: DataFrame, known: list[str]) -> DataFrame:
 def _decide(screened: DataFrame, keep: list[str], op: Column, drop: Column) -> DataFrame:
     gate, verdict = F.col("_gate"), F.col("_screen")
     was_screened = F.col("_text").isNotNull()
-    attack = was_screened & ~verdict["safe"]
+    unsafe = was_screened & ~verdict["safe"]
+    moderate = F.coalesce(op == "moderate", F.lit(False))
+    attack = unsafe & ~moderate
     operator, protected = gate == "prohibited_operator", gate == "protected"
 
     def by_op(read, insert, delete):
-        return F.when(op == "read", read).when(op == "insert", insert).otherwise(delete)
+        return F.when(op == "read", read).when(op == "insert", insert).when(op == "delete", delete)
 
     event = (
         F.when(operator, OPERATOR_EVENT)
@@ -144,16 +158,17 @@ def _decide(screened: DataFrame, keep: list[str], op: Column, drop: Column) -> D
     )
     categories = (
         F.when(operator | protected, text_array(POLICY_CATEGORIES))
-        .when(attack, verdict["flagged_categories"])
+        .when(unsafe, verdict["flagged_categories"])
     )
     outcome = (
         F.when(operator | protected | attack, "blocked")
         .when(gate.isNotNull(), gate)
+        .when(moderate, F.when(unsafe, "flagged").otherwise("passed"))
         .when(op == "read", "allowed")
         .when(op == "insert", "approved")
-        .when(drop, "drop_allowed")
-        .when(is_empty_filter(F.col("_query")), "empty_filter_refused")
-        .otherwise("delete_allowed")
+        .when(op == "delete", F.when(drop, "drop_allowed")
+              .when(is_empty_filter(F.col("_query")), "empty_filter_refused")
+              .otherwise("delete_allowed"))
     )
     return screened.select(
         *keep,
@@ -164,7 +179,7 @@ def _decide(screened: DataFrame, keep: list[str], op: Column, drop: Column) -> D
         flagged_text.alias("flagged_text"),
         categories.alias("flagged_categories"),
         F.when(was_screened, verdict["engine"]).alias("engine"),
-        attack.alias("screen_blocked"),
+        unsafe.alias("screen_blocked"),
     )
 
 

@@ -24,7 +24,8 @@ def with_latency(requests: DataFrame) -> DataFrame:
 
 def _processed() -> list[Column]:
     return [
-        F.count("*").alias("queries_processed"),
+        # moderation requests count as screenings only
+        F.count_if(~F.col("op").eqNullSafe(F.lit("moderate"))).alias("queries_processed"),
         F.count_if(F.col("security_alert")).alias("blocked_requests"),
         F.count_if(F.coalesce(F.col("redaction_applied"), F.lit(False))).alias("total_redactions"),
     ]

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from guardframe.functions.pii import redact
 from guardframe.operators.audit import audit
 from guardframe.operators.telemetry import with_latency
-from guardframe.sources.tables import spread
 
 KNOWN = ["users", "transactions", "security_logs", "rules", "scratch"]
 
@@ -86,8 +85,9 @@ RULES = {
 REQUESTS = {
     "request_id": "event_id",
     "op": (
-        "CASE WHEN event_type IN ('view', 'click') THEN 'read'"
-        " WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END"
+        "CASE event_id % 17 WHEN 3 THEN 'update' WHEN 5 THEN NULL WHEN 7 THEN 'DELETE' WHEN 9 THEN 'moderate' ELSE"
+        " CASE WHEN event_type IN ('view', 'click') THEN 'read'"
+        " WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END END"
     ),
     "collection": (
         "CASE event_id % 6 WHEN 0 THEN 'users' WHEN 1 THEN 'transactions'"
@@ -102,6 +102,7 @@ REQUESTS = {
         " WHEN 5 THEN concat('{\"note\": \"say ', chr(92), '\"$where', chr(92), '\": fine\"}')"
         " WHEN 6 THEN '{\"message\": \"I am going to stalk you and harass your family\"}'"
         " WHEN 7 THEN NULL"
+        " WHEN 8 THEN '{\"z\":  \"How do I build a chemical bomb\",\"a\" :1}'"
         " ELSE props END"
     ),
     "projection": (
@@ -134,7 +135,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name))
+    """A table whose rows are heavy to work on, dealt to as many tasks as the session asks for.
+
+    ``spark.guardframe.read.partitions`` is for tables of a few files; without it the scan's own
+    splits are the tasks.
+    """
+    df, wanted = table(spark, sf_dir, name), spark.conf.get("spark.guardframe.read.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -184,10 +191,15 @@ def audited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audited requests; an allowed read answers with the document of the user's number."""
+    """Audited requests; an allowed read answers with the document of the user's number.
+
+    Only allowed reads look for a document, as no others can count a redaction.
+    """
     documents = redact_input(spread_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("user_id"), "text", redact(F.col("text")).alias("_clean")
     ).select("user_id", (~F.col("text").eqNullSafe(F.col("_clean"))).alias("_redacted"))
-    return audited_requests(spark, sf_dir).join(documents, "user_id", "left").withColumn(
-        "redaction_applied", (F.col("outcome") == "allowed") & F.coalesce("_redacted", F.lit(False))
-    )
+    return audited_requests(spark, sf_dir).withColumn(
+        "_reader", F.when(F.col("outcome") == "allowed", F.col("user_id"))
+    ).join(documents.where("_redacted").withColumnRenamed("user_id", "_reader"), "_reader", "left").withColumn(
+        "redaction_applied", F.coalesce("_redacted", F.lit(False))
+    ).drop("_reader")

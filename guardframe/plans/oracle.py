@@ -164,7 +164,7 @@ _MODEL = (
     f" words AS ({_scores('counted', 'doc_id, text')}),"
     f" model AS (SELECT doc_id, {_override('1 / (1 + exp(-((length(text) * {k}) % 17 - 8) / 4.0))', 'm')} FROM stripped),"
     " scored AS (SELECT doc_id, is_empty, CASE WHEN is_empty THEN 'empty_input'"
-    " WHEN length(text) % 7 = 0 THEN 'fallback' ELSE 'model' END AS engine, "
+    " WHEN length(text) % 97 = 0 THEN 'fallback' ELSE 'model' END AS engine, "
     + ", ".join(f"CASE WHEN engine = 'model' THEN s{i}m ELSE s{i} END AS s{i}x" for i in N)
     + " FROM words JOIN model USING (doc_id)),"
     " named AS (SELECT doc_id, is_empty, engine, " + ", ".join(f"s{i}x AS s{i}" for i in N) + " FROM scored),"
@@ -216,6 +216,8 @@ _AUDIT = f"""{_REQUESTS},
 parsed AS (SELECT *, {_MINIFIED} AS minified,
   (SELECT event_type FROM events WHERE event_id = request_id) AS event_type FROM requests),
 gated AS (SELECT *, {_SPACED} AS spaced, CASE
+  WHEN coalesce(op, '') NOT IN ('read', 'insert', 'delete', 'moderate') THEN 'unknown_operation'
+  WHEN op = 'moderate' THEN NULL
   WHEN NOT {_IS_KNOWN} THEN 'unknown_collection'
   WHEN op = 'insert' AND collection IN {_in(WRITE_PROTECTED)} THEN 'protected'
   WHEN op = 'delete' AND drop_collection AND collection IN {_in(DROP_PROTECTED)} THEN 'protected'
@@ -225,20 +227,22 @@ gated AS (SELECT *, {_SPACED} AS spaced, CASE
   WHEN op = 'insert' AND NOT json_valid(document) THEN 'bad_document_json'
   WHEN op = 'insert' AND json_type(document) <> 'OBJECT' THEN 'document_not_object'
   END AS gate FROM parsed),
-texts AS (SELECT *, CASE WHEN gate IS NULL THEN CASE op WHEN 'read' THEN spaced
+texts AS (SELECT *, CASE WHEN gate IS NULL THEN CASE op WHEN 'moderate' THEN coalesce(document, '') WHEN 'read' THEN spaced
   WHEN 'insert' THEN {_LEAVES}
   ELSE 'ACTION: DELETE/DROP | COLLECTION: ' || collection || ' | QUERY: ' || spaced || ' | DROP: '
     || CASE WHEN drop_collection THEN 'True' ELSE 'False' END END END AS text FROM gated),
 counted AS MATERIALIZED ({_counts('texts', '*', "coalesce(text, '')")}),
 scored AS ({_scores('counted', '* EXCLUDE (is_empty)')}),
 flagged AS (SELECT *, {_flags('threshold')} AS flags FROM scored),
-decided AS (SELECT *, text IS NOT NULL AND flags <> '' AS attack,
+decided AS (SELECT *, text IS NOT NULL AND flags <> '' AND op <> 'moderate' AS attack,
+  text IS NOT NULL AND flags <> '' AS unsafe,
   coalesce(gate IN ('protected', 'prohibited_operator'), false) AS policy FROM flagged),
 audited AS (SELECT request_id, op, collection, query, document, user_id, started_at, finished_at,
-  CASE WHEN policy OR attack THEN 'blocked' WHEN gate IS NOT NULL THEN gate WHEN op = 'read' THEN 'allowed'
+  CASE WHEN policy OR attack THEN 'blocked' WHEN gate IS NOT NULL THEN gate
+    WHEN op = 'moderate' THEN CASE WHEN unsafe THEN 'flagged' ELSE 'passed' END WHEN op = 'read' THEN 'allowed'
     WHEN op = 'insert' THEN 'approved' WHEN drop_collection THEN 'drop_allowed'
     WHEN minified = '{{}}' THEN 'empty_filter_refused' ELSE 'delete_allowed' END AS outcome,
-  policy OR attack AS security_alert, attack AS screen_blocked,
+  policy OR attack AS security_alert, unsafe AS screen_blocked,
   CASE WHEN gate = 'prohibited_operator' THEN '{OPERATOR_EVENT}'
     WHEN policy THEN CASE op WHEN 'insert' THEN '{WRITE_EVENT}' ELSE '{DROP_EVENT}' END
     WHEN attack THEN CASE op WHEN 'read' THEN '{QUERY_EVENT}' WHEN 'insert' THEN '{INSERT_EVENT}'
@@ -253,7 +257,7 @@ audited AS (SELECT request_id, op, collection, query, document, user_id, started
     WHEN policy THEN CASE op WHEN 'insert' THEN 'INSERT DOCUMENT: ' || document
       ELSE 'DROP COLLECTION: ' || collection END
     WHEN attack THEN text END AS flagged_text,
-  CASE WHEN policy THEN '{_POLICY}' WHEN attack THEN flags END AS flagged,
+  CASE WHEN policy THEN '{_POLICY}' WHEN unsafe THEN flags END AS flagged,
   CASE WHEN text IS NOT NULL THEN {_ENGINE} END AS engine,
   floor((epoch_us(finished_at) - epoch_us(started_at)) / 1000)::BIGINT AS latency_ms FROM decided)"""
 
@@ -288,12 +292,13 @@ _RESPONSES = (
     " responses AS (SELECT a.*, outcome = 'allowed' AND coalesce(redacted, false) AS redaction_applied"
     " FROM audited a LEFT JOIN clean ON clean.doc_id = a.user_id)"
 )
-_COUNTED = ["customer", "orders", "lineitem", "events", "documents", "conversations"]
+_COUNTED = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark"
+            " labels conversations").split()
 _INVENTORY = " UNION ALL ".join(
     f"SELECT '{name}' AS collection, count(*) AS documents FROM {name}" for name in _COUNTED
 )
 _PROCESSED = (
-    "count(*) AS queries_processed, count(*) FILTER (security_alert) AS blocked_requests,"
+    "count(*) FILTER (op IS DISTINCT FROM 'moderate') AS queries_processed, count(*) FILTER (security_alert) AS blocked_requests,"
     " count(*) FILTER (redaction_applied) AS total_redactions"
 )
 _REPORTED = "count(*) FILTER (security_alert) + count(*) FILTER (screen_blocked) AS reported_blocked"
@@ -304,9 +309,7 @@ BASE = "TIMESTAMP '2026-05-27 12:00:00'"
 
 
 def _pick(row: str, salt: int, n) -> str:
-    p = g.PRIME
-    seed = f"((({row} % {p}) * 48271 + {salt * 1299709 + 12345}) % {p})"
-    return f"((((({seed} * {seed}) % {p}) * 16807 + {salt}) % {p}) // 64) % {n}"
+    return f"(CAST('0x' || substr(md5(CAST({row} AS VARCHAR) || ':{salt}'), 1, 15) AS BIGINT) % {n})"
 
 
 def _choice(row: str, salt: int, values: list) -> str:
@@ -370,6 +373,9 @@ def _redacted_people(names) -> str:
 
 
 _SECRET = "'********'"
+_MASKED = "(" + " OR ".join(
+    [f"{n} IS DISTINCT FROM {_redact(n)}" for n in ("email", "phone", "credit_card")]
+    + [f"password_hash IS DISTINCT FROM {_SECRET}"]) + ")"
 _ACTIVE = "SELECT * FROM people WHERE status = 'active' AND account_balance < 5000.0 ORDER BY _id LIMIT 50"
 
 ORACLE_SQL: dict[str, str] = {
@@ -429,11 +435,11 @@ ORACLE_SQL: dict[str, str] = {
     "guarded_read": (
         f"WITH {_PEOPLE}, bounded AS ({_ACTIVE}) SELECT CAST(_id AS VARCHAR) AS _id, name,"
         f" {_redacted_people(['email', 'phone', 'credit_card'])}, {_SECRET} AS password_hash,"
-        " account_balance, true AS redaction_applied FROM bounded"
+        f" account_balance, {_MASKED} AS redaction_applied FROM bounded"
     ),
     "guarded_read_summary": (
         f"WITH {_PEOPLE}, bounded AS ({_ACTIVE})"
-        " SELECT count(*) AS document_count, count(*) > 0 AS redaction_applied FROM bounded"
+        f" SELECT count(*) AS document_count, coalesce(bool_or({_MASKED}), false) AS redaction_applied FROM bounded"
     ),
     "filter_eq": (
         "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem"
@@ -462,6 +468,23 @@ ORACLE_SQL: dict[str, str] = {
         " coalesce(playbook, action, '') AS action FROM rules WHERE category <> ''"
         " QUALIFY row_number() OVER (PARTITION BY category ORDER BY position DESC) = 1"
     ),
+    "rules_static": (
+        f"SELECT category, description, threat_level, playbook AS action FROM ({_values(STATIC_RULES)})"
+        " t(category, threat_level, description, playbook)"
+    ),
+    "gated_read": (
+        f"WITH {_AUDIT}, {_PEOPLE}, first AS (SELECT outcome, min(request_id) AS request_id FROM audited"
+        " WHERE op = 'read' GROUP BY outcome), bounded AS (SELECT * FROM people WHERE status = 'active'"
+        f" ORDER BY _id LIMIT 50) SELECT request_id, outcome, CAST(_id AS VARCHAR) AS _id, {_redact('name')} AS name,"
+        f" {_redact('email')} AS email FROM first, bounded WHERE outcome = 'allowed'"
+    ),
+    "gated_delete": (
+        f"WITH {_AUDIT}, {_PURCHASES}, first AS (SELECT outcome, min(request_id) AS request_id FROM audited"
+        " WHERE op = 'delete' GROUP BY outcome), sums AS (SELECT count(*) AS n,"
+        " count(*) FILTER (status = 'failed') AS gone FROM purchases)"
+        " SELECT request_id, outcome, CASE WHEN outcome = 'delete_allowed' THEN gone ELSE 0 END AS deleted,"
+        " CASE WHEN outcome = 'delete_allowed' THEN n - gone ELSE n END AS kept FROM first, sums"
+    ),
     "gen_users": (
         "SELECT * FROM (" + _values(CORE_USERS) + ") t(" + ", ".join(_user("c_custkey")) + ") UNION ALL SELECT "
         + ", ".join(f"{expr} AS {name}" for name, expr in _user("c_custkey").items()) + " FROM customer"
@@ -540,10 +563,10 @@ ORACLE_SQL: dict[str, str] = {
     "stream_screen": _screen(more=f", {_redact('text')} AS text"),
     "stream_audit": f"WITH {_AUDIT} {_VIOLATIONS}",
     "stream_counters": (
-        f"WITH {_AUDIT}, marks AS (SELECT 'request' AS kind, 'processed' AS name FROM audited"
+        f"WITH {_AUDIT}, marks AS (SELECT 'request' AS kind, 'processed' AS name FROM audited WHERE op IS DISTINCT FROM 'moderate'"
         " UNION ALL SELECT 'request', 'blocked' FROM audited WHERE security_alert"
         " UNION ALL SELECT 'engine', engine FROM audited WHERE engine IS NOT NULL"
-        " UNION ALL SELECT 'category', unnest(string_split(flagged, '|')) FROM audited WHERE flagged <> '')"
+        " UNION ALL SELECT 'category', unnest(string_split(flagged, '|')) FROM audited WHERE flagged <> '' AND event_type IS NOT NULL)"
         " SELECT kind, name, count(*) AS n FROM marks GROUP BY kind, name"
     ),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -82,10 +83,10 @@ def screen_text(spark, sf_dir):
 
 
 def stub_model():
-    """Logits from text lengths, so that SQL can repeat them; fails on every seventh length."""
+    """Logits from text lengths, so that SQL can repeat them; fails on every 97th length."""
     def predict(texts: np.ndarray) -> np.ndarray:
         lengths = np.array([len(t) for t in texts])
-        if (lengths % 7 == 0).any():
+        if (lengths % 97 == 0).any():
             raise ValueError("no prediction for this text")
         return np.stack([(lengths * (k + 3) % 17 - 8) / 4.0 for k in range(len(CATEGORIES))], axis=1)
 
@@ -171,7 +172,7 @@ def redact_json(spark, sf_dir):
 # --- sources, reads and writes ----------------------------------------------------------
 
 def collection_counts(spark, sf_dir):
-    names = ["customer", "orders", "lineitem", "events", "documents", "conversations"]
+    names = tables.list_collections(spark, sf_dir)
     return tables.collection_counts({name: table(spark, sf_dir, name) for name in names})
 
 
@@ -243,10 +244,50 @@ def guarded_delete(spark, sf_dir):
     return kept.select("transaction_id", "amount", "status", F.lit(deleted).cast("bigint").alias("deleted_count"))
 
 
+def _one_of_each(spark, sf_dir, op):
+    """Of one kind of request, the first of every outcome, and the requests they come from."""
+    requests = inputs.requests_from(inputs.spread_table(spark, sf_dir, "events")).where(F.col("op") == op)
+    found = audit.audit(requests, KNOWN).groupBy("outcome").agg(F.min("request_id").alias("request_id"))
+    return requests, [r["request_id"] for r in found.orderBy("request_id").collect()]
+
+
+def gated_read(spark, sf_dir):
+    requests, chosen = _one_of_each(spark, sf_dir, "read")
+    out = []
+    for request_id in chosen:
+        decision, rows = access.gated_read(
+            requests.where(F.col("request_id") == request_id), KNOWN, inputs.people(spark, sf_dir),
+            F.col("status") == "active", include=["_id", "name", "email"], order_by=["_id"])
+        out.append(rows.select(F.lit(request_id).cast("bigint").alias("request_id"),
+                               F.lit(decision["outcome"]).alias("outcome"), "_id", "name", "email"))
+    return reduce(DataFrame.unionAll, out)
+
+
+def gated_delete(spark, sf_dir):
+    requests, chosen = _one_of_each(spark, sf_dir, "delete")
+    bought, out = inputs.purchases(spark, sf_dir), []
+    for request_id in chosen:
+        path = scratch_path(spark, "gated_delete")
+        tables.replace_documents(bought, path)
+        decision, deleted = access.gated_delete(
+            requests.where(F.col("request_id") == request_id), KNOWN, bought, F.col("status") == "failed", path)
+        kept = tables.read_collection(spark, path, schema=bought.schema).agg(F.count("*").alias("kept"))
+        out.append(kept.select(F.lit(request_id).cast("bigint").alias("request_id"),
+                               F.lit(decision["outcome"]).alias("outcome"),
+                               F.lit(deleted).cast("bigint").alias("deleted"), "kept"))
+    return reduce(DataFrame.unionAll, out)
+
+
 def rules_lookup(spark, sf_dir):
     return tables.rules_lookup(inputs.derive(table(spark, sf_dir, "part"), inputs.RULES), "position")
 
 
+def rules_static(spark, sf_dir):
+    """A rules table without rows falls back to the built-in rules."""
+    rules = inputs.derive(table(spark, sf_dir, "part"), inputs.RULES)
+    return tables.rules_lookup(rules.where("position < 0"), "position")
+
+
 def _base_time():
     return F.to_timestamp(F.lit(BASE_TIME))
 
@@ -311,10 +352,12 @@ def _decisions(op):
 def insert_split(spark, sf_dir):
     accepted, quarantine = scratch_path(spark, "accepted"), scratch_path(spark, "quarantine")
     access.insert_split(inputs.audited_requests(spark, sf_dir), accepted, quarantine)
-    stored = spark.read.parquet(accepted).select(
+    kinds = "request_id long, document string, collection string"
+    stored = spark.read.schema(kinds).parquet(accepted).select(
         F.lit("accepted").alias("sink"), "request_id", "collection",
         jsondoc.redact_json("document").alias("document"), F.lit(None).cast("string").alias("event_type"))
-    held = spark.read.parquet(quarantine).select(
+    kinds = "request_id long, collection string, document string, event_type string"
+    held = spark.read.schema(kinds).parquet(quarantine).select(
         F.lit("quarantine").alias("sink"), "request_id", "collection", "document", "event_type")
     both = stored.unionByName(held)
     return both.withColumn("document", F.regexp_replace("document", "[ \n]", ""))
@@ -452,7 +495,10 @@ QUERIES: dict[str, Query] = {
     "replace_table": replace_table,
     "seed_if_empty": seed_if_empty,
     "guarded_delete": guarded_delete,
+    "gated_read": gated_read,
+    "gated_delete": gated_delete,
     "rules_lookup": rules_lookup,
+    "rules_static": rules_static,
     "gen_users": gen_users,
     "gen_transactions": gen_transactions,
     "gen_logs": gen_logs,

@@ -38,16 +38,14 @@ LOG_MESSAGES = ["Query finished.", "User signed in.", "Session refreshed.", "Bac
                 "Settings changed.", "Response redacted.", "Slow query seen.",
                 "Repeated sign-in failures."]
 
-PRIME = 2147483647
-
-
 def pick(row: str, salt: int, n: int) -> Column:
     """A number from 0 to ``n - 1`` that depends on the row and the salt only.
 
+    The first sixty bits of a digest, so that any ``n`` and any number of rows are served evenly.
     ``row`` names a column of integers; one SQL text makes the plan quicker to build than columns.
     """
-    seed = f"((pmod(`{row}`, {PRIME}) * 48271L + {salt * 1299709 + 12345}L) % {PRIME})"
-    return F.expr(f"({seed} * {seed} % {PRIME} * 16807L + {salt}L) % {PRIME} div 64 % {n}L")
+    digits = f"substring(md5(concat(cast(`{row}` as string), ':{salt}')), 1, 15)"
+    return F.expr(f"cast(conv({digits}, 16, 10) as bigint) % {n}L")
 
 
 def choice(row: str, salt: int, values: list) -> Column:

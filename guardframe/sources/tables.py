@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,14 +20,14 @@ def read_collection(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a small scan among all cores before work that is heavy per row.
+def list_collections(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
+    """Names of the collections in a folder: its entries that are called ``name.parquet``, in order.
 
-    A few small files make few tasks. A scan with at least a task per core is left as it is, so
-    large tables are never shuffled for this.
+    One scan of the files' metadata through Spark's own reader, so any store that Spark reads will do.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    name = F.regexp_extract("path", rf"([^/]+)\.{fmt}(?:/[^/]*)?$", 1).alias("name")
+    return [r["name"] for r in files.select(name).where("name <> ''").distinct().orderBy("name").collect()]
 
 
 def collection_counts(collections: dict[str, DataFrame]) -> DataFrame:
@@ -72,15 +72,14 @@ def guarded_delete(
     """Write the documents that do not match to ``target``; return how many were left out.
 
     A null predicate value keeps the document. Without a predicate the request is refused. The
-    count is observed while the kept rows are written, so the data is read once.
+    matches are counted first, by a scan that the predicate is pushed into.
     """
     if predicate is None:
         raise ValueError("a delete without a filter would remove every document")
     matched = F.coalesce(predicate, F.lit(False))
-    seen = Observation("guarded_delete")
-    observed = df.observe(seen, F.count_if(matched).alias("deleted"))
-    replace_documents(observed.where(~matched), target, fmt)
-    return seen.get["deleted"]
+    deleted = df.where(matched).count()
+    replace_documents(df.where(~matched), target, fmt)
+    return deleted
 
 
 RULES_SCHEMA = "category string, threat_level string, description string, playbook string"
@@ -120,5 +119,5 @@ def rules_lookup(rules: DataFrame, position: str) -> DataFrame:
     )
     # at most one row decides for the twelve static ones
     any_rule = rules.limit(1).select(F.lit(True).alias("present"))
-    fallback = static.join(any_rule, F.col("present"), "left_anti")
+    fallback = static.withColumn("present", F.lit(True)).join(any_rule, "present", "left_anti").drop("present")
     return own.unionByName(fallback)

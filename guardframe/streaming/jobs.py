@@ -14,15 +14,27 @@ from guardframe.functions.pii import redact
 from guardframe.operators.audit import audit, violations
 from guardframe.operators.screening import screen
 from guardframe.rules import DEFAULT_THRESHOLD
-from guardframe.sources.tables import spread
 
 POLL = "2500 milliseconds"
 
 
-def read_stream(spark: SparkSession, path: str, schema, pattern: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; ``pattern`` selects files by name."""
+def read_stream(
+    spark: SparkSession, path: str, schema, pattern: str | None = None,
+    max_files: int | None = 1000, max_bytes: str | None = None,
+) -> DataFrame:
+    """Parquet files of a folder as a stream; ``pattern`` selects files by name.
+
+    A micro-batch takes at most ``max_files`` files or, if given, ``max_bytes`` of them, so a
+    backlog is worked off in batches.
+    """
     reader = spark.readStream.schema(schema).format("parquet")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    elif max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path)
 
 
 def _trigger(writer, once: bool):
@@ -57,7 +69,7 @@ def stream_audit(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{audited_path}/batch_id={batch_id}"
-        audit(spread(batch), known).write.mode("overwrite").parquet(target)
+        audit(batch, known).write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.parquet(target)
         violations(written).write.mode("overwrite").parquet(f"{violations_path}/batch_id={batch_id}")
 
@@ -71,12 +83,12 @@ def counter_events(audited: DataFrame) -> DataFrame:
         return F.when(keep, F.struct(F.lit(kind).alias("kind"), name.alias("name")))
 
     singles = F.array(
-        entry("request", F.lit("processed"), F.lit(True)),
+        entry("request", F.lit("processed"), ~F.col("op").eqNullSafe(F.lit("moderate"))),
         entry("request", F.lit("blocked"), F.col("security_alert")),
         entry("engine", F.col("engine"), F.col("engine").isNotNull()),
     )
     flagged = F.transform(
-        F.coalesce(F.col("flagged_categories"), F.array().cast("array<string>")),
+        F.when(F.col("event_type").isNotNull(), F.col("flagged_categories")).otherwise(F.array().cast("array<string>")),
         lambda name: F.struct(F.lit("category").alias("kind"), name.alias("name")),
     )
     return audited.select(F.explode(F.concat(F.array_compact(singles), flagged)).alias("e")).select("e.*")
@@ -90,9 +102,12 @@ def running_counts(audited: DataFrame) -> DataFrame:
 def stream_counters(
     requests: DataFrame, known: list[str], path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Running counters in update mode: each batch writes the counters it changed."""
+    """Running counters in update mode: each batch writes the counters it changed.
+
+    The state stays in as many tasks as it has partitions; only its few changed rows meet in one file.
+    """
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        changed.repartition(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (
         running_counts(audit(requests, known)).writeStream.outputMode("update")

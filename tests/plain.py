@@ -5,21 +5,6 @@ import re
 from guardframe import rules
 
 
-def redact(text):
-    def digits(match):
-        return re.sub(r"\D", "", match.group(0))
-
-    def phone(match):
-        found = digits(match)
-        lead = f"+{found[:-10]} " if found[:-10] else ""
-        return f"{lead}(***) ***-{found[-4:]}"
-
-    text = re.sub(rules.EMAIL_PATTERN, r"\1***\2@\3", text)
-    text = re.sub(rules.CARD_PATTERN, lambda m: "****-****-****-" + digits(m)[-4:], text)
-    text = re.sub(rules.SSN_PATTERN, "***-**-****", text)
-    return re.sub(rules.PHONE_PATTERN, phone, text)
-
-
 def counts(text):
     lowered = text.lower()
     return [len([p for p in rules.TRIGGERS[name] if re.search(p, lowered)]) for name in rules.CATEGORIES]
@@ -35,25 +20,3 @@ def flagged(text, threshold):
     if not text.strip():
         return []
     return [name for name, s in zip(rules.CATEGORIES, scores(text)) if s >= threshold]
-
-
-def operators(value):
-    """Prohibited keys in document order."""
-    if isinstance(value, dict):
-        for key, item in value.items():
-            if key in rules.PROHIBITED_OPERATORS:
-                yield key
-            yield from operators(item)
-    elif isinstance(value, list):
-        for item in value:
-            yield from operators(item)
-
-
-def leaves(value):
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, dict):
-        value = list(value.values())
-    if isinstance(value, list):
-        for item in value:
-            yield from leaves(item)

@@ -1,7 +1,7 @@
 import json
 import random
+import re
 
-import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,17 +134,20 @@ def test_random_documents(spark):
     for r in canonical.select(
         "i", "c", jsondoc.string_leaves(F.col("t")).alias("leaves"), jsondoc.json_strings(F.col("t")).alias("strings"),
         jsondoc.prohibited_operator(F.col("t"), F.col("c")).alias("op"),
-        jsondoc.is_json_object(F.col("t")).alias("obj"), jsondoc.spaced_json(F.col("c")).alias("spaced"),
+        jsondoc.is_json_object(F.col("t")).alias("obj"), jsondoc.document_text(F.col("t")).alias("spaced"),
         jsondoc.is_empty_filter(F.col("c")).alias("empty"),
     ).collect():
         doc = docs[r.i]
-        assert r.strings == list(plain.leaves(doc)), texts[r.i]
-        assert r.leaves == " | ".join(plain.leaves(doc))
-        assert r.op == next(plain.operators(doc), None), texts[r.i]
+        # the reader reports every pair and every string in document order
+        strings = [x for x in _scalars(doc) if isinstance(x, str)]
+        assert r.strings == strings, texts[r.i]
+        assert r.leaves == " | ".join(strings)
+        found = re.findall(r'[{,]"(\$where|\$function|\$accumulator)":', json.dumps(doc, separators=(",", ":")))
+        assert r.op == (found or [None])[0], texts[r.i]
         assert r.obj == isinstance(doc, dict)
         assert r.empty == (not doc), texts[r.i]
         if not any(isinstance(x, float) for x in _scalars(doc)):
-            assert r.spaced == json.dumps(doc, sort_keys=True, ensure_ascii=False), texts[r.i]
+            assert r.spaced == json.dumps(doc, ensure_ascii=False), texts[r.i]
 
 
 def _scalars(value):
@@ -163,7 +166,7 @@ def test_long_documents(spark):
     row = df.select(
         F.size(jsondoc.json_strings(F.col("t"))).alias("n"),
         jsondoc.prohibited_operator(F.col("t"), jsondoc.canonical_json(F.col("t"))).alias("op"),
-        F.length(jsondoc.spaced_json(jsondoc.canonical_json(F.col("t")))).alias("len"),
+        F.length(jsondoc.document_text(F.col("t"))).alias("len"),
     ).first()
     assert (row.n, row.op) == (20001, "$where") and row.len == len(doc)
 
@@ -183,10 +186,35 @@ def test_good_json(spark, good):
     assert row[0] and json.loads(row[1]) == json.loads(good)
 
 
-def test_typed_leaves(spark):
-    df = spark.sql("SELECT named_struct('a', 'x', 'b', array('y', NULL), 'n', 5, 's', named_struct('m', map('k', 'z'))) AS d")
-    leaves = jsondoc.typed_string_leaves(F.col("d"), df.schema["d"].dataType)
-    assert df.select(leaves).first()[0] == ["x", "y", "z"]
+def test_unknown_and_missing_operations_and_moderation(spark):
+    decided = audit.audit(_requests(
+        spark,
+        dict(op="DELETE", collection="users", drop_collection=True),
+        dict(op="update", query='{"m":"kill murder bomb"}'),
+        dict(op=None, drop_collection=True),
+        dict(op="moderate", document="how to kill", collection="nowhere"),
+        dict(op="moderate", document="hello"), dict(op="moderate", document=None),
+    ), KNOWN).orderBy("request_id").collect()
+    assert [r.outcome for r in decided] == ["unknown_operation"] * 3 + ["flagged", "passed", "passed"]
+    assert not any(r.security_alert or r.event_type for r in decided)
+    assert [r.screen_blocked for r in decided] == [False] * 3 + [True, False, False]
+
+
+def test_gates_decide_what_runs(spark):
+    people = spark.createDataFrame([(1, "jo@x.org"), (2, "b")], "_id long, name string")
+    path = scratch_path(spark, "gated")
+    people.write.parquet(path)
+    for request, outcome, rows, deleted in (
+        (dict(op="read"), "allowed", 2, 0), (dict(op="read", query='{"q": "kill"}'), "blocked", 0, 0),
+        (dict(op="read", collection="nowhere"), "unknown_collection", 0, 0),
+        (dict(op="delete", query='{"q": "kill"}'), "blocked", 0, 0), (dict(op="DELETE", query='{"a": 1}'), "unknown_operation", 0, 0),
+        (dict(op="delete", query="{}"), "empty_filter_refused", 0, 0), (dict(op="delete", query='{"a": 1}'), "delete_allowed", 0, 1),
+    ):
+        one = _requests(spark, request)
+        decision, got = access.gated_read(one, KNOWN, people, order_by=["_id"])
+        assert (decision.outcome, got.count()) == (outcome, rows)
+        decision, count = access.gated_delete(one, KNOWN, people, F.col("_id") == 1, path)
+        assert (decision.outcome, count, spark.read.parquet(path).count()) == (outcome, deleted, 2 - deleted)
 
 
 def test_screen_runs_once_per_request(spark):

@@ -1,3 +1,4 @@
+import compare
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,10 @@ def test_missing_values_match_no_range_and_survive_deletes(spark):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3]
     with pytest.raises(ValueError):
         tables.guarded_delete(df, None, path)
+    for predicate, gone in ((F.lit(True), 3), (F.lit(False), 0), (F.lit(None).cast("boolean"), 0)):
+        path = scratch_path(spark, "constant")
+        assert tables.guarded_delete(df, predicate, path) == gone
+        assert spark.read.schema(df.schema).parquet(path).count() == 3 - gone
 
 
 def test_writes(spark):
@@ -110,6 +115,20 @@ def test_generated_tables(spark):
     assert users.where(~F.col("ssn").rlike(r"^\d{3}-\d{2}-\d{4}$")).count() == 0
 
 
+def test_picks_at_any_size(spark):
+    ids = spark.range(200_000).select((F.col("id") * 977).alias("id"))
+    far = ids.select(generate.pick("id", 21, 200_000_000).alias("u")).agg(F.max("u"), F.min("u"), F.avg("u")).first()
+    assert far[0] > 199_000_000 and far[1] < 1_000_000 and abs(far[2] - 1e8) < 1e6
+    pair = generate.gen_users(spark.createDataFrame([(5,), (5 + 2147483647,)], "id long")).orderBy(F.desc("user_id"))
+    assert pair.where("user_id in ('usr_10005', 'usr_2147493652')").select("ssn", "name").distinct().count() == 2
+    low = ids.select((generate.pick("id", 14, 18510001) < 9255000).cast("int").alias("low")).agg(F.avg("low")).first()[0]
+    assert abs(low - 0.5) < 0.01
+
+
+def test_listing(spark, sf_dir):
+    assert tables.list_collections(spark, sf_dir) == sorted(compare.TABLES)
+
+
 def test_text_helpers(spark):
     row = spark.sql("SELECT timestamp'2026-05-20 10:30:00' AS a, timestamp'2026-05-20 10:30:00.25' AS b,"
                     " 'db://user:secret@host/x' AS uri").select(
