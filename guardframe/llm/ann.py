@@ -45,8 +45,11 @@ def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the same order for every row."""
-    return (rows * query).sum(axis=1)
+    """Inner products in double precision, summed from the first component to the last."""
+    out = np.zeros(len(rows))
+    for k, value in enumerate(query):
+        out += rows[:, k] * value
+    return out
 
 
 @np.errstate(over="ignore", invalid="ignore")

@@ -1,3 +1,6 @@
+from functools import reduce
+from operator import add
+
 import edge
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from guardframe.llm.ann import nearest
 def plain(queries, rows, k):
     out = {}
     for key, q in queries:
-        scored = sorted((-float((np.array(v, float) * np.array(q, float)).sum()), i) for i, v in rows if i != key)
+        scored = sorted((-reduce(add, (a * b for a, b in zip(v, q)), 0.0), i) for i, v in rows if i != key)
         out[key] = [(i, -s) for s, i in scored[:k]]
     return out
 
