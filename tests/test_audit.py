@@ -113,6 +113,12 @@ def test_violation_records(spark):
     ]
 
 
+def test_violations_newest_first(spark):
+    log = spark.createDataFrame([(1, "2026-01-01"), (2, "2026-01-03"), (3, "2026-01-02"), (4, "2026-01-03")], "request_id long, t string")
+    latest = audit.violations_latest(log.select("request_id", F.col("t").cast("timestamp").alias("timestamp")))
+    assert [r.request_id for r in latest.collect()] == [4, 2, 3, 1]
+
+
 def _random_json(rnd, depth=0):
     kind = rnd.random()
     if depth > 3 or kind < 0.35:

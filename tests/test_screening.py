@@ -103,6 +103,22 @@ def test_model_scores_overrides_and_fallback(spark):
     assert got["  "].engine == "empty_input"
 
 
+@pytest.mark.parametrize("bad,most", [([], 1), ([5], 14), ([0, 63], 26)])
+def test_model_calls_are_few(bad, most):
+    calls = []
+
+    def predict(texts):
+        calls.append(len(texts))
+        if any(t.startswith("bad") for t in texts):
+            raise ValueError
+        return np.ones((len(texts), 12))
+    texts = np.array([None, *("bad" if k in bad else "good" for k in range(64)), None], dtype=object)
+    got = S._predict_or_nan(lambda: predict)()(texts)
+    assert len(calls) <= most and calls[0] == 64
+    failed = np.isnan(got).all(axis=1)
+    assert failed.tolist() == [True, *(k in bad for k in range(64)), True]
+
+
 def test_override_looks_inside_words(spark):
     df = spark.createDataFrame([("weaponized", {"Hate": 0.2, "Jailbreak prompts": 0.9,
                                                 "Indiscriminate weapons": 0.1})], "t string, s map<string,double>")

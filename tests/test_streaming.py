@@ -15,7 +15,7 @@ def _split(spark, sf_dir, name, parts):
 
 def _stream(spark, path):
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return jobs.read_stream(spark, path, schema, max_files=1)
 
 
 def _rows(df):
@@ -47,5 +47,6 @@ def test_counters_run_over_batches(spark, sf_dir):
     batch = jobs.running_counts(audit(inputs.requests_from(spark.read.parquet(path)), inputs.KNOWN))
     assert _rows(jobs.latest_counters(spark, f"{out}/n")) == _rows(batch)
     total = jobs.latest_counters(spark, f"{out}/n").where("name = 'processed'").first().n
-    assert total == inputs.table(spark, sf_dir, "events").count()
+    # moderation requests are screenings, not processed queries
+    assert total == inputs.table(spark, sf_dir, "events").where("event_id % 17 <> 9").count()
     assert spark.read.parquet(f"{out}/n").where(F.col("name") == "processed").count() == 3
