@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from guardframe.functions.jsondoc import redact_json
 from guardframe.operators.audit import audit
 from guardframe.operators.redaction import redact_with_flag
 from guardframe.rules import READ_LIMIT
@@ -82,6 +83,17 @@ def gated_delete(
     return decision, guarded_delete(df, predicate, target, fmt)
 
 
+def insert_results(audited: DataFrame) -> DataFrame:
+    """The answer to every approved insert: the new document's id and its redacted echo.
+
+    The id is a digest of request and document, so a request that is run again gets the same one.
+    """
+    key = F.concat_ws(":", F.col("request_id").cast("string"), F.col("document"))
+    return audited.where((F.col("op") == "insert") & (F.col("outcome") == "approved")).select(
+        "request_id", "collection", F.substring(F.sha2(key, 256), 1, 24).alias("inserted_id"),
+        redact_json("document").alias("document"))
+
+
 def insert_split(audited: DataFrame, accepted_path: str, quarantine_path: str) -> None:
     """Append approved insert requests to their collections and the others to quarantine.
 

@@ -525,6 +525,10 @@ ORACLE_SQL: dict[str, str] = {
         " collection, replace(document, ' ', '') AS document, event_type FROM audited"
         " WHERE op = 'insert' AND (security_alert OR outcome = 'approved')"
     ),
+    "insert_results": (
+        f"WITH {_AUDIT} SELECT request_id, collection, substr(sha256(request_id || ':' || document), 1, 24)"
+        f" AS inserted_id, {_redact('document')} AS document FROM audited WHERE op = 'insert' AND outcome = 'approved'"
+    ),
     "violations": f"WITH {_AUDIT} {_VIOLATIONS}",
     "violations_latest": (
         f"WITH {_AUDIT} SELECT request_id, event_type, timestamp FROM ({_VIOLATIONS})"

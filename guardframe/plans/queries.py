@@ -363,6 +363,10 @@ def insert_split(spark, sf_dir):
     return both.withColumn("document", F.regexp_replace("document", "[ \n]", ""))
 
 
+def insert_results(spark, sf_dir):
+    return access.insert_results(inputs.audited_requests(spark, sf_dir))
+
+
 def _violations(spark, sf_dir):
     return audit.violations(inputs.audited_requests(spark, sf_dir))
 
@@ -510,6 +514,7 @@ QUERIES: dict[str, Query] = {
     "audit_insert": _decisions("insert"),
     "audit_delete": _decisions("delete"),
     "insert_split": insert_split,
+    "insert_results": insert_results,
     "violations": violations,
     "violations_latest": violations_latest,
     "request_counters": request_counters,
