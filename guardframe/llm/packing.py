@@ -24,11 +24,10 @@ from guardframe.llm.tokens import Encoder
 from guardframe.sources.scratch import materialize
 
 CAPACITY, END_ID = 1024, 2
-#: Most rounds of the multiplicative weights, how far a round may cover a length at once, and how
-#: fast a price falls with the covered share.
-ROUNDS, STEP, RATE = 4000, 0.1, 0.5
-#: Shares of the demand that the program may cover before rounding; the fewest sequences win.
-SHARES = (1.0, 0.5, 0.0)
+#: Most rounds of the multiplicative weights, how far a round may cover a length at once, how fast
+#: a price falls with the covered share, and how much more than in proportion a long piece is worth.
+#: The last two together change a full sequence's price by less than one token's.
+ROUNDS, STEP, RATE, LONG = 4000, 0.5, 3e-4, 5e-4
 
 Pattern = tuple[int, dict[int, int]]  # how often, and how many of each length
 
@@ -60,26 +59,24 @@ def knapsack(prices: np.ndarray, capacity: int) -> dict[int, int]:
     return dict(found)
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS,
-               part: float = 1.0) -> list[tuple[float, dict[int, int]]]:
-    """Configurations with weights that cover up to a part of the demand, no length too often.
+def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[float, dict[int, int]]]:
+    """Configurations with weights that cover the demand as far as full sequences can, no length too often.
 
-    Ends when the best configuration at the prices leaves room: from there on rounding loses more
-    than best fit.
+    A price is a length's tokens, a little more for long ones, which are the harder to place later,
+    times a weight that shrinks with every share of its demand that gets covered. Ends when the best
+    configuration at the prices leaves room: no configuration of what is left fills a sequence, and
+    from there on rounding loses more than best fit.
     """
-    wanted = demand * part
+    wanted = demand.astype(float)
     covered = np.zeros(len(demand))
     sizes = np.arange(len(demand), dtype=float)
+    worth = sizes * (1 + LONG * sizes / capacity)
     out = []
     for _ in range(rounds):
         left = wanted - covered
         usable = left >= 1
-        if not usable.any():
-            break
-        share = np.where(usable, covered / np.maximum(wanted, 1), 0)
-        pace = share[usable].min()
-        prices = np.where(usable, sizes * np.exp(-RATE * (share - pace)), 0)
-        found = knapsack(prices, capacity)
+        share = covered / np.maximum(wanted, 1)
+        found = knapsack(np.where(usable, worth * np.exp(-RATE * share), 0), capacity)
         if sum(n * k for n, k in found.items()) < capacity:
             break
         most = min(min(max(STEP * wanted[n], k), left[n]) / k for n, k in found.items())
@@ -129,16 +126,11 @@ def best_fit(demand: np.ndarray, capacity: int) -> list[Pattern]:
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
     """Configurations and how often to use each; together they hold every length exactly."""
-    tries = [_rounded(histogram, capacity, rounds, part) for part in SHARES]
-    return min(tries, key=lambda found: sum(many for many, _ in found))
-
-
-def _rounded(histogram: dict[int, int], capacity: int, rounds: int, part: float) -> list[Pattern]:
     demand = np.zeros(capacity + 1, np.int64)
     for n, many in histogram.items():
         demand[n] = many
     chosen: dict[tuple, int] = defaultdict(int)
-    for weight, found in fractional(demand, capacity, rounds, part):
+    for weight, found in fractional(demand, capacity, rounds):
         chosen[tuple(sorted(found.items(), reverse=True))] += weight
     out: list[Pattern] = []
     for found, weight in chosen.items():
