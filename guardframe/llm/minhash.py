@@ -27,6 +27,10 @@ BANDS, ROWS = 24, 5
 #: the bar at which a candidate is not confirmed (a link is lost there with probability 1e-7).
 BITS, DEVIATIONS = 512, 5.2
 SEED = 20240611
+#: Slots of the bit map that leaves out rows, a fixed 4 MB.
+MARKS = 1 << 25
+#: Buckets of more members are compared in tiles of at most so many members and shingles a side.
+LARGE, TILE_MEMBERS, TILE_GRAMS = 64, 1024, 2_000_000
 #: Rounds that compare every member of a bucket with one of them before all others are.
 STARS = 4
 
@@ -111,16 +115,40 @@ def _sign(words: int, bands: int, rows: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, marks: np.ndarray):
+    """Shingle sets of the rows whose slot is marked."""
     schema = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], schema=schema)
+            slots = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((marks[slots >> 6] >> (slots & 63)) & 1 == 1))
+            grams = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(grams, pa.list_(pa.int64()))], schema=schema)
     return run
 
 
+def _slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, grams) of the wanted ids, without moving texts.
+
+    A bit map of fixed size goes to the tasks and leaves out most other rows where they lie; the
+    join behind it is exact.
+    """
+    wanted = wanted.distinct()
+    bits = wanted.select(_slot("id").alias("slot")).select(
+        F.expr("slot div 64").alias("cell"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    found = bits.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    sets = texts.where("id is not null").withColumn("slot", _slot("id")).mapInArrow(_sets(words, marks), "id long, grams array<long>")
+    return materialize(sets.join(wanted, "id", "left_semi"), "sets")
+
+
 def _fits(a: str, b: str, percent: int):
     """Sets of these sizes can be similar enough."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -136,9 +164,7 @@ def _alike(a: str, b: str, percent: int):
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(
-        _sets(words), "id long, grams array<long>"), "sets")
+    sets = _sets_of(texts, pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select("b").distinct()), words)
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -159,6 +185,83 @@ def _star(live: DataFrame, order) -> DataFrame:
         F.least("rid", "prid").alias("a"), F.greatest("rid", "prid").alias("b"), "n", "pn")
 
 
+def tile_links(ids: np.ndarray, roots: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, grams: np.ndarray,
+               percent: int) -> list[tuple[int, int]]:
+    """Links that join what the pairs of a tile join: enough of them to connect all that they connect.
+
+    Members are told by block; unless there is one block only, pairs lie across the two. Sets lie
+    one behind the other in ``grams``. Pairs of one root are left out.
+    """
+    many = len(ids)
+    _, column, holders = np.unique(grams, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(many), sizes)
+    shared = holders[column] > 1  # a shingle of one member is in no intersection
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    common = np.zeros((many, many), np.float32)
+    width = max(1, min(4096, int(column.max(initial=0)) + 1))
+    for first in range(0, int(column.max(initial=-1)) + 1, width):
+        low, high = np.searchsorted(column, (first, first + width))
+        held = np.zeros((many, width), np.float32)
+        held[row[low:high], column[low:high] - first] = 1
+        common += held @ held.T
+    either = sizes[:, None] + sizes - common
+    good = (100 * common >= percent * either) & (roots[:, None] != roots)
+    if blocks.min() != blocks.max():
+        good &= blocks[:, None] != blocks
+    up = {r: r for r in roots.tolist()}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+    out = []
+    for i, j in np.argwhere(np.triu(good, 1)).tolist():
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _tiles(live: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of different classes of large buckets, tile by tile."""
+    sets = _sets_of(texts, live.select(F.col("rid").alias("id")), words)
+    blocks = F.ceil(F.greatest(F.col("members") / TILE_MEMBERS, F.col("grams") / TILE_GRAMS)).cast("int")
+    own = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    own = own.select("key", "rid", "root", "blocks", "block").join(sets.withColumnRenamed("id", "rid"), "rid")
+    own = own.select("key", "rid", "root", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    own = own.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
+                     "rid", "root", "block", "grams")
+
+    def links(members: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(members).combine_chunks()
+        grams = table.column("grams").combine_chunks()
+        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+        found = tile_links(
+            *(table.column(c).to_numpy() for c in ("rid", "root", "block")),
+            np.diff(grams.offsets.to_numpy()).astype(np.int64), grams.flatten().to_numpy(), percent)
+        columns = list(zip(*found)) if found else [()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high"))))
+            starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+            for k, end in zip(starts, starts[1:] + [len(names)]):
+                if names[k] != now:
+                    if members:
+                        yield links(members)
+                    now, members = names[k], []
+                members.append(batch.slice(k, end - k))
+        if members:
+            yield links(members)
+    tile = ["key", "low", "high"]
+    return materialize(own.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct(), "tiles")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicates: one row (id, n_shingles, component_id, kept) per input row.
@@ -172,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are folded first, so a group of copies costs one aggregate. Then every bucket's
     members are compared with one of them, in up to STARS rounds with other choices, leaving out
     pairs that are in one class already; what then still lies in one bucket but in different
-    classes is compared with each other. A pair at the bar of 80 % is missed by all 24 bands of 5
+    classes is compared with each other, in large buckets by tiles of bounded size. A pair at the bar of 80 % is missed by all 24 bands of 5
     with probability 5e-5, at 85 % with 8e-7. One bit of each of 512 coordinates sorts out the
     candidates that are far from the bar.
     """
@@ -211,12 +314,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn and not found:
             break
 
-    live = materialize(live.join(bits, "rid"), "live")
-    other = live.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "n", "root", "bits")))
-    open_pairs = live.join(other, "key").where(
+    sizes = live.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    live = materialize(live.drop("size").join(sizes, "key"), "live")
+    small = live.where(F.col("members") <= LARGE).join(bits, "rid")
+    other = small.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "n", "root", "bits")))
+    open_pairs = small.join(other, "key").where(
         (F.col("rid") < F.col("rid_b")) & (F.col("root") != F.col("root_b")) & _fits("n", "n_b", percent)
         & _alike("bits", "bits_b", percent)).select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct()
     more = _confirm(materialize(open_pairs, "open"), texts, words, percent)
+    large = live.where(F.col("members") > LARGE)
+    if not large.isEmpty():
+        more = more.unionAll(_tiles(large, texts, words, percent))
     if not more.isEmpty():
         links = more if links is None else links.unionAll(more)
         roots = components(links)
