@@ -59,14 +59,15 @@ def test_triggers_and_shares(spark):
 
 def test_stats_row(spark):
     audited = spark.createDataFrame([
-        (True, True, "fallback", None, 10), (True, False, None, None, 20), (False, False, "fallback", True, 31),
-        (False, False, "empty_input", False, 40), (False, False, "model", None, 41),
-    ], "security_alert boolean, screen_blocked boolean, engine string, redaction_applied boolean, latency_ms bigint")
+        ("read", True, True, "fallback", None, 10), ("delete", True, False, None, None, 20),
+        ("read", False, False, "fallback", True, 31), ("insert", False, False, "empty_input", False, 40),
+        (None, False, False, "model", None, 41), ("moderate", False, True, "model", None, 26),
+    ], "op string, security_alert boolean, screen_blocked boolean, engine string, redaction_applied boolean, latency_ms bigint")
     counts = tables.collection_counts({"b": spark.range(2), "a": spark.range(1)})
     row = T.stats_row(audited, counts).first().asDict()
     assert row.pop("document_counts") == {"a": 1, "b": 2}
     assert row == {
-        "queries_processed": 5, "blocked_requests": 2, "total_redactions": 1, "reported_blocked": 3,
-        "avg_latency_ms": 28, "total_inferences": 4, "local_model_hits": 1, "fallback_hits": 2,
+        "queries_processed": 5, "blocked_requests": 2, "total_redactions": 1, "reported_blocked": 4,
+        "avg_latency_ms": 28, "total_inferences": 5, "local_model_hits": 2, "fallback_hits": 2,
         "empty_inputs": 1, "active_engine": "fallback"}
-    assert T.blocked_total(audited).first().asDict() == {"reported_blocked": 3, "blocked_requests": 2}
+    assert T.blocked_total(audited).first().asDict() == {"reported_blocked": 4, "blocked_requests": 2}
