@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +21,3 @@ def space_words(text: str | None) -> list[bytes]:
 def fold(column: str | int, divisor: int):
     """crc32 of an id as text, modulo ``divisor``; -1 without id."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor)), F.lit(-1))
-
-
-def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Rows as an Arrow batch; an empty list gives an empty batch."""
-    columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
