@@ -35,17 +35,38 @@ def lexicon_row(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) & (size - 1)
 
 
-def features(word: str, size: int) -> list[int]:
-    """Rows of the weight table: affixes of up to four letters and n-grams of up to three."""
-    word = word if len(word) <= 40 else word[:20] + word[-20:]
-    whole = f"^{word}$"
-    found = {"w" + word}
-    for n in (1, 2, 3, 4):
-        found.add("p" + word[:n])
-        found.add("s" + word[-n:])
-    for n in (1, 2, 3):
-        found.update(whole[k:k + n] for k in range(len(whole) - n + 1))
-    return [zlib.crc32(f.encode()) & (size - 1) for f in found]
+def features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the weight table, word after word, and how many each word has.
+
+    A word's features are its affixes of up to four letters and its n-grams of up to three with
+    its ends marked, hashed for all words at once. Of a long word both ends count.
+    """
+    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    sizes = np.array([len(w) for w in marked])
+    signs = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = sizes.cumsum()
+    word = np.repeat(np.arange(len(words)), sizes)
+    # hashes of the n signs from every place; those that reach into the next word are left out
+    hashes = {0: np.zeros(len(signs), np.uint64)}
+    owners, rows = [], []
+
+    def put(own: np.ndarray, found: np.ndarray, kind: int) -> None:
+        mixed = (found + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        owners.append(own)
+        rows.append((mixed >> np.uint64(40)).astype(np.int64) & (size - 1))
+    for n in range(1, 5):
+        many = len(signs) - n + 1
+        hashes[n] = (hashes[n - 1][:max(many, 0)] + signs[n - 1:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashes[n] ^= hashes[n] >> np.uint64(29)
+        if n < 4:
+            inside = np.flatnonzero(word[:max(many, 0)] == word[n - 1:])
+            put(word[inside], hashes[n][inside], 1)
+        own = np.flatnonzero(sizes - 2 >= n)
+        put(own, hashes[n][ends[own] - sizes[own] + 1], 2)
+        put(own, hashes[n][ends[own] - 1 - n], 3)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(rows)[order], np.bincount(owner, minlength=len(words))
 
 
 def forward_backward(potentials: np.ndarray, sizes: np.ndarray, start: np.ndarray, step: np.ndarray,
@@ -121,14 +142,12 @@ class Field:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("number", "table", "known")}
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
-        """Log potentials of words, their features, and their lexicon rows."""
-        rows = [features(w, self.size) for w in words]
-        flat = np.fromiter((r for row in rows for r in row), np.int64)
-        ends = np.cumsum([len(row) for row in rows])
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log potentials of words, their features and how many each has, and their lexicon rows."""
+        flat, width = features(words, self.size)
         table = self.lexicon[[lexicon_row(w, len(self.lexicon)) for w in words]]
-        summed = np.add.reduceat(self.weights[flat], np.r_[0, ends[:-1]], axis=0)
-        return summed + table * self.trust, rows, table
+        summed = np.add.reduceat(self.weights[flat], np.r_[0, width.cumsum()[:-1]], axis=0)
+        return summed + table * self.trust, flat, width, table
 
     def _potentials(self, words: list[str]) -> np.ndarray:
         if not hasattr(self, "number") or len(self.number) > self.keep:
@@ -151,8 +170,9 @@ class Field:
             self._potentials(words).astype(float), np.array(sizes),
             np.exp(self.start - self.start.max()), np.exp(self.step - self.step.max())))
 
-    def documents(self, texts: list[str | None], most: int = 200_000) -> list[tuple[str, float]]:
-        """Language and mean probability of each text; whole texts, about ``most`` words at a time."""
+    def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and mean probability of each text; whole texts, a bounded number of numbers at a time."""
+        most = 3_200_000 // max(16, len(self.labels) ** 2)
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         words: list[str] = []
         sizes: list[int] = []
@@ -192,9 +212,8 @@ class Field:
         data = [(number[name], np.array([index[w] for w in own])) for name, own in samples if own]
         if not data:
             return
-        _, rows, table = self.scores(vocabulary)
-        width = np.array([len(r) for r in rows])
-        flat, ends = np.concatenate([np.array(r) for r in rows]), width.cumsum()
+        _, flat, width, table = self.scores(vocabulary)
+        ends = width.cumsum()
         past = [np.full_like(x, 1e-6, dtype=float) for x in (self.weights, self.trust, self.start, self.step)]
         weights = self.weights.astype(float)
         for _ in range(rounds):
