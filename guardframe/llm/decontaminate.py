@@ -1,10 +1,10 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then local alignment.
+"""Benchmark passages in training documents: rare word pairs as seeds, then local alignment.
 
-The test items are cut into word n-grams. One pass over the documents counts in how many each
-n-gram occurs; the rarest part of every item's own n-grams are its seeds, so an item that leaked
-into many documents keeps seeds too. A second pass aligns the item with the words around every
-seed found. Both passes read the documents where they lie; test items travel in blocks of bounded
-size, and documents are never shuffled.
+Seeds are pairs of words that stand next or next but one in an item. One pass over the documents
+counts in how many each pair occurs; every item leaves out its commonest pairs, but no more than an
+alignment at the bar can do without. A second pass aligns the item with the words around the places
+that have the seeds such an alignment must have, so none is lost. Both passes read the documents
+where they lie; test items travel in blocks of bounded size, and documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a seed, the share of an item's n-grams that are seeds, and bytes of test text in a block.
-SEED_WORDS, SEED_SHARE, BLOCK_BYTES = 3, 0.6, 1 << 20
-#: Alignment scores per word, and the share of an item's full score that counts as a leak.
+#: Fewest words of an item that is searched, and bytes of test text in a block.
+SEED_WORDS, BLOCK_BYTES = 3, 1 << 20
+#: Alignment scores per word (the bounds in ``Items`` hold for these), and the share of an item's full score that counts as a leak.
 MATCH, MISMATCH, GAP, LEAK = 2, -1, -1, 0.4
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
@@ -58,81 +58,115 @@ def align(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of test items as word numbers, with their n-grams."""
+    """A block of test items as word numbers, with their pairs of words that stand next or next but one.
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], size: int):
-        self.size = size
+    An alignment that reaches the bar of an item of n words has m <= n matches and loses at most
+    2m - 2 share n points. Between neighbouring matches that stand at most two words apart on either
+    side it loses max(distances) - 1, between others two points or more; so two points for every
+    neighbouring pair less what it loses make 2 share n - 2 at least, in at most 3n - 2 share n words.
+    """
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], size: int, share: float):
         self.ids = [i for i, found in items if len(found) >= size]
         found = [w for _, w in items if len(w) >= size]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for own in found for w in own}))}
         self.base = np.int64(len(self.number) + 1)
         self.words = [self.numbers(own) for own in found]
-        self.grams = [self.keys(own) for own in self.words]
-        self.every = np.unique(np.concatenate(self.grams)) if found else np.empty(0, np.int64)
-        self.use(self.every)
+        lengths = np.array([len(own) for own in found], np.int64)
+        self.need = MATCH * share * lengths - MATCH
+        self.reach = np.ceil(3 * lengths - MATCH * share * lengths).astype(np.int64) + 1
+        self.every = np.unique(np.concatenate([self.keys(own, d) for own in self.words for d in (1, 2)])) \
+            if found else np.empty(0, np.int64)
+        self.use(np.zeros(len(self.every), np.int64))
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, found, repeat(0)), np.int64, len(found))
 
-    def keys(self, numbers: np.ndarray) -> np.ndarray:
-        """The n-gram that starts at each word; 0 where one of its words is in no item."""
-        n = len(numbers) - self.size + 1
-        if n < 1:
-            return np.empty(0, np.int64)
-        out = np.zeros(n, np.int64)
-        known = np.ones(n, bool)
-        for k in range(self.size):
-            part = numbers[k:k + n]
-            out = out * self.base + part
-            known &= part > 0
-        return np.where(known, out, 0)
-
-    def rare(self, counts: np.ndarray, share: float) -> np.ndarray:
-        """The rarest n-grams of every item, ties included; counts go with ``every``."""
-        keep = np.zeros(len(self.every), bool)
-        for grams in self.grams:
-            at = np.searchsorted(self.every, np.unique(grams))
-            own = counts[at]
-            bar = np.sort(own)[max(0, int(np.ceil(share * len(own))) - 1)]
-            keep[at[own <= bar]] = True
-        return self.every[keep]
-
-    def use(self, seeds: np.ndarray) -> None:
-        """Take these n-grams as seeds."""
-        self.seeds = seeds
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        chosen = set(seeds.tolist())
-        for k, grams in enumerate(self.grams):
-            for at, gram in enumerate(grams.tolist()):
-                if gram in chosen:
-                    self.places[gram].append((k, at))
-
-    def hits(self, numbers: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and n-grams of a text that are among the given ones."""
-        keys = self.keys(numbers)
+    def keys(self, numbers: np.ndarray, distance: int) -> np.ndarray:
+        """The pair that starts at each word; 0 where one of its words is in no item."""
+        one, other = numbers[:-distance], numbers[distance:]
+        return np.where((one > 0) & (other > 0), one * self.base + other, 0)
+
+    def use(self, counts: np.ndarray) -> None:
+        """Take all pairs as seeds but the commonest of every item, as far as the others must still
+        have half of the points; counts go with ``every``."""
+        self.left = self.need.copy()
+        rows: list[tuple[int, int, int]] = []  # pair, item, points
+        for k, own in enumerate(self.words):
+            places: dict[int, set[int]] = defaultdict(set)
+            near, far = (np.searchsorted(self.every, self.keys(own, d)).tolist() for d in (1, 2))
+            for pairs in (near, far):
+                for at, pair in enumerate(pairs):
+                    places[pair].add(at)
+            points = dict.fromkeys(far, MATCH - 1) | dict.fromkeys(near, MATCH)
+            dropped: set[int] = set()
+            for pair in sorted(places, key=lambda p: -counts[p]):
+                more = dropped | places[pair]
+                if 2 * MATCH * len(more) > self.need[k]:
+                    break
+                dropped = more
+                del points[pair]
+            self.left[k] -= MATCH * len(dropped)
+            rows += [(pair, k, n) for pair, n in points.items()]
+        table = np.array(sorted(rows), np.int64).reshape(-1, 3)
+        self.item, self.points = table[:, 1], table[:, 2]
+        self.starts = np.searchsorted(table[:, 0], np.arange(len(self.every) + 1))
+
+    def hits(self, numbers: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of a text's pairs that are an item's, and the pairs' places in ``every``."""
+        keys = self.keys(numbers, distance)
         at = np.flatnonzero(keys)
-        if not len(at) or not len(among):
-            return at[:0], keys[:0]
+        if not len(at) or not len(self.every):
+            return at[:0], at[:0]
         keys = keys[at]
-        place = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-        good = among[place] == keys
-        return at[good], keys[good]
+        place = np.minimum(np.searchsorted(self.every, keys), len(self.every) - 1)
+        good = self.every[place] == keys
+        return at[good], place[good]
+
+    def spots(self, numbers: np.ndarray) -> dict[int, list[int]]:
+        """By item, where the words within its reach have the points that an alignment at the bar has."""
+        found = [self.hits(numbers, d) for d in (1, 2)]
+        pair = np.concatenate([p for _, p in found])
+        first, count = self.starts[pair], self.starts[pair + 1] - self.starts[pair]
+        row = np.repeat(np.arange(len(pair)), count)
+        if not len(row):
+            return {}
+        at = np.arange(len(row)) + (first - np.cumsum(count) + count)[row]
+        item, place = self.item[at], np.concatenate([p for p, _ in found])[row]
+        points = np.where(row < len(found[0][0]), self.points[at], MATCH - 1)
+        enough = (np.bincount(item, points, len(self.words)) >= self.left - 1e-9)[item]
+        if not enough.any():
+            return {}
+        item, place, points = item[enough], place[enough], points[enough]
+        # one entry for every item and word, by both in order; words of two items are out of reach
+        width = len(numbers) + int(self.reach.max())
+        key = item * width + place
+        order = np.argsort(key, kind="stable")
+        key, points = key[order], points[order]
+        fresh = np.flatnonzero(np.diff(key, prepend=-1))
+        key, points = key[fresh], np.maximum.reduceat(points, fresh)
+        item = key // width
+        before = np.concatenate([[0], np.cumsum(points)])
+        good = before[np.searchsorted(key, key + self.reach[item])] - before[:-1] >= self.left[item] - 1e-9
+        out: dict[int, list[int]] = defaultdict(list)
+        for k, place in zip(item[good].tolist(), (key - item * width)[good].tolist()):
+            out[k].append(place)
+        return out
 
     def leaks(self, text: str | None, share: float, known: dict) -> list[tuple[int, float, int, int]]:
         """The items that a text holds: number, share of the full score, first and last word."""
         numbers = self.numbers(words(text))
-        spots: dict[int, list[int]] = defaultdict(list)
-        for at, gram in zip(*(x.tolist() for x in self.hits(numbers, self.seeds))):
-            for item, place in self.places[gram]:
-                spots[item].append(at - place)
+        spots = self.spots(numbers)
+        # of these one word reaches the bar
+        spots |= {k: list(range(len(numbers))) for k in np.flatnonzero(self.need <= 0).tolist()}
         out = []
         for item, starts in spots.items():
             own, best = self.words[item], (0, 0, 0)
-            slack = len(own) // 2 + 2
+            reach = int(self.reach[item])
             low = high = None
-            for start in [*sorted(starts), None]:
-                if low is not None and (start is None or start > high + len(own)):
-                    first, last = max(0, low - slack), min(len(numbers), high + len(own) + slack)
+            for start in [*starts, None]:
+                if low is not None and (start is None or start > high + 2 * reach):
+                    first, last = max(0, low - reach), min(len(numbers), high + reach)
                     score, a, b = self._best(item, numbers[first:last], share, known)
                     best = max(best, (score, -first - a, first + b))
                     low = None
@@ -155,50 +189,50 @@ class Items:
         return known[key]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> Iterator[Items]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, share: float, block_bytes: int) -> Iterator[Items]:
     own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes))
     for k in range(blocks):
         rows = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        yield Items(sorted(((r["id"], words(r["text"])) for r in rows), key=lambda r: (r[0] is None, r)), size)
+        yield Items(sorted(((r["id"], words(r["text"])) for r in rows), key=lambda r: (r[0] is None, r)), size, share)
 
 
-def _seeded(docs: DataFrame, block: Items, share: float) -> Items:
-    """The block with its seeds chosen by how many documents hold each n-gram."""
+def _seeded(docs: DataFrame, block: Items) -> Items:
+    """The block with its seeds chosen by how many documents hold each pair."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(block.every), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                _, found = block.hits(block.numbers(words(text.as_py())), block.every)
-                seen[np.searchsorted(block.every, np.unique(found))] += 1
+                numbers = block.numbers(words(text.as_py()))
+                seen[np.unique(np.concatenate([block.hits(numbers, d)[1] for d in (1, 2)]))] += 1
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["gram", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "docs"])
 
     counts = np.zeros(len(block.every), np.int64)
     if len(counts):
-        for row in docs.mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-            counts[row["gram"]] = row["docs"]
-    block.use(block.rare(counts, share))
+        for row in docs.mapInArrow(count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")).collect():
+            counts[row["pair"]] = row["docs"]
+    block.use(counts)
     return block
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text", *, seed_words: int = SEED_WORDS,
-          seed_share: float = SEED_SHARE, share: float = LEAK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          share: float = LEAK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of document and test item: (doc_id, item_id, score, first_word, last_word).
 
     The score is that of the best local alignment, as a share of the item's full score; pairs
     below ``share`` are left out. Words count from 0. Null or empty texts hold nothing; items of
     fewer than ``seed_words`` words are not searched; repeated rows give rows each, as do rows
-    without id. Further columns are ignored. A block's items and n-grams travel to the tasks, at
+    without id. Further columns are ignored. A block's items and pairs travel to the tasks, at
     most about ``block_bytes`` of text at a time, whatever the size of the test set.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for block in _blocks(items, item_id, item_text, seed_words, block_bytes):
+    for block in _blocks(items, item_id, item_text, seed_words, share, block_bytes):
         part = own.mapInArrow(
-            _find(_seeded(own.select("text"), block, seed_share), share),
+            _find(_seeded(own.select("text"), block), share),
             "doc_id long, item_id long, score double, first_word long, last_word long")
         found = part if found is None else found.unionAll(part)
     return found
@@ -220,13 +254,13 @@ def _find(block: Items, share: float):
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", *, seed_words: int = SEED_WORDS, seed_share: float = SEED_SHARE,
+                  item_text: str = "text", *, seed_words: int = SEED_WORDS,
                   share: float = LEAK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all their columns, that hold no test item; rows are judged one by one."""
     at = docs.columns.index(text_col)
     out = docs
-    for block in _blocks(items, item_id, item_text, seed_words, block_bytes):
-        block = _seeded(docs.select(text_col), block, seed_share)
+    for block in _blocks(items, item_id, item_text, seed_words, share, block_bytes):
+        block = _seeded(docs.select(text_col), block)
 
         def keep(batches: Iterable[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             known: dict = {}

@@ -2,6 +2,7 @@ import random
 
 import edge
 import numpy as np
+import pytest
 
 from guardframe.llm import decontaminate
 from guardframe.llm.decontaminate import GAP, MATCH, MISMATCH, align, leaks, without_leaks, words
@@ -66,6 +67,49 @@ def test_edited_copies_are_found_and_prose_is_left_alone(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == wanted
 
 
+def every(n, start=3):
+    return lambda rng, own: [f"x{k}" if k % n == start else w for k, w in enumerate(own)]
+
+
+def third(rng, own):
+    gone = set(rng.sample(range(len(own)), len(own) // 3))
+    return [f"x{k}" if k in gone else w for k, w in enumerate(own)]
+
+
+def spaced(n):
+    return lambda rng, own: [x for k, w in enumerate(own) for x in ([w, f"x{k}"] if k % n == n - 1 else [w])]
+
+
+@pytest.mark.parametrize("edit", [every(4), every(3, 2), third, spaced(2), spaced(1)])
+def test_one_edited_copy_alone(spark, edit):
+    """No other document holds the n-grams; some copies share no three words in a row with the item."""
+    rng = random.Random(7)
+    items = [(k, [f"i{k}w{j}" for j in range(40)]) for k in range(20)]
+    docs, wanted = [], {}
+    for k, own in items:
+        docs.append((k, [f"d{k}w{j}" for j in range(100)] + edit(rng, own) + [f"d{k}w{j}" for j in range(50)]))
+        number = {w: j + 1 for j, w in enumerate(own)}
+        score = plain_score([number.get(w, 0) for w in docs[-1][1]], [*range(1, 41)]) / (MATCH * 40)
+        if score >= decontaminate.LEAK:
+            wanted[k, k] = score
+    assert len(wanted) > 10
+    docs, items = ([(k, " ".join(w)) for k, w in rows] for rows in (docs, items))
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()} == wanted
+
+
+def test_every_alignment_at_the_bar_is_found():
+    rng = random.Random(9)
+    for _ in range(150):
+        items = [(k, [b"%d" % rng.randrange(9) for _ in range(rng.randrange(3, 12))]) for k in range(4)]
+        share = rng.choice([0.2, 0.4, 0.7])
+        block = decontaminate.Items(items, 3, share)
+        block.use(np.array([rng.randrange(4) for _ in block.every]))
+        text = [b"%d" % rng.randrange(14) for _ in range(60)]
+        wanted = {k: s for k, own in items if (s := plain_score(text, own) / (MATCH * len(own))) >= share}
+        assert {k: s for k, s, _, _ in block.leaks(b" ".join(text).decode(), share, {})} == wanted
+
+
 def test_leaks_in_most_documents_and_blocks_of_items(spark):
     item = " ".join(f"leak{k}" for k in range(20))
     docs = spark.createDataFrame([(k, f"before {item} after") for k in range(200)] + [(999, "clean")], "doc_id long, text string")
