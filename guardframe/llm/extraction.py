@@ -305,15 +305,14 @@ def main_text(page: str | None, template: Node | None) -> str:
         if top is not None:
             tops[id(top)] = top
             articles[id(top)] = articles.get(id(top), 0) + len(text)
+    learned = template is not None and template.pages >= PAGES
+    if learned:
+        mark(template, folded(root, texts))
     if articles:
-        # inside a landmark everything but what is set apart belongs to the article
         slot = tops[max(articles, key=articles.get)]
     else:
-        if template is not None and template.pages >= PAGES:
-            mark(template, folded(root, texts))
-            varying = [(b, t) for b, t in texts if b.template is None
-                       or b.template.texts.get(digest(t), 0) < CONSTANT * template.pages]
-            texts = varying or texts
+        if learned:
+            texts = [(b, t) for b, t in texts if _often(b, t, template) < CONSTANT * template.pages] or texts
         slot = _slot(root, texts)
 
     def within(block: Block | None) -> bool:
@@ -322,7 +321,31 @@ def main_text(page: str | None, template: Node | None) -> str:
                 return True
             block = block.parent
         return False
-    return "\n".join(t for b, t in texts if within(b))
+    texts = [(b, t) for b, t in texts if within(b)]
+    return "\n".join(t for _, t in (_own(texts, template) if articles and learned else texts))
+
+
+def _often(block: Block, text: str, template: Node) -> int:
+    """On how many of the host's pages the text stands at the block's node."""
+    return 0 if block.template is None else block.template.texts.get(digest(text), 0)
+
+
+def _own(texts: list[tuple[Block, str]], template: Node) -> list[tuple[Block, str]]:
+    """The texts of a landmark without the nodes of which all text is constant.
+
+    A constant text beside others of its node may be the article's, and where constant texts are
+    half of all the pages share an article; both stay.
+    """
+    least = max(PAGES, CONSTANT * template.pages)
+    constant = [_often(b, t, template) >= least for b, t in texts]
+    if 2 * sum(len(t) for (_, t), c in zip(texts, constant) if c) >= sum(len(t) for _, t in texts):
+        return texts
+    varying = {_place(b) for (b, _), c in zip(texts, constant) if not c}
+    return [(b, t) for b, t in texts if _place(b) in varying]
+
+
+def _place(block: Block) -> int:
+    return id(block if block.template is None else block.template)
 
 
 def _slot(root: Block, texts: list[tuple[Block, str]]) -> Block:

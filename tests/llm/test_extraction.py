@@ -62,6 +62,17 @@ def test_article_text_that_pages_share_stays():
     assert main_text(pages[4], template_of(pages)) == "A4\nSame line everywhere.\nOwn 4"
 
 
+def test_lines_that_all_pages_have_inside_a_landmark_go():
+    page = "<body><main><h1>A{0}</h1><div class='box'><p>Get our letter</p></div><p>Own {0}, which is longer than all the others together</p>" \
+        "<div class='box'><span>Tell your friends</span></div></main></body>"
+    pages = [page.format(k) for k in range(9)]
+    template = template_of(pages)
+    assert main_text(pages[4], template) == "A4\nOwn 4, which is longer than all the others together"
+    assert main_text(page.format("x").replace("Get our letter", "Once only"), template) == "Ax\nOnce only\nOwn x, which is longer than all the others together"
+    copies = [page.format(k % 2) for k in range(9)]
+    assert main_text(copies[0], template_of(copies[::2])) == "A0\nGet our letter\nOwn 0, which is longer than all the others together\nTell your friends"
+
+
 def test_simple_tree_matching():
     a = tree("b", tree("x"), tree("y", tree("z")), tree("w"))
     b = tree("b", tree("y", tree("z"), tree("q")), tree("v"), tree("w"))
