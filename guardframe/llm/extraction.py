@@ -2,9 +2,9 @@
 
 The block elements of a page are a tree, in which neighbours of one kind are one repeated node.
 Trees of pages of one host are aligned by simple tree matching and merged into the host's
-template; every node counts its pages and, in a bounded summary, its most frequent texts. Texts
-that stand at the same node of most pages are template; what varies is content. Landmarks and the
-usual roles of elements say which varying slots are not the article.
+template. All pages are then aligned with it, and the texts at every node are counted. Texts that
+stand at the same node of most pages are template; what varies is content. Landmarks and the usual
+roles of elements say which varying slots are not the article.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import ceil
 
 import pyarrow as pa
 import xxhash
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 
 from guardframe.sources.scratch import materialize
 
-#: Texts kept per node, deepest level of a tree, most nodes of a template, fewest pages of a host
+#: Texts in a node's summary, deepest level of a tree, most nodes of a template, fewest pages of a host
 #: to learn from, share of its pages that makes a text constant, and share of the varying text
 #: that a child must hold to be the content slot.
 TEXTS, DEPTH, NODES, PAGES, CONSTANT, SLOT = 16, 40, 400, 3, 0.5, 0.6
+#: Counts that a task holds before it hands them on.
+HELD = 200_000
 
 # How elements are laid out and what they are for.
 BLOCKS = frozenset(
@@ -55,11 +59,12 @@ _NAME = re.compile(r"[a-z]+")
 
 class Block:
     """A block element of a page."""
-    __slots__ = ("kind", "parent", "children", "aside", "landmark", "template", "chars")
+    __slots__ = ("kind", "parent", "children", "aside", "landmark", "template", "chars", "path")
 
     def __init__(self, kind: str, parent: Block | None, aside: bool, landmark: bool):
         self.kind, self.parent, self.children = kind, parent, []
         self.aside, self.landmark, self.template, self.chars = aside, landmark, None, 0
+        self.path = xxhash.xxh64_hexdigest((parent.path if parent else "") + " " + kind)
         if parent is not None:
             parent.children.append(self)
 
@@ -169,12 +174,14 @@ def parse(page: str | None) -> tuple[Block, list[tuple[Block, str]]]:
 
 class Node:
     """A node of a template, or of a page's folded tree."""
-    __slots__ = ("kind", "pages", "texts", "children", "blocks")
+    __slots__ = ("kind", "pages", "texts", "children", "blocks", "number", "paths")
 
     def __init__(self, kind: str, pages: int = 0, texts: dict[str, int] | None = None):
         self.kind, self.pages, self.texts = kind, pages, texts or {}
         self.children: list[Node] = []
         self.blocks: list[Block] = []
+        self.number = 0
+        self.paths: dict[str, dict[str, int]] = {}  # of a root: texts of blocks that have no node, by kinds
 
     def dump(self) -> list:
         return [self.kind, self.pages, self.texts, [c.dump() for c in self.children]]
@@ -188,6 +195,24 @@ class Node:
     def count(self) -> int:
         return 1 + sum(c.count() for c in self.children)
 
+    def all(self) -> list[Node]:
+        """All nodes, level by level."""
+        level, out = [self], []
+        while level:
+            out += level
+            level = [c for n in level for c in n.children]
+        return out
+
+    def take(self, counts: Iterable[tuple[str, str, str]]) -> Node:
+        """Set the counted texts, each with its place: a node's number, or kinds."""
+        every = self.all()
+        for n, node in enumerate(every):
+            node.number, node.texts = n, {}
+        for place, text, n in counts:
+            texts = every[int(place[1:])].texts if place[0] == "n" else self.paths.setdefault(place, {})
+            texts[text] = int(n)
+        return self
+
 
 def digest(text: str) -> str:
     return format(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), "x")
@@ -222,9 +247,10 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
     n, m = len(a.children), len(b.children)
     score = [[0] * (m + 1) for _ in range(n + 1)]
     pair = [[0] * m for _ in range(n)]
-    for i in range(n):
-        for j in range(m):
-            pair[i][j] = matching(a.children[i], b.children[j])[0]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            if x.kind == y.kind:
+                pair[i][j] = matching(x, y)[0] if x.children and y.children else 1
             score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + pair[i][j])
     matched, i, j = [], n, m
     while i and j:
@@ -239,7 +265,7 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
 
 
 def _add(into: dict[str, int], texts: dict[str, int]) -> None:
-    """Merge two summaries of frequent texts; a text in more than 1 of TEXTS + 1 pages is kept."""
+    """Merge two summaries of frequent texts; of texts that come one by one, one in more than 1 of TEXTS + 1 is kept."""
     for text, n in texts.items():
         into[text] = into.get(text, 0) + n
     if len(into) > TEXTS:
@@ -271,15 +297,13 @@ def merge(template: Node, page: Node) -> None:
 
 
 def prune(template: Node) -> None:
-    """Keep a template of bounded size: rare nodes go, rarer ones first."""
-    least = 1
-    while template.count() > NODES:
-        def thin(node: Node, least: int = least) -> None:
-            node.children = [c for c in node.children if c.pages > least]
-            for c in node.children:
-                thin(c)
-        thin(template)
-        least *= 2
+    """Keep a template of bounded size: the nodes of most pages, upper ones first, stay."""
+    if template.count() <= NODES:
+        return
+    # no node has more pages than its parent, so the order keeps the parents
+    kept = {id(n) for n in sorted(template.all(), key=lambda n: -n.pages)[:NODES]}
+    for node in template.all():
+        node.children = [c for c in node.children if id(c) in kept]
 
 
 def mark(template: Node, page: Node) -> None:
@@ -326,8 +350,9 @@ def main_text(page: str | None, template: Node | None) -> str:
 
 
 def _often(block: Block, text: str, template: Node) -> int:
-    """On how many of the host's pages the text stands at the block's node."""
-    return 0 if block.template is None else block.template.texts.get(digest(text), 0)
+    """On how many of the host's pages the text stands at the block's node, or below the same kinds if it has none."""
+    texts = template.paths.get("p" + block.path, {}) if block.template is None else block.template.texts
+    return texts.get(digest(text), 0)
 
 
 def _own(texts: list[tuple[Block, str]], template: Node) -> list[tuple[Block, str]]:
@@ -391,8 +416,8 @@ def _learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _templates([(h, salt, n) for h, n in known.items()])
                 known = {}
             template = known.setdefault(host, Node("#"))
-            root, texts = parse(page.as_py())
-            merge(template, folded(root, [(b, t) for b, t in texts if not b.aside]))
+            root, _ = parse(page.as_py())
+            merge(template, folded(root, []))
             prune(template)
     yield _templates([(h, salt, n) for h, n in known.items()])
 
@@ -428,6 +453,69 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     return found.select("host", "template")
 
 
+class _Known:
+    """The templates read last."""
+
+    def __init__(self) -> None:
+        self.nodes: dict[tuple, Node] = {}
+
+    def get(self, data: str | None, counts: str | None = None) -> Node | None:
+        if data is None:
+            return None
+        if (data, counts) not in self.nodes:
+            if len(self.nodes) > 500:
+                self.nodes.clear()
+            self.nodes[data, counts] = Node.load(json.loads(data)).take(json.loads(counts or "[]"))
+        return self.nodes[data, counts]
+
+
+_COUNTS = {"host": pa.string(), "place": pa.string(), "text": pa.string(), "n": pa.int64(), "least": pa.int64()}
+
+
+def count(pages: Iterable[str | None], template: Node) -> Iterator[tuple[str, str]]:
+    """For every page and place, a node of the template or kinds of elements, each text that stands there, once."""
+    for page in pages:
+        root, texts = parse(page)
+        texts = [(b, t) for b, t in texts if not b.aside]
+        mark(template, folded(root, texts))
+        found = set()
+        for block, text in texts:
+            key = digest(text)
+            found.add(("p" + block.path, key))
+            if block.template is not None:
+                found.add((f"n{block.template.number}", key))
+        yield from found
+
+
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pages of a split have a text at a place, and how many make it constant."""
+    known, held = _Known(), Counter()
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*((*key[:3], n, key[3]) for key, n in held.items()))) if held else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _COUNTS.values())], names=list(_COUNTS))
+
+    for batch in batches:
+        for host, page, data in zip(*(c.to_pylist() for c in batch.columns)):
+            template = known.get(data)
+            if template is None or template.pages < PAGES:
+                continue
+            least = ceil(CONSTANT * template.pages)
+            held.update((host, place, text, least) for place, text in count([page], template))
+            if len(held) >= HELD:
+                yield out()
+                held.clear()
+    yield out()
+
+
+def constants(pages: DataFrame) -> DataFrame:
+    """The texts that are constant on the pages of a host, which come with its template: (host, constant)."""
+    return pages.where("template is not null").select("host", "html", "template") \
+        .mapInArrow(_count, "host string, place string, text string, n long, least long") \
+        .groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least") \
+        .groupBy("host").agg(F.to_json(F.collect_list(F.array("place", "text", F.col("n").cast("string")))).alias("constant"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The article of every page: (page_id, url, text).
 
@@ -438,23 +526,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     with null or repeated ids are kept; further columns are ignored.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    templates = materialize(induce(own), "templates")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    # pages without a host get keys of their own, so that they do not meet in one task
+    lone = F.concat(F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    own = own.withColumn("host", F.when(host == "", lone).otherwise(host))
+    templates = materialize(induce(own), "templates")
+    counted = materialize(constants(own.join(templates, "host", "left")), "constants")
+    templates = templates.join(counted, "host", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, Node | None] = {None: None}
+        known = _Known()
         for batch in batches:
-            out = []
-            for page, data in zip(batch.column("html"), batch.column("template")):
-                data = data.as_py()
-                if data not in known:
-                    if len(known) > 500:
-                        known = {None: None}
-                    known[data] = Node.load(json.loads(data))
-                out.append(main_text(page.as_py(), known[data]))
+            out = [main_text(page, known.get(data, constant)) for page, data, constant in
+                   zip(*(batch.column(c).to_pylist() for c in ("html", "template", "constant")))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
-    # pages without a host get keys of their own, so that they do not meet in one task
-    lone = F.concat(F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    return own.withColumn("host", F.when(host == "", lone).otherwise(host)).join(templates, "host", "left") \
-        .select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string")
+    return own.join(templates, "host", "left").select("page_id", "url", "html", "template", "constant") \
+        .mapInArrow(run, "page_id long, url string, text string")

@@ -73,6 +73,28 @@ def test_lines_that_all_pages_have_inside_a_landmark_go():
     assert main_text(copies[0], template_of(copies[::2])) == "A0\nGet our letter\nOwn 0, which is longer than all the others together\nTell your friends"
 
 
+def extracted(spark, pages):
+    rows = [(k, "https://host.example/" + str(k), page) for k, page in enumerate(pages)]
+    found = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return {r["page_id"]: r["text"] for r in found.collect()}
+
+
+def test_long_lists_and_many_neighbours_are_counted(spark):
+    """More texts in a node than a summary holds: constant list entries, and a notice among own paragraphs."""
+    entries = "".join(f"<li>entry {j}</li>" for j in range(17))
+    own = [[f"page {k} line {j}" for j in range(20)] for k in range(30)]
+    found = extracted(spark, ["<body><ul>" + entries + "</ul><div><p>Please note</p>" + "".join(f"<p>{t}</p>" for t in lines)
+                              + "</div></body>" for lines in own])
+    assert found == {k: "\n".join(lines) for k, lines in enumerate(own)}
+
+
+def test_pages_of_more_nodes_than_a_template(spark):
+    own = [[f"page {k} line {j}" for j in range(450)] for k in range(6)]
+    body = ["<body>" + "".join(f"<{'ph'[j % 2]}{['', 2][j % 2]}>{t}</{'ph'[j % 2]}{['', 2][j % 2]}>" for j, t in enumerate(lines))
+            + "<dl><dd>About us</dd></dl></body>" for lines in own]
+    assert extracted(spark, ["<div>Top</div>" + b for b in body]) == {k: "\n".join(lines) for k, lines in enumerate(own)}
+
+
 def test_simple_tree_matching():
     a = tree("b", tree("x"), tree("y", tree("z")), tree("w"))
     b = tree("b", tree("y", tree("z"), tree("q")), tree("v"), tree("w"))
