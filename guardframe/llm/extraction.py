@@ -73,8 +73,8 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _apart(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element's purpose is not the article's text."""
+def _apart(tag: str, attributes: dict[str, str], inside: bool, nested: bool = False) -> bool:
+    """Whether an element's purpose is not the article's text; inside a landmark, and nested in an article."""
     if tag in NOT_ARTICLE or (tag == "header" and not inside):
         return True
     if not attributes:
@@ -85,7 +85,7 @@ def _apart(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main") or tag == "article" and not nested:
         return False
     return any(NAMES.intersection(_NAME.findall(attributes.get(a, "").lower())) for a in ("class", "id"))
 
@@ -166,7 +166,9 @@ def parse(page: str | None) -> tuple[Block, list[tuple[Block, str]]]:
         attributes = _attributes(token[3]) if token[3] else {}
         landmark = block.landmark or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
         names = " ".join(sorted(set(_NAME.findall(attributes.get("class", "").lower()))))
-        block = Block(f"{tag} {names}".strip(), block, block.aside or _apart(tag, attributes, block.landmark), landmark)
+        nested = tag == "article" and _in(block, "article")
+        aside = block.aside or _apart(tag, attributes, block.landmark, nested)
+        block = Block(f"{tag} {names}".strip(), block, aside, landmark)
         stack.append((tag, block, silent))
     flush()
     return root, texts
@@ -318,26 +320,16 @@ def main_text(page: str | None, template: Node | None) -> str:
     """The article's blocks, one to a line."""
     root, texts = parse(page)
     texts = [(b, t) for b, t in texts if not b.aside]
-    articles: dict[int, int] = {}
-    tops: dict[int, Block] = {}
-    for block, text in texts:
-        top = None
-        while block is not None:
-            if block.kind.split(" ")[0] in ("article", "main") and (top is None or top.kind.split(" ")[0] == "main"):
-                top = top or block
-            block = block.parent
-        if top is not None:
-            tops[id(top)] = top
-            articles[id(top)] = articles.get(id(top), 0) + len(text)
+    inside = [(b, t) for b, t in texts if _in(b, "article", "main")]
     learned = template is not None and template.pages >= PAGES
     if learned:
         mark(template, folded(root, texts))
-    if articles:
-        slot = tops[max(articles, key=articles.get)]
-    else:
-        if learned:
-            texts = [(b, t) for b, t in texts if _often(b, t, template) < CONSTANT * template.pages] or texts
-        slot = _slot(root, texts)
+    if inside:
+        # all landmarks of a page make its article, with what they hold but what is set apart
+        return "\n".join(t for _, t in (_own(inside, template) if learned else inside))
+    if learned:
+        texts = [(b, t) for b, t in texts if _often(b, t, template) < CONSTANT * template.pages] or texts
+    slot = _slot(root, texts)
 
     def within(block: Block | None) -> bool:
         while block is not None:
@@ -345,8 +337,16 @@ def main_text(page: str | None, template: Node | None) -> str:
                 return True
             block = block.parent
         return False
-    texts = [(b, t) for b, t in texts if within(b)]
-    return "\n".join(t for _, t in (_own(texts, template) if articles and learned else texts))
+    return "\n".join(t for b, t in texts if within(b))
+
+
+def _in(block: Block | None, *tags: str) -> bool:
+    """Whether a block is one of these elements or stands in one."""
+    while block is not None:
+        if block.kind.split(" ")[0] in tags:
+            return True
+        block = block.parent
+    return False
 
 
 def _often(block: Block, text: str, template: Node) -> int:
@@ -356,7 +356,7 @@ def _often(block: Block, text: str, template: Node) -> int:
 
 
 def _own(texts: list[tuple[Block, str]], template: Node) -> list[tuple[Block, str]]:
-    """The texts of a landmark without the nodes of which all text is constant.
+    """The texts of a page's landmarks without the nodes of which all text is constant.
 
     A constant text beside others of its node may be the article's, and where constant texts are
     half of all the pages share an article; both stay.
@@ -531,8 +531,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     lone = F.concat(F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     own = own.withColumn("host", F.when(host == "", lone).otherwise(host))
     templates = materialize(induce(own), "templates")
-    counted = materialize(constants(own.join(templates, "host", "left")), "constants")
-    templates = templates.join(counted, "host", "left")
+    counted = constants(own.join(templates, "host", "left"))
+    # stored, so that its size is known and pages need no shuffle where it is small
+    templates = materialize(templates.join(counted, "host", "left"), "constants")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()

@@ -73,6 +73,20 @@ def test_lines_that_all_pages_have_inside_a_landmark_go():
     assert main_text(copies[0], template_of(copies[::2])) == "A0\nGet our letter\nOwn 0, which is longer than all the others together\nTell your friends"
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>first half</p></article><div>between</div><article><p>the longer second half</p></article>",
+     "first half\nthe longer second half"),
+    ("<main><h1>Title</h1><p>Standfirst</p><article><p>Text of the article</p></article></main><p>Imprint</p>",
+     "Title\nStandfirst\nText of the article"),
+    ("<article><p>Short</p><article class='x'><p>A much longer nested part</p></article><p>end</p></article>",
+     "Short\nA much longer nested part\nend"),
+    ("<article class='post comment-open'><p>Short</p><article class='comment'><p>A much longer comment</p></article></article>", "Short"),
+])
+def test_all_parts_of_an_article(page, text):
+    assert main_text(page, None) == text
+    assert main_text(page, template_of([page] * 3)) == text
+
+
 def extracted(spark, pages):
     rows = [(k, "https://host.example/" + str(k), page) for k, page in enumerate(pages)]
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
