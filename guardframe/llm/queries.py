@@ -15,6 +15,7 @@ from guardframe.llm.extraction import extract
 from guardframe.llm.langid import identify, train
 from guardframe.llm.lattice import score, taught
 from guardframe.llm.licenses import scan
+from guardframe.llm.line_dedup import dedup_lines
 from guardframe.llm.minhash import near_duplicates
 from guardframe.llm.packing import pack
 from guardframe.llm.token_counts import BYTE_BPE, PIECES, Rollup, count_tokens, deletes, inserts, revisions
@@ -100,6 +101,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op12_lines": op12_lines,
 }
 
 _USABLE = (
@@ -149,4 +156,13 @@ digests AS (SELECT page_id, array_to_string(list_transform(v, lambda n: array_to
   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)), '')), '') AS d FROM fives)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM payloads JOIN firsts USING (x) JOIN digests USING (page_id)""",
+    "op12_lines": r"""
+WITH lines AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line,
+  generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT keyed.*, coalesce(doc_id > first, false) AS gone FROM keyed LEFT JOIN firsts USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
 }

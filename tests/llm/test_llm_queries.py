@@ -16,7 +16,7 @@ from guardframe.llm.langid import identify, train
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in (*range(1, 11), 12)]
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
@@ -33,6 +33,9 @@ CONTRACT = {
     "op8_minhash": "doc_id long, n_shingles long, component_id long, kept boolean",
     "op9_licenses": "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double",
     "op10_warc": "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long",
+    "op11_phrases": "lang string, rank long, phrase string, a long, l long, r long, n long, score long",
+    "op12_lines": "doc_id long, n_lines long, n_dropped long, kept_sha256 string",
+    "op13_negatives": "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long",
 }
 
 
