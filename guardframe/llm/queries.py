@@ -12,6 +12,7 @@ from guardframe.llm.ann import nearest
 from guardframe.llm.common import fold, read
 from guardframe.llm.decontaminate import leaks
 from guardframe.llm.extraction import extract
+from guardframe.llm.hard_negatives import hard_negatives
 from guardframe.llm.langid import identify, train
 from guardframe.llm.lattice import score, taught
 from guardframe.llm.licenses import scan
@@ -106,6 +107,12 @@ def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(rows.where("vec_id % 50 = 0"), rows)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -118,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
     "op12_lines": op12_lines,
+    "op13_negatives": op13_negatives,
 }
 
 _USABLE = (
@@ -165,4 +173,18 @@ firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 G
 marked AS (SELECT keyed.*, coalesce(doc_id > first, false) AS gone FROM keyed LEFT JOIN firsts USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
+    "op13_negatives": """
+WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+  CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score
+  AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3""",
 }
