@@ -19,6 +19,7 @@ from guardframe.llm.licenses import scan
 from guardframe.llm.line_dedup import dedup_lines
 from guardframe.llm.minhash import near_duplicates
 from guardframe.llm.packing import pack
+from guardframe.llm.phrases import collocations
 from guardframe.llm.token_counts import BYTE_BPE, PIECES, Rollup, count_tokens, deletes, inserts, revisions
 from guardframe.sources.scratch import materialize, scratch_path
 
@@ -102,6 +103,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -124,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
     "op12_lines": op12_lines,
     "op13_negatives": op13_negatives,
 }
@@ -164,6 +170,25 @@ digests AS (SELECT page_id, array_to_string(list_transform(v, lambda n: array_to
   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)), '')), '') AS d FROM fives)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM payloads JOIN firsts USING (x) JOIN digests USING (page_id)""",
+    "op11_phrases": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2),
+  lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase FROM words),
+counts AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, phrase HAVING count(*) >= 10),
+cuts AS (SELECT lang, phrase, f AS a, w, unnest(range(1, len(w))) AS k FROM counts WHERE len(w) > 1),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, c.w,
+  CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM counts WHERE len(w) = 3),
+holders AS (SELECT lang, phrase, max(f) AS longer FROM inner_ GROUP BY lang, phrase),
+kept AS (SELECT best.* FROM best LEFT JOIN holders USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000""",
     "op12_lines": r"""
 WITH lines AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line,
   generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
