@@ -29,7 +29,7 @@ GROUPS = 4096
 #: Phrases of a trie, tries that are broadcast at a time, and neighbouring phrases whose counts are summed together.
 TRIE, AT_ONCE, RANGE = 1 << 17, 16, 1 << 13
 #: Bytes of text and hashes that a task works on at a time, and words or phrases that it remembers.
-CHUNK, GATHER, REMEMBER = 1 << 21, 6_000_000, 400_000
+CHUNK, GATHER, REMEMBER = 1 << 21, 4_000_000, 200_000
 #: Least share of a phrase's occurrences, in percent, that a longer one must have to take its place.
 COVERED = 50
 
@@ -115,11 +115,16 @@ class Hashed:
             places, state = places[on], state[on]
 
 
-def _parts(hashes: np.ndarray, groups: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part of the filter a hash belongs to, and its two bits there."""
-    group = hashes & np.uint64(groups - 1)
-    mask = np.uint64((1 << bits) // groups - 1)
-    return group.astype(np.int64), np.stack([(hashes >> np.uint64(20)) & mask, (hashes >> np.uint64(42)) & mask]).astype(np.int64)
+def _keys(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """What is counted of a hash: the part of the filter it belongs to, above 32 further bits."""
+    return (hashes & np.uint64(groups - 1)) << np.uint64(32) | hashes >> np.uint64(32)
+
+
+def _places(rest: np.ndarray, size: int) -> np.ndarray:
+    """The two bits of a key in its part of the filter, which has ``size``."""
+    rest = rest.astype(np.uint32, copy=False)
+    mask = np.uint32(size - 1)
+    return np.stack([rest & mask, (rest >> np.uint32(15)) & mask]).astype(np.int64)
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
@@ -127,52 +132,56 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None
         yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
 
 
-def _count_hashes(most: int, groups: int):
-    schema = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("times", pa.binary())])
+def _count_hashes(most: int, least: int, groups: int):
+    """Keys of a task with the times they were met, by part; more than ``least`` times is enough to know."""
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
+    enough = np.uint32(min(least, 2**32 - 1))
 
     def send(gathered: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, times = np.unique(np.concatenate(gathered), return_counts=True)
-        part = (hashes & np.uint64(groups - 1)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, hashes, times = part[order], hashes[order], times[order].astype("<u4")
-        names, starts = np.unique(part, return_index=True)
-        ends = [*starts[1:].tolist(), len(part)]
+        keys = np.concatenate(gathered)
+        gathered.clear()
+        keys.sort()
+        firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times = np.minimum(np.diff(firsts, append=len(keys)), enough).astype("<u1" if enough < 256 else "<u4")
+        keys = keys[firsts]
+        names, starts = np.unique((keys >> np.uint64(32)).astype(np.int32), return_index=True)
+        ends = [*starts[1:].tolist(), len(keys)]
+        rest = keys.astype("<u4")
         cut = lambda column: pa.array([column[a:b].tobytes() for a, b in zip(starts.tolist(), ends)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), cut(hashes), cut(times)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), cut(rest), cut(times)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, gathered, held = Hashed(), [], 0
         for lang, words in chunks(_rows(batches)):
             for _, hashes in hashed(lang, words, most):
-                gathered.append(hashes)
+                gathered.append(_keys(hashes, groups))
                 held += len(hashes)
             if held >= GATHER:
                 yield send(gathered)
-                gathered, held = [], 0
+                held = 0
         if held:
             yield send(gathered)
     return run
 
 
 def _frequent(least: int, groups: int, bits: int):
-    """Parts of the filter: bits of the hashes that were counted often enough."""
+    """Parts of the filter: bits of the keys that were counted often enough."""
     schema = pa.schema([("part", pa.int32()), ("held", pa.binary())])
+    size = (1 << bits) // groups
+    kind = "<u1" if least < 256 else "<u4"
 
     def close(part: int, lists: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        hashes = np.frombuffer(b"".join(h for h, _ in lists), "<u8")
-        times = np.frombuffer(b"".join(t for _, t in lists), "<u4")
-        _, which = np.unique(hashes, return_inverse=True)
-        often = np.bincount(which, times) >= least
-        kept = np.unique(hashes[often[which]])
-        table = np.zeros((1 << bits) // groups, bool)
-        table[_parts(kept, groups, bits)[1].ravel()] = True
+        keys, which = np.unique(np.frombuffer(b"".join(h for h, _ in lists), "<u4"), return_inverse=True)
+        kept = keys[np.bincount(which, np.frombuffer(b"".join(t for _, t in lists), kind)) >= least]
+        table = np.zeros(size, bool)
+        table[_places(kept, size).ravel()] = True
         packed = [zlib.compress(np.packbits(table).tobytes(), 1)] if len(kept) else []
         return pa.RecordBatch.from_arrays([pa.array([part] * len(packed), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, []
         for batch in batches:
-            for part, *pair in zip(*(batch.column(n).to_pylist() for n in ("part", "hashes", "times"))):
+            for part, *pair in zip(*(batch.column(n).to_pylist() for n in ("part", "keys", "times"))):
                 if part != now and now is not None:
                     yield close(now, lists)
                     lists = []
@@ -187,14 +196,15 @@ class Filter:
     """The broadcast filter; unpacked once in a task."""
 
     def __init__(self, parts: dict[int, bytes], groups: int, bits: int):
-        self.groups, self.bits = groups, bits
-        self.table = np.zeros((groups, (1 << bits) // groups // 8), np.uint8)
+        self.groups, self.size = groups, (1 << bits) // groups
+        self.table = np.zeros((groups, self.size // 8), np.uint8)
         for part, packed in parts.items():
             self.table[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
 
     def among(self, hashes: np.ndarray) -> np.ndarray:
-        part, at = _parts(hashes, self.groups, self.bits)
-        return ((self.table[part, at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
+        keys = _keys(hashes, self.groups)
+        at = _places(keys, self.size)
+        return ((self.table[(keys >> np.uint64(32)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
 def _candidates(filter, groups: int, bits: int, most: int):
@@ -407,7 +417,7 @@ def phrase_counts(texts: DataFrame, most: int, least: int, *, bits: int = BITS,
     spark = texts.sparkSession
     groups = max(GROUPS, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     groups = min(groups, (1 << bits) // 64)
-    hashes = texts.mapInArrow(_count_hashes(most, groups), "part int, hashes binary, times binary")
+    hashes = texts.mapInArrow(_count_hashes(most, least, groups), "part int, keys binary, times binary")
     kept = hashes.repartition("part").sortWithinPartitions("part").mapInArrow(
         _frequent(least, groups, bits), "part int, held binary")
     passed = spark.sparkContext.broadcast({r["part"]: r["held"] for r in kept.collect()})  # 2 ** bits / 8 bytes at most
