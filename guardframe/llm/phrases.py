@@ -28,8 +28,8 @@ BITS = 29
 GROUPS = 4096
 #: Phrases of a trie, tries that are broadcast at a time, and neighbouring phrases whose counts are summed together.
 TRIE, AT_ONCE, RANGE = 1 << 17, 16, 1 << 13
-#: Bytes of text and hashes that a task works on at a time, and words or phrases that it remembers.
-CHUNK, GATHER, REMEMBER = 1 << 21, 4_000_000, 200_000
+#: Bytes of text and hashes that a task works on at a time, and words and hashes of phrases that it remembers.
+CHUNK, GATHER, REMEMBER, TOLD = 1 << 21, 4_000_000, 200_000, 4_000_000
 #: Least share of a phrase's occurrences, in percent, that a longer one must have to take its place.
 COVERED = 50
 
@@ -211,10 +211,9 @@ def _candidates(filter, groups: int, bits: int, most: int):
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hashed, told = Filter(filter.value, groups, bits), Hashed(), set()
+        held, hashed, told = Filter(filter.value, groups, bits), Hashed(), np.zeros(0, np.uint64)
         for lang, words in chunks(_rows(batches)):
-            found: list[str] = []
-            before = None
+            found, told_now, before = [], [], None
             for length, (places, hashes) in enumerate(hashed(lang, words, most), 1):
                 passed = held.among(hashes)
                 if before is not None:  # both parts that are a word shorter
@@ -222,13 +221,14 @@ def _candidates(filter, groups: int, bits: int, most: int):
                 before = np.zeros(len(words) + 1, bool)
                 before[places[passed]] = True
                 once, at = np.unique(hashes[passed], return_index=True)
-                for key, place in zip(once.tolist(), places[passed][at].tolist()):
-                    if key not in told:
-                        told.add(key)
-                        found.append(b" ".join(words[place:place + length]).decode())
+                if len(told):
+                    new = told[np.minimum(np.searchsorted(told, once), len(told) - 1)] != once
+                    once, at = once[new], at[new]
+                told_now.append(once)
+                found += [b" ".join(words[i:i + length]).decode() for i in places[passed][at].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], schema=schema)
-            if len(told) > REMEMBER:
-                told.clear()
+            # what is forgotten is told again, which does no harm
+            told = np.sort(np.concatenate([told if len(told) < TOLD else told[:0], *told_now]))
     return run
 
 
@@ -291,22 +291,21 @@ def build(phrases: list[list[int]], radix: int) -> tuple[np.ndarray, np.ndarray,
     free = np.ones(2 * len(parent) + 2 * radix + 64, bool)
     free[0] = False
     base = np.full(nodes, -1, np.int64)
-    low = 1
+    at = 1
     for k in np.argsort(-sizes, kind="stable")[:int((sizes > 1).sum())].tolist():
         own = step[starts[k]:starts[k] + sizes[k]]
-        at = low
+        # parents with many steps come first; where one finds no room the rest is left to single steps
         while base[owners[k]] < 0:
-            if at + 1024 + radix > len(free):
+            if at + 512 + 2 * radix > len(free):
                 free = np.concatenate([free, np.ones(len(free) + 2048, bool)])
-            open_ = np.flatnonzero(free[at:at + 512]) + at
-            tries = open_[open_ >= own[0]] - own[0]
+            tries = np.flatnonzero(free[at:at + 128]) + at - own[0]
+            tries = tries[tries >= 0]
             fits = free[tries[:, None] + own].all(axis=1)
             if fits.any():
                 base[owners[k]] = tries[np.argmax(fits)]
                 free[base[owners[k]] + own] = False
-            elif at == low and len(open_) < 64:
-                low += 512  # crowded; the rest is left to the single steps
-            at += 512
+            else:
+                at += 64
     single = sizes == 1
     lone, their = owners[single], step[starts[single]]
     if len(lone):
