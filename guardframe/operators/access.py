@@ -1,16 +1,17 @@
-"""Guarded reads and inserts."""
+"""Guarded reads, deletes and inserts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardframe.functions.jsondoc import redact_json
-from guardframe.operators.audit import audit
 from guardframe.operators.redaction import redact_with_flag
+from guardframe.operators.request_sets import Collection, answer_reads, deleted_rows, read_results, with_conditions
 from guardframe.rules import READ_LIMIT
 from guardframe.sources.scratch import materialize
-from guardframe.sources.tables import guarded_delete
+from guardframe.sources.snapshots import PLACE, Snapshots
 
 
 def guarded_read(
@@ -49,38 +50,42 @@ def read_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def decide(request: DataFrame, known: list[str]) -> Row:
-    """The audit's decision on a single request."""
-    rows = audit(request, known).take(2)
-    if len(rows) != 1:
-        raise ValueError("one request at a time")
-    return rows[0]
+def gated_read(audited: DataFrame, collections: dict[str, Collection], limit: int = READ_LIMIT) -> DataFrame:
+    """Run all reads that the audit allows; every read with its outcome, document count and redaction flag.
+
+    A request reads the collection and filter that it was audited for, and nothing else.
+    """
+    return read_results(audited, materialize(answer_reads(audited, collections, limit), "gated_read"))
 
 
-def gated_read(
-    request: DataFrame, known: list[str], df: DataFrame, predicate: Column | None = None, **bounds
-) -> tuple[Row, DataFrame]:
-    """Run a guarded read if the audit allows the request; returns the decision and the rows.
+def gated_delete(audited: DataFrame, name: str, table: Snapshots) -> DataFrame:
+    """Run all deletes on the collection ``name`` that the audit allows; every delete with its outcome and row count.
 
-    A request that is not allowed reads nothing: its rows are an empty frame of the same columns.
+    Requests run in the order of their ids, so a row counts for the first that matches it. All are one change
+    to ``table``, which is either made or not. Deletes on other collections count no rows here.
     """
-    decision = decide(request, known)
-    if decision["outcome"] != "allowed":
-        predicate = F.lit(False)
-    return decision, guarded_read(df, predicate, **bounds)
+    found = materialize(deleted_rows(audited, name, table.placed(), PLACE), "gated_delete")
+    table.delete_places(found)
+    deletes = with_conditions(audited.where(F.col("op") == "delete")).select("request_id", F.when(
+        (F.col("outcome") == "delete_allowed") & ~F.col("readable"), "unsupported_filter").otherwise(F.col("outcome")).alias("outcome"))
+    counts = found.groupBy("request_id").agg(F.count("*").alias("deleted"))
+    return deletes.join(counts, "request_id", "left").select(
+        "request_id", "outcome", F.coalesce("deleted", F.lit(0)).alias("deleted"))
 
 
-def gated_delete(
-    request: DataFrame, known: list[str], df: DataFrame, predicate: Column | None, target: str, fmt: str = "parquet"
-) -> tuple[Row, int]:
-    """Run a guarded delete if the audit allows the request; returns the decision and the count.
+def _digest() -> Column:
+    """What tells insert requests apart: the same request, run again, has the same digest."""
+    return F.sha2(F.concat_ws(":", F.col("request_id").cast("string"), F.col("document")), 256)
 
-    A request that is not allowed leaves ``target`` alone.
-    """
-    decision = decide(request, known)
-    if decision["outcome"] != "delete_allowed":
-        return decision, 0
-    return decision, guarded_delete(df, predicate, target, fmt)
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """Digests of the requests that a sink holds; None before its first write."""
+    try:
+        return spark.read.schema("request_id long, document string").parquet(path).select(_digest().alias("_digest"))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def insert_results(audited: DataFrame) -> DataFrame:
@@ -88,29 +93,37 @@ def insert_results(audited: DataFrame) -> DataFrame:
 
     The id is a digest of request and document, so a request that is run again gets the same one.
     """
-    key = F.concat_ws(":", F.col("request_id").cast("string"), F.col("document"))
     return audited.where((F.col("op") == "insert") & (F.col("outcome") == "approved")).select(
-        "request_id", "collection", F.substring(F.sha2(key, 256), 1, 24).alias("inserted_id"),
+        "request_id", "collection", F.substring(_digest(), 1, 24).alias("inserted_id"),
         redact_json("document").alias("document"))
 
 
 def insert_split(audited: DataFrame, accepted_path: str, quarantine_path: str) -> None:
-    """Append approved insert requests to their collections and the others to quarantine.
+    """Append approved insert requests to their collections and the others to quarantine, each once.
 
     The audited rows are written once to the shared folder, so screening does not run twice and a
     lost executor cannot make the two outputs disagree. Refused requests that raised no alert (bad
     JSON, unknown collection) are in neither output, as they hold nothing to store or to review.
+
+    Request ids and documents in a sink are its ledger: requests that it holds are left out by an anti-join, so a
+    run that is repeated stores nothing, and one that stopped between or within the writes is completed.
     """
     columns = ["request_id", "collection", "document", "security_alert", "outcome",
                "event_type", "flagged_categories"]
     staged = materialize(
         audited.where((F.col("op") == "insert")
-                      & ((F.col("outcome") == "approved") | F.col("security_alert"))).select(*columns),
+                      & ((F.col("outcome") == "approved") | F.col("security_alert"))).select(*columns)
+        .withColumn("_digest", _digest()).dropDuplicates(["_digest"]),
         "insert_split",
     )
-    approved = staged.where(~F.col("security_alert")).select("request_id", "collection", "document")
+
+    def new(rows: DataFrame, path: str) -> DataFrame:
+        stored = _stored(rows.sparkSession, path)
+        return rows if stored is None else rows.join(stored, "_digest", "left_anti")
+
+    approved = new(staged.where(~F.col("security_alert")), accepted_path).select("request_id", "collection", "document")
     # the collection gate has bounded the number of folders
     approved.write.mode("append").partitionBy("collection").parquet(accepted_path)
-    staged.where("security_alert").select(
+    new(staged.where("security_alert"), quarantine_path).select(
         "request_id", "collection", "document", "event_type", "flagged_categories"
     ).write.mode("append").parquet(quarantine_path)

@@ -69,6 +69,25 @@ def differs(raw: Column, clean: Column, raw_type: T.DataType, clean_type: T.Data
     return ~F.to_json(F.struct(raw.alias("v"))).eqNullSafe(F.to_json(F.struct(clean.alias("v"))))
 
 
+def redact_with_changes(df: DataFrame, changes: str = "changes", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Redact the documents and add the names of the columns that changed in the row.
+
+    Columns in ``keep`` are no part of the document and stay as they are. The masks are projected
+    before the comparison, so each is worked out once per row.
+    """
+    changing = [f for f in df.schema.fields
+                if f.name not in keep and (is_sensitive_key(f.name) or holds_text(f.dataType))]
+    raw = [F.col(f"`{f.name}`").alias(f"_raw_{f.name}") for f in changing]
+    clean = [F.col(f"`{f.name}`") if f.name in keep else _field(f, strings=True) for f in df.schema.fields]
+    both = df.select(*clean, *raw)
+    names = [
+        F.when(differs(F.col(f"`_raw_{f.name}`"), F.col(f"`{f.name}`"), f.dataType, both.schema[f.name].dataType), f.name)
+        for f in changing
+    ]
+    changed = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], changed.alias(changes))
+
+
 def redact_with_flag(df: DataFrame, flag: str = "redaction_applied") -> DataFrame:
     """Redact the documents and add whether anything in the row changed.
 

@@ -125,6 +125,26 @@ REQUESTS = {
     "user_id": "user_id",
 }
 
+# reads and deletes whose filters name columns of people and purchases; a third ask the same
+_KIND = "CAST(floor(event_id / 6) AS BIGINT) % 8"
+_USER = "concat('\"usr_', CAST(event_id % 500 + 1 AS STRING), '\"')"
+FILTERED = {
+    **REQUESTS,
+    "op": "CASE WHEN CAST(floor(event_id / 48) AS BIGINT) % 3 = 0 THEN 'delete' ELSE 'read' END",
+    "query": (
+        f"CASE {_KIND} WHEN 0 THEN concat('{{\"user_id\": ', {_USER}, '}}')"
+        " WHEN 1 THEN '{\"status\": \"active\"}'"
+        f" WHEN 2 THEN concat('{{\"status\": \"completed\", \"user_id\": ', {_USER}, '}}')"
+        " WHEN 3 THEN concat('{\"account_balance\": {\"$lt\": ', CAST(event_id % 40 * 250 - 500 AS STRING), '}}')"
+        " WHEN 4 THEN concat('{\"status\": \"failed\", \"amount\": {\"$gte\": ', CAST(event_id % 97 * 1000 AS STRING),"
+        " ', \"$lt\": ', CAST(event_id % 97 * 1000 + 20000 AS STRING), '}}')"
+        " WHEN 5 THEN '{}' WHEN 6 THEN '{\"$where\": \"1\"}' ELSE '{\"name\": {\"$regex\": \"x\"}}' END"
+    ),
+    "projection": "CASE event_id % 5 WHEN 0 THEN '{\"status\": 1}' WHEN 1 THEN '{\"credit_card\": 1, \"_id\": 0}' ELSE NULL END",
+    "drop_collection": "event_id < 0",
+    "threshold": "CAST(0.5 AS DOUBLE)",
+}
+
 
 def select_list(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
@@ -177,11 +197,11 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "orders"), PURCHASES)
 
 
-def requests_from(events: DataFrame) -> DataFrame:
+def requests_from(events: DataFrame, columns: dict[str, str] = REQUESTS) -> DataFrame:
     """Requests from events; the naive event time is taken as UTC."""
     started = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
-    columns = [F.expr(expr).alias(name) for name, expr in REQUESTS.items()]
-    return events.select(*columns, started.alias("started_at")).withColumn(
+    given = [F.expr(expr).alias(name) for name, expr in columns.items()]
+    return events.select(*given, started.alias("started_at")).withColumn(
         "finished_at", F.timestamp_add("MILLISECOND", F.col("millis").cast("int"), F.col("started_at"))
     )
 
@@ -190,6 +210,11 @@ def audited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_latency(audit(requests_from(spread_table(spark, sf_dir, "events")), KNOWN))
 
 
+def filtered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audited reads and deletes with filters on columns."""
+    return audit(requests_from(spread_table(spark, sf_dir, "events"), FILTERED), KNOWN)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audited requests; an allowed read answers with the document of the user's number.
 

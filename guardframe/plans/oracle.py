@@ -377,6 +377,30 @@ _MASKED = "(" + " OR ".join(
     [f"{n} IS DISTINCT FROM {_redact(n)}" for n in ("email", "phone", "credit_card")]
     + [f"password_hash IS DISTINCT FROM {_SECRET}"]) + ")"
 _ACTIVE = "SELECT * FROM people WHERE status = 'active' AND account_balance < 5000.0 ORDER BY _id LIMIT 50"
+_FILTERED = (
+    "asked AS (SELECT event_id AS request_id, event_id % 6 AS c, (event_id // 6) % 8 AS kind, event_id % 500 + 1 AS who,"
+    " event_id % 40 * 250 - 500 AS below, event_id % 97 * 1000 AS least, coalesce(event_id % 5 = 0, false) AS short,"
+    " coalesce(event_id % 5 = 1, false) AS card, CASE WHEN (event_id // 48) % 3 = 0 THEN 'delete' ELSE 'read' END AS op FROM events)"
+)
+_FITS_PEOPLE = (
+    "CASE kind WHEN 0 THEN p.user_id = 'usr_' || who WHEN 1 THEN p.status = 'active'"
+    " WHEN 2 THEN p.status = 'completed' AND p.user_id = 'usr_' || who WHEN 3 THEN p.account_balance < below"
+    " WHEN 5 THEN true ELSE false END"
+)
+_FITS_PURCHASES = (
+    "CASE kind WHEN 0 THEN p.user_id = 'usr_' || who WHEN 1 THEN p.status = 'active'"
+    " WHEN 2 THEN p.status = 'completed' AND p.user_id = 'usr_' || who"
+    " WHEN 4 THEN p.status = 'failed' AND p.amount >= least AND p.amount < least + 20000 WHEN 5 THEN true ELSE false END"
+)
+_FOUND = "FROM {0} p, asked WHERE op = 'read' AND c = {1} AND kind < 6 AND {2} QUALIFY nth <= 50"
+_NTH = "row_number() OVER (PARTITION BY request_id ORDER BY p.{0}) AS nth"
+_ANSWERS = (
+    f"{_PEOPLE}, {_PURCHASES}, both_ AS (SELECT request_id, 'users' AS collection, c, short, card, CAST(p._id AS VARCHAR) AS _id,"
+    f" p.user_id, p.credit_card, p.status, {_NTH.format('_id')} {_FOUND.format('people', 0, _FITS_PEOPLE)}"
+    " UNION ALL SELECT request_id, 'transactions', c, short, card, NULL, p.user_id, p.credit_card, p.status,"
+    f" {_NTH.format('transaction_id')} {_FOUND.format('purchases', 1, _FITS_PURCHASES)}),"
+    f" answers AS (SELECT *, {_redact('credit_card')} AS masked FROM both_)"
+)
 
 ORACLE_SQL: dict[str, str] = {
     "screen_empty": (
@@ -468,22 +492,32 @@ ORACLE_SQL: dict[str, str] = {
         " coalesce(playbook, action, '') AS action FROM rules WHERE category <> ''"
         " QUALIFY row_number() OVER (PARTITION BY category ORDER BY position DESC) = 1"
     ),
-    "rules_static": (
-        f"SELECT category, description, threat_level, playbook AS action FROM ({_values(STATIC_RULES)})"
-        " t(category, threat_level, description, playbook)"
+    "request_reads": (
+        f"WITH {_FILTERED}, {_ANSWERS} SELECT request_id, collection, nth, CASE WHEN c = 0 AND NOT short AND NOT card THEN true"
+        " WHEN short THEN false ELSE credit_card <> masked END AS redaction_applied,"
+        " CASE WHEN c = 0 AND NOT card THEN _id END AS _id, CASE WHEN NOT short AND NOT card THEN user_id END AS user_id,"
+        " CASE WHEN NOT short THEN masked END AS credit_card, CASE WHEN NOT card THEN status END AS status FROM answers"
     ),
     "gated_read": (
-        f"WITH {_AUDIT}, {_PEOPLE}, first AS (SELECT outcome, min(request_id) AS request_id FROM audited"
-        " WHERE op = 'read' GROUP BY outcome), bounded AS (SELECT * FROM people WHERE status = 'active'"
-        f" ORDER BY _id LIMIT 50) SELECT request_id, outcome, CAST(_id AS VARCHAR) AS _id, {_redact('name')} AS name,"
-        f" {_redact('email')} AS email FROM first, bounded WHERE outcome = 'allowed'"
+        f"WITH {_FILTERED}, {_ANSWERS}, flags AS (SELECT request_id, count(*) AS n, bool_or(NOT short"
+        " AND ((c = 0 AND NOT card) OR credit_card <> masked)) AS redacted FROM answers GROUP BY request_id)"
+        " SELECT request_id, CASE WHEN c = 4 THEN 'unknown_collection' WHEN kind = 6 THEN 'blocked'"
+        " WHEN kind = 7 THEN 'unsupported_filter' ELSE 'allowed' END AS outcome, coalesce(n, 0) AS document_count,"
+        " coalesce(redacted, false) AS redaction_applied FROM asked LEFT JOIN flags USING (request_id) WHERE op = 'read'"
     ),
     "gated_delete": (
-        f"WITH {_AUDIT}, {_PURCHASES}, first AS (SELECT outcome, min(request_id) AS request_id FROM audited"
-        " WHERE op = 'delete' GROUP BY outcome), sums AS (SELECT count(*) AS n,"
-        " count(*) FILTER (status = 'failed') AS gone FROM purchases)"
-        " SELECT request_id, outcome, CASE WHEN outcome = 'delete_allowed' THEN gone ELSE 0 END AS deleted,"
-        " CASE WHEN outcome = 'delete_allowed' THEN n - gone ELSE n END AS kept FROM first, sums"
+        f"WITH {_FILTERED}, {_PURCHASES}, gone AS (SELECT transaction_id, min(request_id) AS request_id FROM purchases p, asked"
+        f" WHERE op = 'delete' AND c = 1 AND kind <> 5 AND {_FITS_PURCHASES} GROUP BY transaction_id),"
+        " counts AS (SELECT request_id, count(*) AS n FROM gone GROUP BY request_id)"
+        " SELECT request_id, CASE WHEN c = 4 THEN 'unknown_collection' WHEN kind = 5 THEN 'empty_filter_refused'"
+        " WHEN kind >= 6 THEN 'unsupported_filter' ELSE 'delete_allowed' END AS outcome, coalesce(n, 0) AS deleted,"
+        " (SELECT count(*) FROM purchases) - (SELECT count(*) FROM gone) AS kept"
+        " FROM asked LEFT JOIN counts USING (request_id) WHERE op = 'delete'"
+    ),
+    "snapshot_delete": (
+        f"WITH {_PURCHASES}, marked AS (SELECT *, status = 'failed' AND amount < 100000.0 AS gone FROM purchases)"
+        " SELECT transaction_id, amount, status, (SELECT count(*) FROM marked WHERE gone) AS deleted_count"
+        " FROM marked WHERE NOT gone"
     ),
     "gen_users": (
         "SELECT * FROM (" + _values(CORE_USERS) + ") t(" + ", ".join(_user("c_custkey")) + ") UNION ALL SELECT "
@@ -525,6 +559,11 @@ ORACLE_SQL: dict[str, str] = {
         " collection, replace(document, ' ', '') AS document, event_type FROM audited"
         " WHERE op = 'insert' AND (security_alert OR outcome = 'approved')"
     ),
+    "insert_again": (
+        f"WITH {_AUDIT} SELECT CASE WHEN security_alert THEN 'quarantine' ELSE 'accepted' END AS sink, count(*) AS rows,"
+        " CAST(sum(request_id) AS BIGINT) AS ids FROM audited WHERE op = 'insert' AND (outcome = 'approved' OR security_alert)"
+        " GROUP BY security_alert"
+    ),
     "insert_results": (
         f"WITH {_AUDIT} SELECT request_id, collection, substr(sha256(request_id || ':' || document), 1, 24)"
         f" AS inserted_id, {_redact('document')} AS document FROM audited WHERE op = 'insert' AND outcome = 'approved'"

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardframe.functions import jsondoc, pii, text
-from guardframe.operators import access, audit, redaction, screening, telemetry
+from guardframe.operators import access, audit, redaction, request_sets, screening, telemetry
 from guardframe.plans import inputs
 from guardframe.plans.inputs import KNOWN, table
 from guardframe.rules import CATEGORIES
-from guardframe.sources import generate, tables
+from guardframe.sources import generate, snapshots, tables
 from guardframe.sources.scratch import materialize, scratch_path
 from guardframe.streaming import jobs
 
@@ -244,48 +243,51 @@ def guarded_delete(spark, sf_dir):
     return kept.select("transaction_id", "amount", "status", F.lit(deleted).cast("bigint").alias("deleted_count"))
 
 
-def _one_of_each(spark, sf_dir, op):
-    """Of one kind of request, the first of every outcome, and the requests they come from."""
-    requests = inputs.requests_from(inputs.spread_table(spark, sf_dir, "events")).where(F.col("op") == op)
-    found = audit.audit(requests, KNOWN).groupBy("outcome").agg(F.min("request_id").alias("request_id"))
-    return requests, [r["request_id"] for r in found.orderBy("request_id").collect()]
+def _collections(spark, sf_dir):
+    return {"users": request_sets.Collection(inputs.people(spark, sf_dir), "_id"),
+            "transactions": request_sets.Collection(inputs.purchases(spark, sf_dir), "transaction_id")}
+
+
+def request_reads(spark, sf_dir):
+    """The documents of every allowed read, told by their digests."""
+    answers = request_sets.answer_reads(inputs.filtered_requests(spark, sf_dir), _collections(spark, sf_dir))
+    return answers.select("request_id", "collection", "nth", "redaction_applied", *[
+        F.get_json_object("document", f"$.{c}").alias(c) for c in ("_id", "user_id", "credit_card", "status")])
 
 
 def gated_read(spark, sf_dir):
-    requests, chosen = _one_of_each(spark, sf_dir, "read")
-    out = []
-    for request_id in chosen:
-        decision, rows = access.gated_read(
-            requests.where(F.col("request_id") == request_id), KNOWN, inputs.people(spark, sf_dir),
-            F.col("status") == "active", include=["_id", "name", "email"], order_by=["_id"])
-        out.append(rows.select(F.lit(request_id).cast("bigint").alias("request_id"),
-                               F.lit(decision["outcome"]).alias("outcome"), "_id", "name", "email"))
-    return reduce(DataFrame.unionAll, out)
+    return access.gated_read(inputs.filtered_requests(spark, sf_dir), _collections(spark, sf_dir))
 
 
 def gated_delete(spark, sf_dir):
-    requests, chosen = _one_of_each(spark, sf_dir, "delete")
-    bought, out = inputs.purchases(spark, sf_dir), []
-    for request_id in chosen:
-        path = scratch_path(spark, "gated_delete")
-        tables.replace_documents(bought, path)
-        decision, deleted = access.gated_delete(
-            requests.where(F.col("request_id") == request_id), KNOWN, bought, F.col("status") == "failed", path)
-        kept = tables.read_collection(spark, path, schema=bought.schema).agg(F.count("*").alias("kept"))
-        out.append(kept.select(F.lit(request_id).cast("bigint").alias("request_id"),
-                               F.lit(decision["outcome"]).alias("outcome"),
-                               F.lit(deleted).cast("bigint").alias("deleted"), "kept"))
-    return reduce(DataFrame.unionAll, out)
+    """Every delete request, and what is left of the transactions after all."""
+    table_ = snapshots.Snapshots(spark, scratch_path(spark, "gated_delete"))
+    table_.append(inputs.purchases(spark, sf_dir), "first")
+    done = access.gated_delete(inputs.filtered_requests(spark, sf_dir), "transactions", table_)
+    return done.withColumn("kept", F.lit(table_.read().count()).cast("bigint"))
 
 
-def rules_lookup(spark, sf_dir):
-    return tables.rules_lookup(inputs.derive(table(spark, sf_dir, "part"), inputs.RULES), "position")
+def snapshot_delete(spark, sf_dir):
+    """Two appends, one of them repeated, and a delete by positions."""
+    table_, bought = snapshots.Snapshots(spark, scratch_path(spark, "snapshot_delete")), inputs.purchases(spark, sf_dir)
+    for batch, status in (("a", "failed"), ("b", "completed"), ("a", "failed")):
+        table_.append(bought.where(F.col("status") == status), batch)
+    deleted = table_.delete((F.col("status") == "failed") & (F.col("amount") < 100000.0))
+    return table_.read().select("transaction_id", "amount", "status", F.lit(deleted).cast("bigint").alias("deleted_count"))
 
 
-def rules_static(spark, sf_dir):
-    """A rules table without rows falls back to the built-in rules."""
-    rules = inputs.derive(table(spark, sf_dir, "part"), inputs.RULES)
-    return tables.rules_lookup(rules.where("position < 0"), "position")
+def insert_again(spark, sf_dir):
+    """All inserts twice over: the second run stores nothing."""
+    accepted, quarantine = scratch_path(spark, "accepted"), scratch_path(spark, "quarantine")
+    for _ in range(2):
+        access.insert_split(inputs.audited_requests(spark, sf_dir), accepted, quarantine)
+    sinks = [spark.read.schema("request_id long").parquet(path).agg(F.count("*").alias("rows"), F.sum("request_id").alias("ids"))
+             .select(F.lit(sink).alias("sink"), "rows", "ids") for sink, path in (("accepted", accepted), ("quarantine", quarantine))]
+    return sinks[0].unionAll(sinks[1])
+
+
+def rules_lookup(spark, sf_dir):
+    return tables.rules_lookup(inputs.derive(table(spark, sf_dir, "part"), inputs.RULES), "position")
 
 
 def _base_time():
@@ -499,10 +501,11 @@ QUERIES: dict[str, Query] = {
     "replace_table": replace_table,
     "seed_if_empty": seed_if_empty,
     "guarded_delete": guarded_delete,
+    "request_reads": request_reads,
     "gated_read": gated_read,
     "gated_delete": gated_delete,
+    "snapshot_delete": snapshot_delete,
     "rules_lookup": rules_lookup,
-    "rules_static": rules_static,
     "gen_users": gen_users,
     "gen_transactions": gen_transactions,
     "gen_logs": gen_logs,
@@ -514,6 +517,7 @@ QUERIES: dict[str, Query] = {
     "audit_insert": _decisions("insert"),
     "audit_delete": _decisions("delete"),
     "insert_split": insert_split,
+    "insert_again": insert_again,
     "insert_results": insert_results,
     "violations": violations,
     "violations_latest": violations_latest,

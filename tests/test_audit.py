@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from guardframe import rules
 from guardframe.functions import jsondoc
 from guardframe.operators import access, audit
+from guardframe.operators.request_sets import Collection
 from guardframe.sources.scratch import scratch_path
+from guardframe.sources.snapshots import Snapshots
 
 KNOWN = ["users", "transactions", "security_logs", "rules", "scratch"]
 POLICY = ["Non-violent crimes", "Jailbreak prompts"]
@@ -208,19 +210,22 @@ def test_unknown_and_missing_operations_and_moderation(spark):
 
 def test_gates_decide_what_runs(spark):
     people = spark.createDataFrame([(1, "jo@x.org"), (2, "b")], "_id long, name string")
-    path = scratch_path(spark, "gated")
-    people.write.parquet(path)
-    for request, outcome, rows, deleted in (
-        (dict(op="read"), "allowed", 2, 0), (dict(op="read", query='{"q": "kill"}'), "blocked", 0, 0),
-        (dict(op="read", collection="nowhere"), "unknown_collection", 0, 0),
-        (dict(op="delete", query='{"q": "kill"}'), "blocked", 0, 0), (dict(op="DELETE", query='{"a": 1}'), "unknown_operation", 0, 0),
-        (dict(op="delete", query="{}"), "empty_filter_refused", 0, 0), (dict(op="delete", query='{"a": 1}'), "delete_allowed", 0, 1),
-    ):
-        one = _requests(spark, request)
-        decision, got = access.gated_read(one, KNOWN, people, order_by=["_id"])
-        assert (decision.outcome, got.count()) == (outcome, rows)
-        decision, count = access.gated_delete(one, KNOWN, people, F.col("_id") == 1, path)
-        assert (decision.outcome, count, spark.read.parquet(path).count()) == (outcome, deleted, 2 - deleted)
+    cases = [
+        (dict(op="read"), "allowed", 2), (dict(op="read", query='{"q": "kill"}'), "blocked", 0),
+        (dict(op="read", collection="nowhere"), "unknown_collection", 0), (dict(op="read", collection="transactions"), "allowed", 0),
+        (dict(op="delete", query='{"q": "kill"}'), "blocked", 0), (dict(op="DELETE", query='{"_id": 1}'), None, 0),
+        (dict(op="delete", query="{}"), "empty_filter_refused", 0), (dict(op="delete", query='{"_id": 2}', collection="transactions"), "delete_allowed", 0),
+        (dict(op="delete", query='{"_id": 1}'), "delete_allowed", 1), (dict(op="delete", query='{"_id": {"$in": [2]}}'), "unsupported_filter", 0),
+    ]
+    decided = audit.audit(_requests(spark, *[c[0] for c in cases]), KNOWN)
+    table = Snapshots(spark, scratch_path(spark, "gated"))
+    table.append(people)
+    reads = access.gated_read(decided, {"users": Collection(people, "_id")}).collect()
+    deletes = access.gated_delete(decided, "users", table).collect()
+    got = {r[0]: (r[1], r[2]) for r in reads + deletes}
+    assert got == {i: (outcome, n) for i, (_, outcome, n) in enumerate(cases) if outcome}
+    assert [r["_id"] for r in table.read().collect()] == [2]
+    assert {r[0]: r.redaction_applied for r in reads} == {0: True, 1: False, 2: False, 3: False}
 
 
 def test_screen_runs_once_per_request(spark):
@@ -239,12 +244,24 @@ def test_insert_split(spark):
         dict(op="read"),
     ), KNOWN)
     accepted, quarantine = scratch_path(spark, "acc"), scratch_path(spark, "quar")
-    for round_ in (1, 2):
+    for _ in range(2):
         access.insert_split(decided, accepted, quarantine)
         stored = spark.read.parquet(accepted)
         assert sorted((r.request_id, r.collection, r.document) for r in stored.collect()) == sorted(
-            [(0, "users", '{"a": "jo@x.org"}'), (1, "scratch", '{"a": "ok"}')] * round_)
-        assert [r.event_type for r in spark.read.parquet(quarantine).collect()] == ["INBOUND_INSERT_ATTACK"] * round_
+            [(0, "users", '{"a": "jo@x.org"}'), (1, "scratch", '{"a": "ok"}')])
+        assert [r.event_type for r in spark.read.parquet(quarantine).collect()] == ["INBOUND_INSERT_ATTACK"]
+
+
+def test_insert_split_completes_a_run_that_stopped(spark):
+    decided = audit.audit(_requests(
+        spark, *[dict(op="insert", document=d) for d in ('{"a": "one"}', '{"a": "two"}', '{"a": "kill"}', '{"a": "bomb"}')]), KNOWN)
+    twice = decided.unionAll(decided.where("request_id in (0, 2)"))
+    accepted, quarantine = scratch_path(spark, "acc"), scratch_path(spark, "quar")
+    access.insert_split(decided.where("request_id = 0"), accepted, scratch_path(spark, "lost"))  # stopped before quarantine
+    for _ in range(2):
+        access.insert_split(twice, accepted, quarantine)
+        assert sorted(r.request_id for r in spark.read.parquet(accepted).collect()) == [0, 1]
+        assert sorted(r.request_id for r in spark.read.parquet(quarantine).collect()) == [2, 3]
 
 
 def test_static_rules_cover_the_categories():
