@@ -115,17 +115,20 @@ def _tiles(k: int):
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy()
             vectors = batch.column("vector")
-            width = len(vectors.flatten()) // max(1, len(batch))
-            flat = vectors.flatten().to_numpy().reshape(len(batch), width)
-            for name in dict.fromkeys(tiles.tolist()):
-                if name != now:
+            flat = vectors.flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())])
+            starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]])) if len(tiles) else []
+            for lo, hi in zip(starts, [*starts[1:], len(tiles)]):
+                if tiles[lo] != now:
                     if now is not None:
                         yield solve(sides)
-                    now, sides = name, {True: [], False: []}
+                    now, sides = tiles[lo], {True: [], False: []}
+                # a tile's vectors have one width
+                block = flat[ends[lo]:ends[hi]].reshape(hi - lo, -1)
                 for side in (True, False):
-                    own = (tiles == name) & (asks == side)
+                    own = asks[lo:hi] == side
                     if own.any():
-                        sides[side].append((ids[own], flat[own]))
+                        sides[side].append((ids[lo:hi][own], block[own]))
         if now is not None:
             yield solve(sides)
     return run
@@ -161,9 +164,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
     """Each query's k rows of largest inner product: (query_id, rank, id, score), exact.
 
     A row with the query's id is no answer. Nearest first, ties to the smaller id; all rows if
-    there are fewer than k. Vectors that are null, empty, all zero, of a width other than the most
-    common one of the rows, or that hold a null or non-finite component take no part, nor do rows
-    without id. Repeated ids among the rows are answers each; a repeated query is answered once.
+    there are fewer than k. A query is searched among the rows of its own width. Vectors that are null, empty,
+    all zero, or that hold a null or non-finite component take no part, nor do rows
+    without id. Repeated ids among the rows are answers each; a repeated query is answered once, by the least of its vectors.
     Further columns are ignored.
 
     A tile is a key of about ``tile_queries`` by ``tile_rows`` vectors, so a task's memory and work
@@ -173,22 +176,23 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")) \
             .where(F.col("id").isNotNull() & usable("vector"))
 
-    asked, given = sides(queries), sides(rows)
-    widths = given.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    width, n = (widths["width"], widths["n"]) if widths else (0, 0)
-    asked = asked.where(F.size("vector") == width).dropDuplicates(["id"])
-    given = given.where(F.size("vector") == width)
-    across = max(1, -(-n // tile_rows))
-    down = max(1, -(-asked.count() // tile_queries))
-
-    def spread(df: DataFrame, own: int, other: int, asks: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.lit(own))
-        name = mine * other + F.col("j") if asks else F.col("j") * own + mine
-        return df.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select(
-            name.cast("long").alias("tile"), F.lit(asks).alias("asks"), "id", "vector")
-
-    tiles = spread(asked, down, across, True).unionAll(spread(given, across, down, False))
-    lists = tiles.repartition(down * across, "tile").sortWithinPartitions("tile").mapInArrow(
+    asked, given = sides(queries).groupBy("id").agg(F.min("vector").alias("vector")), sides(rows)
+    count = lambda df, size, name: df.groupBy(F.size("vector").alias("width")).agg(
+        F.ceil(F.count("*") / size).cast("int").alias(name))
+    # a row for every width
+    grid = materialize(count(given, tile_rows, "across").join(count(asked, tile_queries, "down"), "width"), "grid")
+    n_tiles = grid.agg(F.sum(F.col("across").cast("long") * F.col("down"))).first()[0] or 1
+
+    def spread(df: DataFrame, asks: bool) -> DataFrame:
+        own, other = ("down", "across") if asks else ("across", "down")
+        mine = F.pmod(F.xxhash64("id"), F.col(own))
+        name = mine * F.col("across") + F.col("j") if asks else F.col("j") * F.col("across") + mine
+        return df.withColumn("width", F.size("vector")).join(F.broadcast(grid), "width").withColumn(
+            "j", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(
+            (F.shiftleft(F.col("width").cast("long"), 40) + name).alias("tile"), F.lit(asks).alias("asks"), "id", "vector")
+
+    tiles = spread(asked, True).unionAll(spread(given, False))
+    lists = tiles.repartition(min(n_tiles, 100_000), "tile").sortWithinPartitions("tile").mapInArrow(
         _tiles(k), "query_id long, ids array<long>, scores array<double>")
     return materialize(lists, "tiles").repartition("query_id").sortWithinPartitions("query_id").mapInArrow(
         _merge(k), "query_id long, rank int, id long, score double")

@@ -48,7 +48,7 @@ def test_edges(spark):
             (8, []), (9, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5]), (10, [1e300, -1e300])]
     rows = edge.clashing(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
     found = result(nearest(rows, rows, 3))
-    assert sorted(found) == [1, 2, 10]
+    assert sorted(found) == [1, 2, 10]  # 9 is alone with its width
     assert found[1] == [(10, 1e300), (2, 0.5), (2, 0.5)]
     assert found[10] == [(1, 1e300), (2, 0.0), (2, 0.0)]
     assert nearest(rows.limit(0), rows, 3).collect() == []
@@ -61,3 +61,15 @@ def test_whole_numbers_are_exact_enough(spark):
     own = [(k, rng.normal(size=16).astype("float32").tolist()) for k in range(500)]
     rows = spark.createDataFrame(own, "vec_id long, embedding array<float>")
     assert result(nearest(rows.where(F.col("vec_id") < 40), rows, 20, tile_rows=128)) == plain(own[:40], own, 20)
+
+
+def test_queries_of_a_rare_width_are_searched_among_their_own(spark):
+    rng = np.random.default_rng(9)
+    own = [(k, rng.normal(size=3 if k % 20 == 0 else 2 if k % 3 else 7).tolist()) for k in range(300)]
+    rows = spark.createDataFrame(own, "vec_id long, embedding array<double>").repartition(4)
+    for size in (8192, 20):
+        found = result(nearest(rows.where("vec_id % 20 = 0 or vec_id % 45 = 1"), rows, 5, tile_rows=size, tile_queries=size))
+        asked = [x for x in own if x[0] % 20 == 0 or x[0] % 45 == 1]
+        assert len(asked) > 15
+        for query in asked:
+            assert found[query[0]] == plain([query], [x for x in own if len(x[1]) == len(query[1])], 5)[query[0]]
