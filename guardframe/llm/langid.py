@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows per language that the field's weights are fitted on (on average), words taken of
@@ -23,11 +23,13 @@ FIT_ROWS, FIT_WORDS, WEIGHTS, LEXICON = 300, 80, 1 << 16, 1 << 16
 UNKNOWN = "und"
 CHUNK = 64
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Longest word; a longer run of letters is several words, one behind the other, so every letter counts.
+LONGEST = 40
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def letters(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters, lower-cased, in words of ``LONGEST`` letters at most."""
     return [] if text is None else _LETTERS.findall(text.lower())
 
 
@@ -39,9 +41,9 @@ def features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the weight table, word after word, and how many each word has.
 
     A word's features are its affixes of up to four letters and its n-grams of up to three with
-    its ends marked, hashed for all words at once. Of a long word both ends count.
+    its ends marked, hashed for all words at once.
     """
-    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     sizes = np.array([len(w) for w in marked])
     signs = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     ends = sizes.cumsum()
@@ -262,12 +264,11 @@ def train(rows: DataFrame, *, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WOR
     """Fit a field on labelled rows (text, lang); null labels and texts teach nothing.
 
     The lexicon counts the words of all rows, in a table of ``lexicon`` rows by language whatever
-    the corpus. The weights are fitted on a hash sample of about ``fit_rows`` rows of each
+    the corpus. The weights are fitted on a hash sample of at most ``fit_rows`` different texts of each
     language, of which a stretch of ``fit_words`` words each, drawn by the text's hash.
     """
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
-    by_label = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
-    labels = sorted(by_label)
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     number = {name: k for k, name in enumerate(labels)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +295,18 @@ def train(rows: DataFrame, *, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WOR
             for text in batch.column(0):
                 own = letters(text.as_py())
                 at = zlib.crc32(text.as_py().encode()) % max(1, len(own) - fit_words + 1)
-                out.append([w[:100] for w in own[at:at + fit_words]])
+                out.append(own[at:at + fit_words])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
+                [batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.string()))], names=["lang", "hash", "words"])
 
     if labels:
-        share = F.create_map(*(F.lit(x) for name in labels for x in (name, fit_rows / by_label[name])))
-        part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-        sample = rows.where(part < share[F.col("lang")]).mapInArrow(stretch, "lang string, words array<string>")
+        # different texts in the order of their hashes: copies of a text are drawn once, and no more than fit_rows per language
+        hashed = rows.withColumn("hash", F.xxhash64("text"))
+        first = Window.partitionBy("lang").orderBy("hash")
+        drawn = hashed.select("lang", "hash").distinct().withColumn("nth", F.row_number().over(first)).where(
+            F.col("nth") <= fit_rows).drop("nth")
+        sample = hashed.join(F.broadcast(drawn), ["lang", "hash"], "left_semi").select("text", "lang", "hash").mapInArrow(
+            stretch, "lang string, hash long, words array<string>").dropDuplicates(["lang", "hash"])
         field.fit(sorted((r["lang"], r["words"]) for r in sample.collect()))
     return field
 

@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from guardframe.llm.common import fold
-from guardframe.llm.langid import forward_backward, identify, in_language, probabilities, train
+from guardframe.llm.langid import Field, forward_backward, identify, in_language, letters, probabilities, train
 
 
 def test_messages_are_those_of_whole_chains():
@@ -59,3 +59,25 @@ def test_edges(spark):
     assert identify(edge.none(spark), field).collect() == []
     unlearned = train(edge.none(spark))
     assert {r["lang_pred"] for r in identify(docs, unlearned).collect()} == {"und"}
+
+
+def test_every_letter_of_a_long_run_counts(spark):
+    run = "ab" * 60
+    assert "".join(letters(f"1{run} x")) == run + "x" and max(map(len, letters(run))) == 40
+    rows = [(k, "th" * 30 if k % 2 else "zq" * 30, "en" if k % 2 else "xx") for k in range(60)]
+    field = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = ["th" * 10 + "zq" * 200 + "th" * 10, "zq" * 10 + "th" * 200 + "zq" * 10]
+    found = identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), field).orderBy("id").collect()
+    assert [r["lang_pred"] for r in found] == ["xx", "en"]
+
+
+def test_the_fit_sample_is_bounded_and_takes_a_copied_text_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Field, "fit", lambda self, sample: seen.append(sample))
+    many = spark.range(60_000).select(F.lit("one text copied very often").alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(4000).select(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("text"),
+                                     F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    train(many.unionAll(other), fit_rows=50)
+    assert [sum(lang == name for lang, _ in seen[0]) for name in ("de", "en")] == [50, 50]
+    train(many, fit_rows=50)
+    assert seen[1] == [("en", ["one", "text", "copied", "very", "often"])]
