@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardframe.llm.common import LOWER, lookup
+from guardframe.llm.common import LOWER
+from guardframe.operators.joins import lookup
 from guardframe.sources.scratch import materialize
 
 #: Bits of either filter, and of a shard, as powers of two: 64 MiB whatever the input, in 512 shards.

@@ -5,7 +5,6 @@ import edge
 import numpy as np
 from pyspark.sql import functions as F
 
-from guardframe.llm.common import lookup
 from guardframe.llm.line_dedup import Suspects, _bits, _merged, dedup_lines, keys_of, positions, repeated_filter
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -83,12 +82,3 @@ def test_keys():
     at = positions(np.array([0, 2**64 - 1, 5 + (9 << 32)], np.uint64), 29)
     assert at.tolist() == [[0, 2**29 - 1, 5], [0, 2**29 - 1, 9]]
     assert callable(_bits(4, 2, 10)) and callable(_merged(2))
-
-
-def test_lookup_equals_a_join_with_hot_keys(spark):
-    rows = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id") % 9000).alias("key"), "id")
-    table = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("key % 2 = 1")
-    wanted = Counter(map(tuple, rows.join(table.drop("n"), "key").select("key", "id", "first").collect()))
-    assert Counter(map(tuple, lookup(rows, table, "key", "n").select("key", "id", "first").collect())) == wanted
-    assert lookup(rows.limit(0), table.limit(0), "key", "n").collect() == []
