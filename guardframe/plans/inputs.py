@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from guardframe.functions.pii import redact
 from guardframe.operators.audit import audit
 from guardframe.operators.telemetry import with_latency
+from guardframe.sources.scratch import materialize
 
 KNOWN = ["users", "transactions", "security_logs", "rules", "scratch"]
 
@@ -223,8 +224,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = redact_input(spread_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("user_id"), "text", redact(F.col("text")).alias("_clean")
     ).select("user_id", (~F.col("text").eqNullSafe(F.col("_clean"))).alias("_redacted"))
-    return audited_requests(spark, sf_dir).withColumn(
-        "_reader", F.when(F.col("outcome") == "allowed", F.col("user_id"))
-    ).join(documents.where("_redacted").withColumnRenamed("user_id", "_reader"), "_reader", "left").withColumn(
-        "redaction_applied", F.coalesce("_redacted", F.lit(False))
-    ).drop("_reader")
+    # only those requests are shuffled, by keys that are never null
+    audited = materialize(audited_requests(spark, sf_dir), "responses")
+    looks = F.coalesce((F.col("outcome") == "allowed") & F.col("user_id").isNotNull(), F.lit(False))
+    readers = audited.where(looks).join(documents.where("_redacted"), "user_id", "left").select(
+        *audited.columns, F.coalesce("_redacted", F.lit(False)).alias("redaction_applied"))
+    return audited.where(~looks).withColumn("redaction_applied", F.lit(False)).unionByName(readers)

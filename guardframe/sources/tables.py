@@ -85,9 +85,15 @@ def guarded_delete(
 RULES_SCHEMA = "category string, threat_level string, description string, playbook string"
 
 
+def _static_rules() -> Column:
+    """The twelve built-in rules as rows that a single row gives out."""
+    names = [c.split(" ")[0] for c in RULES_SCHEMA.split(", ")]
+    return F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in STATIC_RULES]))
+
+
 def static_rules(spark: SparkSession) -> DataFrame:
     """The twelve built-in rules."""
-    return spark.createDataFrame(STATIC_RULES, RULES_SCHEMA)
+    return spark.range(1, numPartitions=1).select(_static_rules())
 
 
 def rules_lookup(rules: DataFrame, position: str) -> DataFrame:
@@ -114,10 +120,7 @@ def rules_lookup(rules: DataFrame, position: str) -> DataFrame:
         ).alias("rule"))
         .select("category", "rule.description", "rule.threat_level", "rule.action")
     )
-    static = static_rules(rules.sparkSession).select(
-        "category", "description", "threat_level", F.col("playbook").alias("action")
-    )
-    # at most one row decides for the twelve static ones
-    any_rule = rules.limit(1).select(F.lit(True).alias("present"))
-    fallback = static.withColumn("present", F.lit(True)).join(any_rule, "present", "left_anti").drop("present")
+    # one row says whether the table has any; if not, it gives out the static ones
+    fallback = rules.limit(1).agg((F.count("*") == 0).alias("absent")).where("absent").select(_static_rules()).select(
+        "category", "description", "threat_level", F.col("playbook").alias("action"))
     return own.unionByName(fallback)

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, on whole tables."""
 
+import os
+import subprocess
+import sys
+
 import compare
 import pytest
 
@@ -27,3 +31,11 @@ def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["doc_id", "text", "redaction_applied"]
     assert df.where("redaction_applied").count() > 0
+
+
+@pytest.mark.parametrize("hidden", ["tiktoken", "xxhash", "corpus_pipeline", "guardframe.llm"])
+def test_plain_queries_stand_without_the_others_packages(hidden):
+    root = os.path.dirname(contract.__file__)
+    code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))] and "without" in done.stderr
