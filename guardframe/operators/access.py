@@ -55,7 +55,8 @@ def gated_read(audited: DataFrame, collections: dict[str, Collection], limit: in
 
     A request reads the collection and filter that it was audited for, and nothing else.
     """
-    return read_results(audited, materialize(answer_reads(audited, collections, limit), "gated_read"))
+    reads = materialize(audited.where(F.col("op") == "read"), "audited")
+    return read_results(reads, materialize(answer_reads(reads, collections, limit), "gated_read"))
 
 
 def gated_delete(audited: DataFrame, name: str, table: Snapshots) -> DataFrame:
@@ -64,9 +65,10 @@ def gated_delete(audited: DataFrame, name: str, table: Snapshots) -> DataFrame:
     Requests run in the order of their ids, so a row counts for the first that matches it. All are one change
     to ``table``, which is either made or not. Deletes on other collections count no rows here.
     """
-    found = materialize(deleted_rows(audited, name, table.placed(), PLACE), "gated_delete")
+    asked = materialize(audited.where(F.col("op") == "delete"), "audited")
+    found = materialize(deleted_rows(asked, name, table.placed(), PLACE), "gated_delete")
     table.delete_places(found)
-    deletes = with_conditions(audited.where(F.col("op") == "delete")).select("request_id", F.when(
+    deletes = with_conditions(asked).select("request_id", F.when(
         (F.col("outcome") == "delete_allowed") & ~F.col("readable"), "unsupported_filter").otherwise(F.col("outcome")).alias("outcome"))
     counts = found.groupBy("request_id").agg(F.count("*").alias("deleted"))
     return deletes.join(counts, "request_id", "left").select(

@@ -84,50 +84,48 @@ def with_conditions(requests: DataFrame, query: str = "query") -> DataFrame:
     return out.withColumn("readable", F.coalesce(fine, F.lit(False))).drop("_v", "_fields")
 
 
-def _in_bounds(held: Column, bound: Column) -> Column:
-    """Whether a row's value keeps a bound; values of another kind, or none, do not."""
-    value, kind = held[bound["column"]], F.substring(bound["value"], 1, 1)
-    mine, its = F.substring(value, 2, 1 << 30), F.substring(bound["value"], 2, 1 << 30)
-
-    def kept(a: Column, b: Column) -> Column:
-        op = bound["op"]
-        return F.when(op == "$lt", a < b).when(op == "$lte", a <= b).when(op == "$gt", a > b).otherwise(a >= b)
-
-    same = F.substring(value, 1, 1) == kind
-    return F.coalesce(same & F.when(kind == "n", kept(mine.try_cast("double"), its.try_cast("double")))
-                      .otherwise(kept(mine, its)), F.lit(False))
+def _kind(dtype: T.DataType) -> str | None:
+    return "s" if isinstance(dtype, T.StringType) else "n" if isinstance(dtype, T.NumericType) else None
 
 
 def matches(filters: DataFrame, rows: DataFrame, keep: list[Column]) -> DataFrame:
     """Pairs of a filter and a row that it lets through: all columns of ``filters`` but the conditions, and ``keep``.
 
     ``filters`` has ``equal`` and ``bounds``, best each only once. A column that the collection lacks is null
-    in every row, so only equality with null matches it.
+    in every row, so only equality with null matches it. Bounds are kept by values of their own kind.
     """
     spark = rows.sparkSession
     own = [c for c in filters.columns if c not in ("equal", "bounds")]
+    kinds = {f.name: _kind(f.dataType) for f in rows.schema.fields if _kind(f.dataType)}
+    kind_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else F.lit(None).cast("map<string,string>")
+    can = F.forall("bounds", lambda b: F.coalesce(kind_of[b["column"]] == F.substring(b["value"], 1, 1), F.lit(False)))
+    names = F.array_sort(F.map_keys("equal"))
+    asked = materialize(filters.where(can).withColumn("_names", names).withColumn(
+        "_key", F.to_json(F.transform("_names", lambda n: F.col("equal")[n]))), "filters")
+    # the sets of columns that filters compare, and the columns that they bound, not their values
+    shape = asked.agg(F.collect_set("_names").alias("sets"), F.array_distinct(F.flatten(F.collect_set("bounds.column"))).alias("bounded")).first()
     held = {f.name: _held(f.name, f.dataType) for f in rows.schema.fields}
-    asked = filters.withColumn("_names", F.array_sort(F.map_keys("equal"))).withColumn(
-        "_key", F.to_json(F.transform("_names", lambda n: F.col("equal")[n])))
-    # the sets of columns that filters compare, not their values
-    sets = [r["_names"] for r in asked.select("_names").distinct().collect()]
-    bounded = {r["column"] for r in asked.select(F.explode("bounds.column").alias("column")).distinct().collect()}
-    if not sets:
+    if not shape["sets"]:
         return rows.where(F.lit(False)).select(*[F.lit(None).cast(filters.schema[c].dataType).alias(c) for c in own], *keep)
-    keys = [F.struct(F.array(*[F.lit(n) for n in names]).cast("array<string>").alias("_names"), F.to_json(F.array(
-        *[held.get(n, F.lit("z")) for n in names]).cast("array<string>")).alias("_key")) for names in sets]
-    compared = [x for n in sorted(bounded) if n in held for x in (F.lit(n), held[n])]
-    values = F.create_map(*compared) if compared else F.lit(None).cast("map<string,string>")
+    keys = [F.struct(F.array(*[F.lit(n) for n in some]).cast("array<string>").alias("_names"), F.to_json(F.array(
+        *[held.get(n, F.lit("z")) for n in some]).cast("array<string>")).alias("_key")) for some in shape["sets"]]
+    limits, passed = [], F.lit(True)
+    for i, name in enumerate(shape["bounded"]):
+        for op in BOUNDS:
+            given_ = F.get(F.filter("bounds", lambda b: (b["column"] == name) & (b["op"] == op)), 0)["value"]
+            limits.append(F.substring(given_, 2, 1 << 30).try_cast("double" if kinds[name] == "n" else "string").alias(f"_{op}{i}"))
+            value, limit = F.col(f"_value{i}"), F.col(f"_{op}{i}")
+            kept = {"$lt": value < limit, "$lte": value <= limit, "$gt": value > limit, "$gte": value >= limit}[op]
+            passed = passed & (limit.isNull() | kept)
+    values = [F.col(f"`{n}`").cast("double" if kinds[n] == "n" else "string").alias(f"_value{i}") for i, n in enumerate(shape["bounded"])]
     blocks = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # filters without equality meet every row: their collection is dealt into blocks
-    n_salts = lambda names: F.when(F.size(names) == 0, blocks).otherwise(SALTS)
-    keyed = rows.select(*keep, values.alias("_held"), F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t]).alias("_hash"),
-                        F.explode(F.array(*keys)).alias("_at")).select("*", "_at._names", "_at._key").drop("_at") \
-        .withColumn("_salt", F.pmod("_hash", n_salts(F.col("_names")))).drop("_hash")
-    spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n_salts(F.col("_names")).cast("long") - 1)))
-    pairs = keyed.join(spread, ["_names", "_key", "_salt"])
-    passed = pairs.where((F.size("bounds") == 0) | F.forall("bounds", lambda b: _in_bounds(F.col("_held"), b)))
-    return passed.drop("_names", "_key", "_salt", "_held", "equal", "bounds")
+    n_salts = F.when(F.size("_names") == 0, blocks).otherwise(SALTS).cast("long")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t])
+    keyed = rows.select(*keep, *values, hashed.alias("_hash"), F.inline(F.array(*keys))).withColumn("_salt", F.pmod("_hash", n_salts)).drop("_hash")
+    spread = asked.select(*own, "_names", "_key", *limits).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n_salts - 1)))
+    pairs = keyed.join(spread, ["_names", "_key", "_salt"]).where(passed)
+    return pairs.select(*own, *[c for c in keyed.columns if c not in ("_names", "_key", "_salt") and not c.startswith("_value")])
 
 
 def _shown(name: str, projection: Column) -> Column:
@@ -138,6 +136,15 @@ def _shown(name: str, projection: Column) -> Column:
     return F.when(own.isNotNull(), ~own.isin("0", "false")).otherwise(F.lit(name == "_id") | ~including)
 
 
+def _readable(audited: DataFrame, op: str, outcome: str) -> DataFrame:
+    """Requests of a kind and outcome with their conditions, if these can be read.
+
+    Each step is stored: a filter on a decision or a condition would work both out again, below them.
+    """
+    decided = materialize(audited.where(F.col("op") == op).select("request_id", "collection", "query", "projection", "outcome"), "decided")
+    return materialize(with_conditions(decided.where(F.col("outcome") == outcome)), "conditions").where("readable")
+
+
 def answer_reads(audited: DataFrame, collections: dict[str, Collection], limit: int = READ_LIMIT) -> DataFrame:
     """The documents of every allowed read: (request_id, collection, nth, document, redaction_applied).
 
@@ -145,19 +152,23 @@ def answer_reads(audited: DataFrame, collections: dict[str, Collection], limit:
     has its collection's first ``limit`` matching rows, redacted, as JSON text in its projection; null fields are
     left out. Requests whose filter is not readable, and those on a collection that is not given, have no rows.
     """
-    reads = materialize(with_conditions(audited.where((F.col("op") == "read") & (F.col("outcome") == "allowed"))).where("readable").select(
+    filter_ = F.to_json(F.struct(F.array_sort(F.map_entries("equal")).alias("e"), "bounds"))
+    reads = materialize(_readable(audited, "read", "allowed").select(
         "request_id", "collection", "equal", "bounds", F.coalesce("projection", F.lit("")).alias("projection"),
-        F.sha2(F.concat_ws("\n", "collection", F.to_json(F.struct(F.array_sort(F.map_entries("equal")).alias("e"), "bounds", F.coalesce("projection", F.lit("")).alias("p")))), 256).alias("ask")), "reads")
-    asks = materialize(reads.groupBy("ask").agg(
-        F.count("*").alias("times"), *[F.any_value(c).alias(c) for c in ("collection", "equal", "bounds", "projection")]), "asks")
+        F.sha2(F.concat_ws("\n", "collection", filter_), 256).alias("filter"))
+        .withColumn("ask", F.sha2(F.concat_ws("\n", "filter", "projection"), 256)), "reads")
+    asks = materialize(reads.groupBy("ask").agg(F.count("*").alias("times"), *[
+        F.any_value(c).alias(c) for c in ("collection", "filter", "projection")]), "asks")
+    filters = reads.groupBy("filter").agg(*[F.any_value(c).alias(c) for c in ("collection", "equal", "bounds")])
     answers = []
     for name, own in collections.items():
         rows = own.rows
-        found = matches(asks.where(F.col("collection") == name).select("ask", "equal", "bounds", "projection"), rows,
+        found = matches(filters.where(F.col("collection") == name).select("filter", "equal", "bounds"), rows,
                         [F.col(f"`{c}`").alias(f"_row_{c}") for c in rows.columns])
-        first = Window.partitionBy("ask").orderBy(f"_row_{own.order}")
+        first = Window.partitionBy("filter").orderBy(f"_row_{own.order}")
         best = materialize(found.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= limit), "answers")
-        documents = best.select(
+        # every filter has ``limit`` rows at most, whatever the number of projections
+        documents = best.join(asks.where(F.col("collection") == name).select("ask", "filter", "projection"), "filter").select(
             F.struct("ask", "projection", F.col("_nth").alias("nth")).alias("_at"),
             *[F.col(f"`_row_{c}`").cast("string" if c == "_id" else rows.schema[c].dataType).alias(c) for c in rows.columns])
         shown = documents.withColumn("_shown", F.filter(F.array(*[F.when(_shown(c, F.col("_at.projection")), c) for c in rows.columns]),
@@ -192,8 +203,7 @@ def deleted_rows(audited: DataFrame, name: str, rows: DataFrame, keys: list[str]
 
     ``keys`` tell rows apart. Requests run in the order of their ids, so a row goes to the first that matches it.
     """
-    deletes = with_conditions(audited.where(
-        (F.col("op") == "delete") & (F.col("outcome") == "delete_allowed") & (F.col("collection") == name))).where("readable")
+    deletes = _readable(audited, "delete", "delete_allowed").where(F.col("collection") == name)
     filters = materialize(deletes.withColumn("_ask", F.to_json(F.struct(F.array_sort(F.map_entries("equal")).alias("e"), "bounds"))).groupBy("_ask").agg(
         F.min("request_id").alias("request_id"), F.any_value("equal").alias("equal"), F.any_value("bounds").alias("bounds")).drop("_ask"), "deletes")
     return matches(filters, rows, [F.col(k) for k in keys]).groupBy(*keys).agg(F.min("request_id").alias("request_id"))
