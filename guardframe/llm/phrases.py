@@ -29,7 +29,7 @@ GROUPS = 4096
 #: Phrases of a trie, tries that are broadcast at a time, and neighbouring phrases whose counts are summed together.
 TRIE, AT_ONCE, RANGE = 1 << 17, 16, 1 << 13
 #: Bytes of text and hashes that a task works on at a time, and words and hashes of phrases that it remembers.
-CHUNK, GATHER, REMEMBER, TOLD = 1 << 21, 4_000_000, 200_000, 4_000_000
+CHUNK, GATHER, REMEMBER, TOLD = 1 << 20, 2_500_000, 150_000, 2_000_000
 #: Least share of a phrase's occurrences, in percent, that a longer one must have to take its place.
 COVERED = 50
 
@@ -70,7 +70,7 @@ class Words(dict):
     def forget(self) -> None:
         self.clear()
         self.age += 1
-        self.digests = [bytes(16)]
+        self.digests, self.table = [bytes(16)], np.zeros((1, 2), np.uint64)
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
@@ -81,6 +81,13 @@ class Words(dict):
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def halves(self) -> np.ndarray:
+        """All digests so far as two numbers each."""
+        new = self.digests[len(self.table):]
+        if new:
+            self.table = np.concatenate([self.table, np.frombuffer(b"".join(new), "<u8").reshape(-1, 2)])
+        return self.table
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that leaves no bit unmixed."""
@@ -93,18 +100,14 @@ class Hashed:
     """Hashes of all word sequences of a chunk by length, where a piece holds them; equal words, equal hash."""
 
     def __init__(self):
-        self.words, self.hashes = Words(), np.zeros(1, np.uint64)
+        self.words = Words()
 
     def __call__(self, lang: str, words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For every length from 1 on: (first places, hashes)."""
         if len(self.words) > REMEMBER:
             self.words.forget()
-            self.hashes = np.zeros(1, np.uint64)
         numbers = self.words.numbers(words)
-        new = self.words.digests[len(self.hashes):]
-        if new:
-            self.hashes = np.concatenate([self.hashes, np.frombuffer(b"".join(new), "<u8")[::2]])
-        own = self.hashes[numbers]
+        own = self.words.halves()[:, 0][numbers]
         places = np.flatnonzero(numbers)
         state = np.full(len(places), xxhash.xxh3_64_intdigest(lang), np.uint64)
         for length in range(1, most + 1):
@@ -129,7 +132,9 @@ def _places(rest: np.ndarray, size: int) -> np.ndarray:
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
     for batch in batches:
-        yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
+        for at in range(0, len(batch), 256):
+            some = batch.slice(at, 256)
+            yield from zip(some.column("lang").to_pylist(), some.column("text").to_pylist())
 
 
 def _count_hashes(most: int, least: int, groups: int):
@@ -240,16 +245,23 @@ class Trie:
 
     def __init__(self, base: np.ndarray, check: np.ndarray, value: np.ndarray, alphabet: bytes, radix: int, phrases: int):
         self.base, self.check, self.value, self.radix, self.phrases = base, check, value, radix, phrases
-        self.codes = {bytes(alphabet[16 * i:16 * i + 16]): i for i in range(len(alphabet) // 16)}
+        # digests in order; a word's code is its place
+        self.first, self.second = np.frombuffer(alphabet, "<u8").reshape(-1, 2).T.copy()
         self.known, self.age = np.full(1, -1, np.int32), 0
 
     def of(self, words: Words, numbers: np.ndarray) -> np.ndarray:
         """Codes of a chunk's words, -1 where the trie has none."""
         if self.age != words.age:
             self.known, self.age = self.known[:1], words.age
-        new = words.digests[len(self.known):]
-        if new:
-            self.known = np.concatenate([self.known, np.fromiter((self.codes.get(d, -1) for d in new), np.int32, len(new))])
+        new = words.halves()[len(self.known):]
+        if len(new):
+            at = np.searchsorted(self.first, new[:, 0])
+            codes = np.full(len(new), -1, np.int32)
+            for place in (at, at + 1):  # two digests may share a half
+                held = np.minimum(place, len(self.first) - 1)
+                same = (self.first[held] == new[:, 0]) & (self.second[held] == new[:, 1])
+                codes[same] = held[same]
+            self.known = np.concatenate([self.known, codes])
         return self.known[numbers]
 
     def count(self, codes: np.ndarray, most: int, counts: np.ndarray) -> None:
@@ -335,9 +347,11 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A trie for every language and shard, whose phrases follow each other."""
     def close(lang: str, shard: int, phrases: list[str]) -> pa.RecordBatch:
         cut = [p.encode().split(b" ") for p in phrases]
-        codes = {w: i for i, w in enumerate(dict.fromkeys(w for words in cut for w in words))}
-        radix = int(np.ceil(np.sqrt(max(1, len(codes)))))
-        alphabet = b"".join(xxhash.xxh3_128_digest(w) for w in codes)
+        digests = {w: xxhash.xxh3_128_digest(w) for words in cut for w in words}
+        in_order = sorted(digests, key=lambda w: np.frombuffer(digests[w], "<u8").tolist())
+        codes = {w: i for i, w in enumerate(in_order)}
+        radix = int(np.ceil(np.sqrt(len(codes))))
+        alphabet = b"".join(digests[w] for w in in_order)
         arrays = [x.astype("<i4").tobytes() for x in build([[codes[w] for w in words] for words in cut], radix)]
         row = [lang, shard, radix, len(phrases), alphabet, *arrays, phrases]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _TRIE)], schema=_TRIE)
