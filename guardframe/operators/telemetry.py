@@ -81,14 +81,15 @@ def rolling_latency(
     order_by: list[str],
     ring: int = LATENCY_RING,
     block_rows: int = 100_000,
+    store: str | None = None,
 ) -> DataFrame:
     """For each request, the average latency of the last ``ring`` requests up to it.
 
     The ring runs over all requests, which as one window would put every row into one task.
     Instead the rows are numbered by a range sort and cut into blocks of equal size; each block
     also gets the last ``ring - 1`` rows of the one before, and the window runs within blocks. The
-    sort is written out once, so that the numbers cannot change if a part is worked out again.
-    ``order_by`` must identify a request.
+    sort is written out once, so that the numbers cannot change if a part is worked out again; it goes to
+    ``store``, replacing what is there, or to a folder of its own. ``order_by`` must identify a request.
     """
     if not 1 <= ring <= block_rows:
         raise ValueError("ring must be between 1 and block_rows")
@@ -99,7 +100,7 @@ def rolling_latency(
         .withColumn("_at", F.monotonically_increasing_id())
     )
     # the id holds the partition in its upper bits and the row within it in the lower 33
-    rows = materialize(ranged, "rolling_latency").select(
+    rows = materialize(ranged, "rolling_latency", store).select(
         *order_by, "latency_ms",
         F.shiftright("_at", 33).alias("_part"),
         F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),

@@ -25,8 +25,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
-    """Write a frame to the shared folder and read it back, which cuts its lineage for good."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+def materialize(df, name: str, path: str | None = None):
+    """Write a frame to the shared folder and read it back, which cuts its lineage for good.
+
+    A caller that does this again and again gives a path of its own, whose table is replaced each time.
+    """
+    path, mode = (path, "overwrite") if path else (scratch_path(df.sparkSession, name), "errorifexists")
+    df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
