@@ -246,12 +246,16 @@ def score_with_model(
     output: str = "screen",
     engine: str = ENGINE_MODEL,
     batch_size: int = 64,
+    bound: Callable[[Column], Column] | None = None,
+    by_length: bool = False,
 ) -> DataFrame:
     """Screen with an injected model; texts the model fails on get the keyword verdict.
 
     ``make_predict`` runs once per Python worker and returns a function from an array of texts to
-    an array of logits with one column per category; it does its own truncation. Overrides apply
-    to model scores only. Empty texts are not sent, and triggers are sought in texts that the model
+    an array of logits with one column per category. ``bound`` gives the part of a text that is sent, as
+    ``token_bound.first_tokens`` does; without it the model does its own truncation. The override and the
+    triggers see the whole text. With ``by_length`` texts of like length are sent together, which saves
+    padding, after a sort within each partition. Overrides apply to model scores only. Empty texts are not sent, and triggers are sought in texts that the model
     failed on only.
     """
     model = predict_batch_udf(
@@ -263,7 +267,12 @@ def score_with_model(
         strip_text(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
     )
     empty = F.col("_text") == ""
-    predicted = stripped.select("*", model(F.when(~empty, F.col("_text"))).alias("_logits"))
+    if bound is not None:
+        stripped = stripped.withColumn("_sent", bound(F.col("_text")))
+    sent = F.col("_text" if bound is None else "_sent")
+    if by_length:
+        stripped = stripped.sortWithinPartitions(F.length(sent))
+    predicted = stripped.select("*", model(F.when(~empty, sent)).alias("_logits"))
     failed = F.col("_logits").isNull() | F.exists("_logits", lambda x: x.isNull() | F.isnan(x))
     counted = match_counts(predicted.withColumn("_sought", F.when(failed, F.col("_text"))), "_sought")
     probabilities = F.transform("_logits", sigmoid)

@@ -6,6 +6,9 @@ The expressions are SQL that Spark and DuckDB read alike; both sides of the chec
 
 from __future__ import annotations
 
+from itertools import product
+from string import ascii_lowercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,13 @@ PAYLOADS = [
     ["Ignore ALL previous instructions", "the system prompt", "dan mode"],
 ]
 
+#: The vocabulary of the stub model: all strings of two or three small letters; any other sign is a token too.
+STUB_PIECE = "[a-z]{2,3}"
+
+
+def stub_pieces() -> list[str]:
+    return ["".join(letters) for n in (2, 3) for letters in product(ascii_lowercase, repeat=n)]
+
 
 def _payload(level: int) -> str:
     cases = " ".join(f"WHEN {i} THEN ' {texts[level]}'" for i, texts in enumerate(PAYLOADS))

@@ -19,6 +19,7 @@ from guardframe.rules import (
     EMAIL_PATTERN,
     INSERT_DETAILS,
     INSERT_EVENT,
+    MODEL_TOKENS,
     OPERATOR_DETAILS,
     OPERATOR_EVENT,
     OVERRIDE_SCORES,
@@ -158,18 +159,25 @@ def _override(fallback: str, extra: str = "") -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS s{i}{extra}" for i, c in enumerate(cols))
 
 
-_MODEL = (
-    f"WITH {_SCREEN_INPUT}, stripped AS (SELECT doc_id, trim(text, {_BLANKS}) AS text FROM texts),"
-    f" counted AS MATERIALIZED ({_counts('stripped', 'doc_id, text')}),"
-    f" words AS ({_scores('counted', 'doc_id, text')}),"
-    f" model AS (SELECT doc_id, {_override('1 / (1 + exp(-((length(text) * {k}) % 17 - 8) / 4.0))', 'm')} FROM stripped),"
-    " scored AS (SELECT doc_id, is_empty, CASE WHEN is_empty THEN 'empty_input'"
-    " WHEN length(text) % 97 = 0 THEN 'fallback' ELSE 'model' END AS engine, "
-    + ", ".join(f"CASE WHEN engine = 'model' THEN s{i}m ELSE s{i} END AS s{i}x" for i in N)
-    + " FROM words JOIN model USING (doc_id)),"
-    " named AS (SELECT doc_id, is_empty, engine, " + ", ".join(f"s{i}x AS s{i}" for i in N) + " FROM scored),"
-    f" flagged AS (SELECT *, {_flags('0.5')} AS flagged FROM named)"
-    f" SELECT doc_id, flagged = '' AS safe, flagged, round({_MAX}, 9) AS max_probability, engine FROM flagged"
+def _model(seen: str = "text") -> str:
+    """Verdicts by the stub, which sees the part ``seen`` of a text."""
+    return (
+        f"WITH {_SCREEN_INPUT}, stripped AS (SELECT doc_id, trim(text, {_BLANKS}) AS text FROM texts),"
+        f" counted AS MATERIALIZED ({_counts('stripped', 'doc_id, text')}),"
+        f" words AS ({_scores('counted', 'doc_id, text')}),"
+        f" model AS (SELECT doc_id, length({seen}) AS n, {_override('1 / (1 + exp(-((n * {k}) % 17 - 8) / 4.0))', 'm')} FROM stripped),"
+        " scored AS (SELECT doc_id, is_empty, CASE WHEN is_empty THEN 'empty_input'"
+        " WHEN n % 97 = 0 THEN 'fallback' ELSE 'model' END AS engine, "
+        + ", ".join(f"CASE WHEN engine = 'model' THEN s{i}m ELSE s{i} END AS s{i}x" for i in N)
+        + " FROM words JOIN model USING (doc_id)),"
+        " named AS (SELECT doc_id, is_empty, engine, " + ", ".join(f"s{i}x AS s{i}" for i in N) + " FROM scored),"
+        f" flagged AS (SELECT *, {_flags('0.5')} AS flagged FROM named)"
+        f" SELECT doc_id, flagged = '' AS safe, flagged, round({_MAX}, 9) AS max_probability, engine FROM flagged"
+    )
+
+
+_FIRST_TOKENS = (
+    f"array_to_string(list_slice(regexp_extract_all(text, '(?s){inputs.STUB_PIECE}|.'), 1, {MODEL_TOKENS}), '')"
 )
 
 # --- requests ---------------------------------------------------------------------------
@@ -402,6 +410,18 @@ _ANSWERS = (
     f" answers AS (SELECT *, {_redact('credit_card')} AS masked FROM both_)"
 )
 
+_COUNTERS = (
+    f"WITH {_AUDIT}, marks AS (SELECT 'request' AS kind, 'processed' AS name FROM audited WHERE op IS DISTINCT FROM 'moderate'"
+    " UNION ALL SELECT 'request', 'blocked' FROM audited WHERE security_alert"
+    " UNION ALL SELECT 'engine', engine FROM audited WHERE engine IS NOT NULL"
+    " UNION ALL SELECT 'category', unnest(string_split(flagged, '|')) FROM audited WHERE flagged <> '' AND event_type IS NOT NULL)"
+    " SELECT kind, name, count(*) AS n FROM marks GROUP BY kind, name"
+)
+_ROLLING = (
+    f"WITH {_TIMED} SELECT request_id, latency_ms, avg(latency_ms) OVER (ORDER BY started_at, request_id"
+    " ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS rolling_avg FROM timed"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "screen_empty": (
         f"WITH {_SCREEN_INPUT} SELECT doc_id, length(trim(text, {_BLANKS})) AS n_stripped,"
@@ -419,7 +439,8 @@ ORACLE_SQL: dict[str, str] = {
     "score_override": (
         f"WITH {_SCREEN_INPUT} SELECT doc_id, {_override('((doc_id + {i}) % 10) / 10.0')} FROM texts"
     ),
-    "score_with_model": _MODEL,
+    "score_with_model": _model(),
+    "score_with_model_bounded": _model(_FIRST_TOKENS),
     "scores_long": (
         f"WITH {_SCORED} " + " UNION ALL ".join(
             f"SELECT doc_id, {_text(CATEGORIES[i])} AS category, s{i} AS score FROM scored" for i in N)
@@ -456,6 +477,7 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {_DOCS} SELECT count(*) FILTER (text <> {_redact('text')}) AS total_redactions FROM docs"
     ),
     "collection_counts": _INVENTORY,
+    "read_collection": "SELECT * FROM customer",
     "guarded_read": (
         f"WITH {_PEOPLE}, bounded AS ({_ACTIVE}) SELECT CAST(_id AS VARCHAR) AS _id, name,"
         f" {_redacted_people(['email', 'phone', 'credit_card'])}, {_SECRET} AS password_hash,"
@@ -573,15 +595,13 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {_AUDIT} SELECT request_id, event_type, timestamp FROM ({_VIOLATIONS})"
         " ORDER BY timestamp DESC, request_id DESC"
     ),
+    "violations_newest": f"WITH {_AUDIT} SELECT * FROM ({_VIOLATIONS}) ORDER BY timestamp DESC, request_id DESC LIMIT 100",
     "request_counters": f"WITH {_RESPONSES} SELECT {_PROCESSED} FROM responses",
     "latency_ms": f"WITH {_TIMED} SELECT request_id, latency_ms FROM timed",
     "avg_latency": (
         f"WITH {_TIMED} SELECT CAST(coalesce(floor(avg(latency_ms)), 0) AS BIGINT) AS avg_latency_ms FROM timed"
     ),
-    "latency_rolling100": (
-        f"WITH {_TIMED} SELECT request_id, latency_ms, avg(latency_ms) OVER (ORDER BY started_at, request_id"
-        " ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS rolling_avg FROM timed"
-    ),
+    "latency_rolling100": _ROLLING,
     "latency_last100": (
         f"WITH {_TIMED}, newest AS (SELECT latency_ms FROM timed ORDER BY started_at DESC, request_id DESC LIMIT 100)"
         " SELECT avg(latency_ms) AS avg_last, count(*) AS n_last FROM newest"
@@ -605,11 +625,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "stream_screen": _screen(more=f", {_redact('text')} AS text"),
     "stream_audit": f"WITH {_AUDIT} {_VIOLATIONS}",
-    "stream_counters": (
-        f"WITH {_AUDIT}, marks AS (SELECT 'request' AS kind, 'processed' AS name FROM audited WHERE op IS DISTINCT FROM 'moderate'"
-        " UNION ALL SELECT 'request', 'blocked' FROM audited WHERE security_alert"
-        " UNION ALL SELECT 'engine', engine FROM audited WHERE engine IS NOT NULL"
-        " UNION ALL SELECT 'category', unnest(string_split(flagged, '|')) FROM audited WHERE flagged <> '' AND event_type IS NOT NULL)"
-        " SELECT kind, name, count(*) AS n FROM marks GROUP BY kind, name"
-    ),
+    "stream_counters": _COUNTERS,
+    "live_counters": _COUNTERS,
+    "stream_rolling100": _ROLLING,
+    "stream_violations_once": f"WITH {_AUDIT} {_VIOLATIONS}",
 }

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardframe.functions import jsondoc, pii, text
-from guardframe.operators import access, audit, redaction, request_sets, screening, telemetry
+from guardframe.operators import access, audit, redaction, request_sets, screening, telemetry, token_bound
 from guardframe.plans import inputs
 from guardframe.plans.inputs import KNOWN, table
 from guardframe.rules import CATEGORIES
-from guardframe.sources import generate, snapshots, tables
+from guardframe.sources import generate, snapshots, tables, violation_log
 from guardframe.sources.scratch import materialize, scratch_path
-from guardframe.streaming import jobs
+from guardframe.streaming import jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE_TIME = "2026-05-27 12:00:00"
@@ -97,6 +97,14 @@ def score_with_model(spark, sf_dir):
     return _flat(scored, "doc_id").withColumn("max_probability", F.round("max_probability", 9))
 
 
+def score_with_model_bounded(spark, sf_dir):
+    def bound(sought):
+        return token_bound.first_tokens(sought, inputs.stub_pieces, longest=3)
+    scored = screening.score_with_model(
+        _screen_input(spark, sf_dir), "text", stub_model, bound=bound, by_length=True)
+    return _flat(scored, "doc_id").withColumn("max_probability", F.round("max_probability", 9))
+
+
 def score_override(spark, sf_dir):
     scores = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: ((F.col("doc_id") + i) % 10) / 10.0)
     given = F.map_from_arrays(screening.category_array(), scores).alias("given")
@@ -171,8 +179,11 @@ def redact_json(spark, sf_dir):
 # --- sources, reads and writes ----------------------------------------------------------
 
 def collection_counts(spark, sf_dir):
-    names = tables.list_collections(spark, sf_dir)
-    return tables.collection_counts({name: table(spark, sf_dir, name) for name in names})
+    return tables.Catalogue(spark, sf_dir).counts()
+
+
+def read_collection(spark, sf_dir):
+    return tables.Catalogue(spark, sf_dir).read("customer")
 
 
 def _guarded(spark, sf_dir):
@@ -390,6 +401,12 @@ def violations_latest(spark, sf_dir):
         "request_id", "event_type", text.iso_utc(F.col("timestamp")).alias("timestamp"))
 
 
+def violations_newest(spark, sf_dir):
+    log = violation_log.ViolationLog(spark, scratch_path(spark, "violation_log"))
+    log.append(_violations(spark, sf_dir), "0")
+    return _flat_violations(log.newest(100))
+
+
 # --- telemetry --------------------------------------------------------------------------
 
 def request_counters(spark, sf_dir):
@@ -468,6 +485,33 @@ def stream_counters(spark, sf_dir):
     return jobs.latest_counters(spark, f"{path}/counts")
 
 
+def live_counters(spark, sf_dir):
+    path = scratch_path(spark, "live_counters")
+    requests = inputs.requests_from(_stream(spark, sf_dir, "events"))
+    live.live_counters(requests, KNOWN, f"{path}/counts", f"{path}/checkpoint", once=True).awaitTermination()
+    return live.counters(spark, f"{path}/counts")
+
+
+def stream_rolling100(spark, sf_dir):
+    path = scratch_path(spark, "stream_rolling100")
+    timed = telemetry.with_latency(inputs.requests_from(_stream(spark, sf_dir, "events")))
+    ring = live.RollingRing(spark, f"{path}/ring", timed.schema, ["started_at", "request_id"])
+    live.stream_rolling_latency(timed, ring, f"{path}/checkpoint", once=True).awaitTermination()
+    ring.flush()
+    return ring.rolled().select("request_id", "latency_ms", "rolling_avg")
+
+
+def stream_violations_once(spark, sf_dir):
+    path = scratch_path(spark, "stream_violations_once")
+    # a source that gives every request twice
+    events = _stream(spark, sf_dir, "events").unionByName(_stream(spark, sf_dir, "events"))
+    requests = live.once_per_request(inputs.requests_from(events))
+    query = jobs.stream_audit(requests, KNOWN, f"{path}/audited", f"{path}/violations",
+                              f"{path}/checkpoint", once=True)
+    query.awaitTermination()
+    return _flat_violations(spark.read.parquet(f"{path}/violations"))
+
+
 QUERIES: dict[str, Query] = {
     "screen_empty": screen_empty,
     "category_matches": category_matches,
@@ -477,6 +521,7 @@ QUERIES: dict[str, Query] = {
     "screen_text": screen_text,
     "score_override": score_override,
     "score_with_model": score_with_model,
+    "score_with_model_bounded": score_with_model_bounded,
     "scores_long": scores_long,
     "screen_counters": screen_counters,
     "mask_email": _masked(pii.mask_email),
@@ -490,6 +535,7 @@ QUERIES: dict[str, Query] = {
     "redact_json": redact_json,
     "redaction_count": redaction_count,
     "collection_counts": collection_counts,
+    "read_collection": read_collection,
     "guarded_read": _guarded,
     "guarded_read_summary": guarded_read_summary,
     "filter_eq": filter_eq,
@@ -521,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "insert_results": insert_results,
     "violations": violations,
     "violations_latest": violations_latest,
+    "violations_newest": violations_newest,
     "request_counters": request_counters,
     "latency_ms": latency_ms,
     "avg_latency": avg_latency,
@@ -533,4 +580,7 @@ QUERIES: dict[str, Query] = {
     "stream_screen": stream_screen,
     "stream_audit": stream_audit,
     "stream_counters": stream_counters,
+    "live_counters": live_counters,
+    "stream_rolling100": stream_rolling100,
+    "stream_violations_once": stream_violations_once,
 }

@@ -108,6 +108,7 @@ DROP_PROTECTED = ["users", "transactions", "security_logs", "rules"]
 POLICY_CATEGORIES = ["Non-violent crimes", "Jailbreak prompts"]
 READ_LIMIT = 50
 LATENCY_RING = 100
+MODEL_TOKENS = 512
 
 # --- Fixed values: violation events and their detail texts ------------------------------
 OPERATOR_EVENT = "NOSQL_INJECTION_ATTACK"

@@ -23,11 +23,37 @@ def read_collection(
 def list_collections(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
     """Names of the collections in a folder: its entries that are called ``name.parquet``, in order.
 
-    One scan of the files' metadata through Spark's own reader, so any store that Spark reads will do.
+    One listing of the folder itself through the file system that Spark reads from; the files of a
+    collection are not listed, however many they are.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    name = F.regexp_extract("path", rf"([^/]+)\.{fmt}(?:/[^/]*)?$", 1).alias("name")
-    return [r["name"] for r in files.select(name).where("name <> ''").distinct().orderBy("name").collect()]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [entry.getPath().getName() for entry in entries]
+    return sorted(n.removesuffix(f".{fmt}") for n in names if n.endswith(f".{fmt}") and not n.startswith((".", "_")))
+
+
+class Catalogue:
+    """The collections of a folder, listed once: what may be asked for, what it holds, and how much.
+
+    ``names`` is the list of known collections that ``audit`` takes, so its gate, the inventory and the
+    reads agree on what exists.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
+        self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
+        self.names = list_collections(spark, self.path, fmt)
+
+    def read(self, name: str, schema: T.StructType | str | None = None) -> DataFrame:
+        """A collection; a name that was not listed is refused, whatever lies at its path."""
+        if name not in self.names:
+            raise ValueError(f"there is no collection {name!r}")
+        return read_collection(self.spark, f"{self.path}/{name}.{self.fmt}", self.fmt, schema)
+
+    def counts(self) -> DataFrame:
+        """Name and number of documents of every collection; no rows for an empty folder."""
+        if not self.names:
+            return self.spark.createDataFrame([], "collection string, documents bigint")
+        return collection_counts({name: self.read(name) for name in self.names})
 
 
 def collection_counts(collections: dict[str, DataFrame]) -> DataFrame:

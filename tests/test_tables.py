@@ -134,3 +134,21 @@ def test_text_helpers(spark):
                     " 'db://user:secret@host/x' AS uri").select(
         iso_utc(F.col("a")), iso_utc(F.col("b")), without_credentials(F.col("uri"))).first()
     assert tuple(row) == ("2026-05-20T10:30:00Z", "2026-05-20T10:30:00.250000Z", "host/x")
+
+
+def test_catalogue_lists_folders_only(spark):
+    path = scratch_path(spark, "lake")
+    spark.range(3).repartition(3).write.parquet(f"{path}/b.parquet")
+    spark.range(1).write.parquet(f"{path}/a.parquet")
+    spark.range(1).write.parquet(f"{path}/deep/c.parquet")
+    spark.range(1).write.json(f"{path}/d.json")
+    found = tables.Catalogue(spark, path)
+    assert found.names == ["a", "b"] and tables.Catalogue(spark, path, "json").names == ["d"]
+    assert {(r.collection, r.documents) for r in found.counts().collect()} == {("a", 1), ("b", 3)}
+    assert found.read("b").count() == 3 and tables.Catalogue(spark, path, "json").read("d", "id bigint").count() == 1
+    for name in ("c", "deep", "../lake/a", ""):
+        with pytest.raises(ValueError):
+            found.read(name)
+    assert tables.Catalogue(spark, f"{path}/deep").names == ["c"]
+    empty = tables.Catalogue(spark, f"{path}/d.json")
+    assert empty.names == [] and empty.counts().count() == 0 and empty.counts().columns == ["collection", "documents"]
