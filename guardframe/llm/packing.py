@@ -4,7 +4,12 @@ A configuration is a multiset of lengths that fits one sequence. The program cov
 every length by as few configurations as it can. It is solved over the length histogram, at most
 ``capacity`` numbers whatever the corpus, by multiplicative weights: prices fall as lengths get
 covered, and a knapsack dynamic program finds the best configuration at the current prices. The
-solution is rounded down and what remains is packed best fit, largest first.
+solution is rounded down and what remains is packed best fit, largest first, into the room that
+configurations leave and into new sequences. Where small pieces are scarce, prices by tokens spend
+them on each other; so, unless the volume of the pieces proves the plan good, the program is also run at
+prices that put pieces of more than half a sequence first. Every run is tried with its later rounds
+left out, and the fewest sequences win. Any prices give a bound that no packing can beat: the
+demand's price over that of the best configuration.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ CAPACITY, END_ID = 1024, 2
 #: a price falls with the covered share, and how much more than in proportion a long piece is worth.
 #: The last two together change a full sequence's price by less than one token's.
 ROUNDS, STEP, RATE, LONG = 4000, 0.5, 3e-4, 5e-4
+#: A plan this near the bound by volume, as a share of it, is taken without the second run.
+NEAR = 0.002
 
 Pattern = tuple[int, dict[int, int]]  # how often, and how many of each length
 
@@ -59,26 +66,32 @@ def knapsack(prices: np.ndarray, capacity: int) -> dict[int, int]:
     return dict(found)
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[float, dict[int, int]]]:
-    """Configurations with weights that cover the demand as far as full sequences can, no length too often.
+def _worths(capacity: int) -> list[np.ndarray]:
+    """What a length is worth before any of it is covered: by its tokens, and with large ones first."""
+    sizes = np.arange(capacity + 1, dtype=float)
+    by_size = sizes * (1 + LONG * sizes / capacity)
+    return [by_size, by_size + capacity * (2 * sizes > capacity)]
 
-    A price is a length's tokens, a little more for long ones, which are the harder to place later,
-    times a weight that shrinks with every share of its demand that gets covered. Ends when the best
-    configuration at the prices leaves room: no configuration of what is left fills a sequence, and
-    from there on rounding loses more than best fit.
+
+def fractional(
+    demand: np.ndarray, capacity: int, rounds: int = ROUNDS, worth: np.ndarray | None = None
+) -> list[tuple[float, dict[int, int]]]:
+    """Configurations with weights that cover the demand, no length too often, in the order they were found.
+
+    A price is a length's worth (its tokens, a little more for long ones, which are the harder to place
+    later) times a weight that shrinks with every share of its demand that gets covered.
     """
     wanted = demand.astype(float)
     covered = np.zeros(len(demand))
-    sizes = np.arange(len(demand), dtype=float)
-    worth = sizes * (1 + LONG * sizes / capacity)
+    worth = _worths(capacity)[0] if worth is None else worth
     out = []
     for _ in range(rounds):
         left = wanted - covered
         usable = left >= 1
+        if not usable.any():
+            break
         share = covered / np.maximum(wanted, 1)
         found = knapsack(np.where(usable, worth * np.exp(-RATE * share), 0), capacity)
-        if sum(n * k for n, k in found.items()) < capacity:
-            break
         most = min(min(max(STEP * wanted[n], k), left[n]) / k for n, k in found.items())
         most = int(most) or most
         for n, k in found.items():
@@ -87,8 +100,42 @@ def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[
     return out
 
 
-def best_fit(demand: np.ndarray, capacity: int) -> list[Pattern]:
-    """Best fit decreasing over counts of equal lengths: sequences of equal content are one entry."""
+def least(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100) -> int:
+    """A number of sequences that no packing can do with less than; it may be some way below the fewest possible.
+
+    For any prices, the demand's total price over that of the best configuration is such a number.
+    Multiplicative weights look for good prices: those of lengths that the best configuration holds fall.
+    """
+    demand = np.zeros(capacity + 1)
+    for n, many in histogram.items():
+        demand[n] = many
+    if not demand.any():
+        return 0
+    sizes = np.arange(capacity + 1, dtype=float)
+    large = np.where(2 * sizes > capacity, 2.0, np.where(2 * sizes == capacity, 1.0, 0.0))
+    best = 0.0
+    for start in (sizes, large, sizes / capacity + large):
+        prices = np.where(demand > 0, start, 0)
+        for _ in range(rounds):
+            found = knapsack(prices, capacity)
+            top = sum(prices[n] * k for n, k in found.items())
+            if top <= 0:
+                break
+            bound = demand @ prices / top
+            best = max(best, bound)
+            # how often the configuration would cover each length, were it all of the packing
+            cover = {n: bound * k / demand[n] for n, k in found.items()}
+            for n, often in cover.items():
+                prices[n] *= np.exp(-0.05 * often / max(cover.values()))
+    # the scale is that of sums of doubles
+    return int(np.ceil(best * (1 - 1e-9)))
+
+
+def best_fit(demand: np.ndarray, capacity: int, begun: Iterable[Pattern] = ()) -> list[Pattern]:
+    """Best fit decreasing over counts of equal lengths, into sequences that are begun and new ones.
+
+    Sequences of equal content are one entry.
+    """
     spaces: dict[int, list[Pattern]] = defaultdict(list)
     known: list[int] = []  # spaces in order
 
@@ -99,6 +146,8 @@ def best_fit(demand: np.ndarray, capacity: int) -> list[Pattern]:
                     bisect.insort(known, space)
             spaces[space].append((many, content))
 
+    for many, content in begun:
+        put(capacity - sum(n * k for n, k in content.items()), many, content)
     for n in range(len(demand) - 1, 0, -1):
         left = int(demand[n])
         while left:
@@ -113,34 +162,62 @@ def best_fit(demand: np.ndarray, capacity: int) -> list[Pattern]:
                 many = -(-left // (space // n))
             each = space // n
             whole = min(many, left // each)
-            put(space - each * n, whole, content | {n: each})
+            put(space - each * n, whole, content | {n: content.get(n, 0) + each})
             left -= whole * each
             if whole < many:
                 rest = min(left, each)
                 if rest:
-                    put(space - rest * n, 1, content | {n: rest})
+                    put(space - rest * n, 1, content | {n: content.get(n, 0) + rest})
                     left -= rest
                 put(space, many - whole - bool(rest), content)
     return [p for found in spaces.values() for p in found]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
-    """Configurations and how often to use each; together they hold every length exactly."""
-    demand = np.zeros(capacity + 1, np.int64)
-    for n, many in histogram.items():
-        demand[n] = many
-    chosen: dict[tuple, int] = defaultdict(int)
-    for weight, found in fractional(demand, capacity, rounds):
+def _rounded(weighted: list[tuple[float, dict[int, int]]], demand: np.ndarray, capacity: int) -> list[Pattern]:
+    """Whole configurations, and the rest of the demand by best fit."""
+    rest = demand.copy()
+    chosen: dict[tuple, float] = defaultdict(float)
+    for weight, found in weighted:
         chosen[tuple(sorted(found.items(), reverse=True))] += weight
     out: list[Pattern] = []
     for found, weight in chosen.items():
-        many = int(weight + 1e-9)
-        many = min([many, *(int(demand[n]) // k for n, k in found)])
+        many = min([int(weight + 1e-9), *(int(rest[n]) // k for n, k in found)])
         if many:
             out.append((many, dict(found)))
             for n, k in found:
-                demand[n] -= many * k
-    return out + best_fit(demand, capacity)
+                rest[n] -= many * k
+    return best_fit(rest, capacity, out)
+
+
+def _stops(weighted: list[tuple[float, dict[int, int]]], capacity: int) -> list[int]:
+    """After how many rounds a run is tried: none, all, where sequences stop to be full, and between."""
+    full = next((i for i, (_, found) in enumerate(weighted) if sum(n * k for n, k in found.items()) < capacity), len(weighted))
+    return sorted({0, full, len(weighted), *(len(weighted) * i // 8 for i in range(1, 8))})
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
+    """Configurations and how often to use each; together they hold every length exactly.
+
+    Never more sequences than best fit decreasing needs, which is the program with all rounds left out.
+    """
+    demand = np.zeros(capacity + 1, np.int64)
+    for n, many in histogram.items():
+        demand[n] = many
+    best, fewest = [], 0
+
+    def offer(tried: list[Pattern]) -> None:
+        nonlocal best, fewest
+        many = sum(m for m, _ in tried)
+        if not best or many < fewest:
+            best, fewest = tried, many
+
+    for worth in _worths(capacity):
+        weighted = fractional(demand, capacity, rounds, worth)
+        for stop in _stops(weighted, capacity):
+            offer(_rounded(weighted[:stop], demand, capacity))
+        if fewest * capacity <= (1 + NEAR) * int(demand @ np.arange(capacity + 1)) + capacity - 1:
+            return best
+    return best
 
 
 def cut(size: int, capacity: int) -> list[tuple[int, int]]:

@@ -8,7 +8,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from guardframe.llm.packing import best_fit, cut, knapsack, pack, plan
+from guardframe.llm.packing import best_fit, cut, knapsack, least, pack, plan
 from guardframe.llm.tokens import Encoder
 
 
@@ -85,6 +85,55 @@ def test_plans_hold_every_length_exactly(seed):
     assert plan({}) == []
 
 
+def _demand(histogram, capacity):
+    return np.array([histogram.get(n, 0) for n in range(capacity + 1)])
+
+
+def _many(patterns):
+    return sum(m for m, _ in patterns)
+
+
+def test_configurations_that_fill_no_sequence_are_used():
+    histogram = {517: 6000, 267: 6000, 261: 6000, 243: 12000}
+    assert _many(plan(histogram)) == 9000 and _many(best_fit(_demand(histogram, 1024), 1024)) == 11000
+    assert 8990 <= least(histogram) <= 9000
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_plans_are_above_the_bound_and_never_behind_best_fit(seed):
+    rng = random.Random(seed)
+    capacity = 64
+    histogram = {n: rng.choice([1, 3, 50, 4000]) for n in rng.sample(range(1, capacity), rng.choice([2, 20, 40]))}
+    many, bound = _many(plan(histogram, capacity)), least(histogram, capacity)
+    assert bound <= many <= _many(best_fit(_demand(histogram, capacity), capacity))
+
+
+def _fewest(pieces, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    best = len(pieces)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(pieces):
+            best = len(room)
+            return
+        for k in sorted({r: k for k, r in enumerate(room) if r >= pieces[i]}.values()):
+            go(i + 1, room[:k] + [room[k] - pieces[i]] + room[k + 1:])
+        go(i + 1, [*room, capacity - pieces[i]])
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_small_plans_against_all_packings(seed):
+    rng = random.Random(seed)
+    histogram = Counter(rng.randrange(1, 13) for _ in range(rng.randrange(1, 11)))
+    fewest = _fewest(sorted(histogram.elements(), reverse=True), 12)
+    assert least(histogram, 12) <= fewest <= _many(plan(histogram, 12)) <= fewest + 1
+
+
 def test_ids_are_those_of_the_tokenizer(tokenizer):
     rng = random.Random(4)
     encoder = Encoder()
