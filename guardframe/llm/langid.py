@@ -129,14 +129,35 @@ def probabilities(ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def unspoken(samples: list[list[str]], every: int, rng: np.random.Generator) -> list[list[str]]:
+    """Words of no language for every so many of the samples, as long as the sample's own.
+
+    By turns the sample's letters in another order, and letters drawn evenly from all that occur.
+    """
+    alphabet = np.array(sorted({sign for own in samples for w in own for sign in w}))
+    out = []
+    for turn, own in enumerate(samples[::every]):
+        signs = np.array(list("".join(own)))
+        signs = rng.permutation(signs) if turn % 2 else rng.choice(alphabet, len(signs))
+        ends = np.cumsum([len(w) for w in own])
+        out.append(["".join(part) for part in np.split(signs, ends[:-1])] if own else [])
+    return out
+
+
 class Field:
-    """The field's weights, and potentials of words through a bounded table."""
+    """The field's weights, and potentials of words through a bounded table.
 
-    def __init__(self, labels: list[str], lexicon: np.ndarray, size: int = WEIGHTS, keep: int = 300_000):
-        self.labels, self.size, self.keep = labels, size, keep
-        n = len(labels)
+    With ``noise`` the last label stands for words of no language. The lexicon says nothing for or
+    against it, so a rare word is judged by its affixes and n-grams.
+    """
+
+    def __init__(self, labels: list[str], lexicon: np.ndarray, size: int = WEIGHTS, keep: int = 300_000, noise: bool = False):
+        self.labels, self.size, self.keep, self.noise = [*labels, UNKNOWN] if noise else labels, size, keep, noise
+        n = len(self.labels)
         rates = np.log((lexicon + 1.0) / (lexicon.sum(axis=0) + len(lexicon)))
         self.lexicon = np.clip(rates - rates.mean(axis=1, keepdims=True), -6, 6).astype(np.float32)
+        if noise:
+            self.lexicon = np.concatenate([self.lexicon, np.zeros((len(lexicon), 1), np.float32)], axis=1)
         self.weights = np.zeros((size, n), np.float32)
         self.trust = np.full(n, 0.3)
         self.start, self.step = np.zeros(n), np.zeros((n, n))
@@ -173,7 +194,10 @@ class Field:
             np.exp(self.start - self.start.max()), np.exp(self.step - self.step.max())))
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and mean probability of each text; whole texts, a bounded number of numbers at a time."""
+        """Language and mean probability of each text; whole texts, a bounded number of numbers at a time.
+
+        A text of whose letters more than half are noise has no language.
+        """
         most = 3_200_000 // max(16, len(self.labels) ** 2)
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         words: list[str] = []
@@ -184,10 +208,17 @@ class Field:
             if sizes:
                 found = self.label(words, sizes)
                 ends = np.cumsum(sizes)
-                means = np.add.reduceat(found, np.r_[0, ends[:-1]], axis=0) / np.array(sizes)[:, None]
-                for k, mean in zip(where, means):
+                starts = np.r_[0, ends[:-1]]
+                means = np.add.reduceat(found, starts, axis=0) / np.array(sizes)[:, None]
+                noisy = np.zeros(len(sizes), bool)
+                if self.noise:
+                    long = np.fromiter(map(len, words), np.int64, len(words))
+                    noisy = 2 * np.add.reduceat(found[:, -1] * long, starts) > np.add.reduceat(long, starts)
+                    means = means[:, :-1]
+                for k, mean, without in zip(where, means, noisy):
                     best = int(mean.argmax())
-                    out[k] = self.labels[best], float(min(1.0, mean[best]))
+                    if not without:
+                        out[k] = self.labels[best], float(min(1.0, mean[best]))
             words.clear(), sizes.clear(), where.clear()
 
         for k, text in enumerate(texts):
@@ -208,7 +239,10 @@ class Field:
         and single words are both learned. ``samples`` are (language, words).
         """
         rng = np.random.default_rng(seed)
-        number = {name: k for k, name in enumerate(self.labels)}
+        number = {name: k for k, name in enumerate(self.labels[:-1] if self.noise else self.labels)}
+        if self.noise and samples:
+            number[None] = len(number)
+            samples = [*samples, *((None, own) for own in unspoken([own for _, own in samples], len(number) - 1, rng))]
         vocabulary = list(dict.fromkeys(w for _, own in samples for w in own))
         index = {w: k for k, w in enumerate(vocabulary)}
         data = [(number[name], np.array([index[w] for w in own])) for name, own in samples if own]
@@ -260,12 +294,13 @@ class Field:
 
 
 def train(rows: DataFrame, *, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS, weights: int = WEIGHTS,
-          lexicon: int = LEXICON) -> Field:
+          lexicon: int = LEXICON, noise: bool = False) -> Field:
     """Fit a field on labelled rows (text, lang); null labels and texts teach nothing.
 
     The lexicon counts the words of all rows, in a table of ``lexicon`` rows by language whatever
     the corpus. The weights are fitted on a hash sample of at most ``fit_rows`` different texts of each
-    language, of which a stretch of ``fit_words`` words each, drawn by the text's hash.
+    language, of which a stretch of ``fit_words`` words each, drawn by the text's hash. With ``noise``
+    the field also learns from scrambled samples what is no language; such texts are ``und``.
     """
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
     labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
@@ -287,7 +322,7 @@ def train(rows: DataFrame, *, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WOR
     if labels:
         found = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    field = Field(labels, counts.reshape(lexicon, -1), weights)
+    field = Field(labels, counts.reshape(lexicon, -1), weights, noise=noise and bool(labels))
 
     def stretch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

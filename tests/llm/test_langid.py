@@ -81,3 +81,20 @@ def test_the_fit_sample_is_bounded_and_takes_a_copied_text_once(spark, monkeypat
     assert [sum(lang == name for lang, _ in seen[0]) for name in ("de", "en")] == [50, 50]
     train(many, fit_rows=50)
     assert seen[1] == [("en", ["one", "text", "copied", "very", "often"])]
+
+
+def test_noise_goes_and_switched_or_marked_text_stays(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    field = train(docs.where(fold("doc_id", 5) > 0), noise=True)
+    held = [r["text"] for r in docs.where((fold("doc_id", 5) == 0) & F.col("lang").isNotNull() & (F.length("text") > 100)).collect()]
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxzaeiou  "), 400)) for _ in range(60)]
+    noise += ["".join(rng.permutation(list(text[:600]))) for text in held[:60]]
+    switched = [a[:300] + " " + b[:300] for a, b in zip(held, held[1:])]
+    marked = ["### " + text.upper().replace(" ", "!! ") + " 24be64439e3e49cf 12.3.4.5" for text in held]
+    kept = {name: in_language(spark.createDataFrame([(t,) for t in texts], "text string"), field).count() / len(texts)
+            for name, texts in (("noise", noise), ("held", held), ("switched", switched), ("marked", marked))}
+    print(kept)
+    assert kept["noise"] <= 0.02 and min(kept["held"], kept["switched"], kept["marked"]) >= 0.995
+    assert {r["lang_pred"] for r in identify(spark.createDataFrame([(n,) for n in noise], "text string").withColumn(
+        "doc_id", F.lit(1)), field).collect()} <= {"und", *field.labels}

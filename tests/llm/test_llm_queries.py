@@ -49,8 +49,8 @@ def test_columns(spark, sf_dir, name):
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    field = train(docs.where(fold("doc_id", 5) > 0))
-    left = {r["id"] for r in identify(docs, field).where("lang_pred <> 'und' and score >= 0.3").collect()}
+    field = train(docs.where(fold("doc_id", 5) > 0), noise=True)
+    left = {r["id"] for r in identify(docs, field).where("lang_pred <> 'und'").collect()}
     classes = plain([(k, rows[k]) for k in left], 5, 80)
     left = {k for k in left if classes[k][1] == k}
     tests = [b" ".join(words(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -63,11 +63,23 @@ def test_pipeline(spark, sf_dir):
     assert max(filled.values()) <= 1024
 
 
+def test_language_stage_drops_noise(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scrambled = F.array_join(F.shuffle(F.split(F.substring("text", 1, 2000), ""), 5), "")
+    noise = docs.where("doc_id % 10 = 0 and length(text) > 100").withColumn("text", scrambled).withColumn("doc_id", -F.col("doc_id") - 1)
+    kept = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(noise), sf_dir).collect()]
+    lettered = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert noise.count() > 50 and sum(k < 0 for k in kept) <= 1
+    assert sum(k >= 0 for k in kept) >= 0.998 * lettered
+
+
 def test_stages_take_awkward_rows(spark, sf_dir):
-    docs = edge.documents(spark)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    docs = edge.documents(spark).withColumn("_nth", F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns, name
+        if stage is not corpus_pipeline.packing:
+            assert out.columns == docs.columns, name
+            assert {r["_nth"] for r in out.collect()} == {"own"}
         assert stage(spark, edge.none(spark), sf_dir).collect() == []
     out = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     kept = Counter(r["doc_id"] for r in out.collect())
