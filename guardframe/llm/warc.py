@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from guardframe.operators.joins import lookup
 from guardframe.sources.scratch import materialize, scratch_path
 
 #: The date all records carry: a fixed value, since the pages have none.
@@ -55,14 +56,15 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     or, if no page has one, all are responses. Null urls are empty; further columns are ignored.
 
     Only digests are grouped, so a payload that a third of the pages share is one partial sum per
-    task; html moves once, by page, to store the first copy of every payload.
+    task, and its pages look their response up where they lie; html moves once, by page, to store
+    the first copy of every payload.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                        F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     known = materialize(own.mapInArrow(
         _digest, "page_id long, url string, key binary, sha1 string, size long"), "digests")
-    first = materialize(known.groupBy("key").agg(F.min("page_id").alias("first")), "first")
-    records = known.join(first, "key").withColumn(
+    first = materialize(known.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("times")), "first")
+    records = lookup(known, first, "key", "times").withColumn(
         "response", (F.col("size") < least_bytes) | F.col("page_id").eqNullSafe(F.col("first")))
     mark = F.concat(F.lit("<urn:guardframe:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -124,19 +126,29 @@ def _payloads(spark: SparkSession, archive: Archive) -> DataFrame:
 def read(spark: SparkSession, archive: Archive) -> DataFrame:
     """The records, read back: (page_id, url, record_type, refers_to, payload_bytes, payload_digest).
 
-    Every stored payload is hashed again and must match its key; size and digest are those of the
-    bytes that were read. Only these small values are joined to the records.
+    Every stored payload is hashed again and must match its key. Every header must name the digest of
+    its payload, and the length of the record's block, that of the payload in a response and 0 in a
+    revisit; size and digest are those of the bytes that were read. A record without its payload, or
+    with another header, ends the job with an error. These small values stand for the payloads in the
+    join that makes the records (``rebuild``), so no html is shuffled; the records of a payload that
+    many share stay where they are.
     """
     header = F.decode("header", "UTF-8")
     field = lambda name: F.regexp_extract(header, rf"\r\n{name}: ([^\r]*)", 1)
     page = lambda name: F.regexp_extract(field(name), r"page:(-?\d+)>", 1).try_cast("long")
     records = _records(spark, archive).select(
         "key", page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"),
-        field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"))
-    found = materialize(_payloads(spark, archive).mapInArrow(_verified, "key binary, sha1 string, size long"), "verified")
-    return records.join(found, "key").select(
+        field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
+        field("WARC-Payload-Digest").alias("digest"), field("Content-Length").try_cast("long").alias("length"))
+    verified = _payloads(spark, archive).mapInArrow(_verified, "key binary, sha1 string, size long")
+    times = _records(spark, archive).groupBy("key").agg(F.count("*").alias("times"))
+    found = materialize(times.join(verified, "key", "left"), "verified")
+    block = F.when(F.col("record_type") == "response", F.col("size")).when(F.col("record_type") == "revisit", F.lit(0))
+    named = (F.col("digest") == F.concat(F.lit("sha1:"), "sha1")) & (F.col("length") == block)
+    wrong = F.raise_error(F.concat(F.lit("the header of a record does not fit its payload "), F.lower(F.hex("key"))))
+    return lookup(records, found, "key", "times").select(
         "page_id", "url", "record_type", "refers_to", F.col("size").alias("payload_bytes"),
-        F.col("sha1").alias("payload_digest"))
+        F.when(named, F.col("sha1")).otherwise(wrong.cast("string")).alias("payload_digest"))
 
 
 def rebuild(spark: SparkSession, archive: Archive) -> DataFrame:

@@ -3,6 +3,8 @@ import hashlib
 from collections import defaultdict
 
 import edge
+import pytest
+from pyspark.sql import functions as F
 
 from guardframe.llm import warc
 
@@ -65,13 +67,26 @@ def test_records_come_back_byte_by_byte(spark):
         assert body == (bytes(r["payload"]) if fields[b"WARC-Type"] == b"response" else b"")
 
 
-def test_damage_is_noticed(spark):
+@pytest.mark.parametrize("table,column,new,said", [
+    ("payloads", "payload", "cast('else' as binary)", "is not what was stored"),
+    ("records", "header", "cast(replace(decode(header, 'UTF-8'), 'sha1:', 'sha1:A') as binary)", "does not fit"),
+    ("records", "header", "cast(regexp_replace(decode(header, 'UTF-8'), 'Length: [0-9]+', 'Length: 3') as binary)", "does not fit"),
+    ("records", "header", "cast(replace(decode(header, 'UTF-8'), 'Type: revisit', 'Type: response') as binary)", "does not fit"),
+    ("records", "key", "cast('other' as binary)", "does not fit"),
+])
+def test_damage_is_noticed(spark, table, column, new, said):
     archive = warc.write(spark.createDataFrame(ROWS[:2], "page_id long, url string, html string"))
-    broken = spark.read.parquet(archive.payloads).selectExpr("key", "cast('else' as binary) payload").collect()
-    spark.createDataFrame(broken, "key binary, payload binary").write.mode("overwrite").parquet(archive.payloads)
-    try:
+    path = getattr(archive, table)
+    stored = spark.read.parquet(path)
+    broken = stored.withColumn(column, F.expr(new)).collect()
+    spark.createDataFrame(broken, stored.schema).write.mode("overwrite").parquet(path)
+    with pytest.raises(Exception, match=said):
         warc.read(spark, archive).collect()
-    except Exception as error:
-        assert "is not what was stored" in str(error)
-    else:
-        raise AssertionError("damage went unnoticed")
+
+
+def test_a_payload_that_a_third_of_the_pages_share(spark):
+    pages = spark.range(6000).select(
+        F.col("id").alias("page_id"), F.lit("http://h").alias("url"),
+        F.when(F.col("id") % 3 == 1, "not found").otherwise(F.concat(F.lit("page "), "id")).alias("html"))
+    rows = [tuple(r) for r in pages.collect()]
+    assert result(spark, warc.write(pages.repartition(7))) == plain(rows)
