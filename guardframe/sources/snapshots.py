@@ -67,6 +67,22 @@ class Snapshots:
                      batches=[*before["batches"], *([] if batch is None else [batch])])
         return True
 
+    def put(self, rows: DataFrame, batch: str, instead: list[str] | None = None) -> None:
+        """Add the rows of a batch in place of those that earlier puts of it, or of the batches ``instead``, have added.
+
+        Old and new rows change places in one rename, so a put that breaks off leaves the old ones.
+        """
+        before = self.current()
+        if before["schema"] and T.StructType.fromJson(before["schema"]).simpleString() != rows.schema.simpleString():
+            raise ValueError("the rows have other columns than the collection")
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        named = before.get("put", {})
+        left = {b: f for b, f in named.items() if b != batch and b not in (instead or ())}
+        gone = set(named.values()) - set(left.values())
+        self._commit(before, data=[*[f for f in before["data"] if f not in gone], folder],
+                     schema=json.loads(rows.schema.json()), put={**left, batch: folder})
+
     def _deleted(self, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(_PLACE_SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
 

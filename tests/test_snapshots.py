@@ -77,3 +77,22 @@ def test_refused(spark):
     for predicate, left in ((F.lit(None).cast("boolean"), 2), (F.lit(False), 2), (F.lit(True), 0)):
         assert table.delete(predicate) == 2 - left and len(ids(table)) == left
     assert json.loads(json.dumps(table.current()))["version"] == 2
+
+
+def test_a_batch_is_put_in_place_of_itself(spark):
+    table = Snapshots(spark, scratch_path(spark, "put"))
+    rows = lambda *numbers: spark.createDataFrame([(n,) for n in numbers], "n long")
+    found = lambda: sorted(r["n"] for r in table.read().collect())
+    table.append(rows(0))
+    table.put(rows(1, 2), "a")
+    table.put(rows(3), "b")
+    table.put(rows(4), "a")
+    assert found() == [0, 3, 4]
+    with pytest.raises(Exception, match="lost"):
+        table.put(rows(9).select(F.raise_error(F.lit("lost")).cast("long").alias("n")), "b")
+    assert found() == [0, 3, 4]
+    table.put(rows(7), "c", ["a", "b"])
+    assert found() == [0, 7]
+    assert table.delete(F.col("n") == 7) == 1 and found() == [0]
+    with pytest.raises(ValueError):
+        table.put(spark.range(1), "d")
