@@ -21,6 +21,7 @@ from guardframe.llm.minhash import near_duplicates
 from guardframe.llm.packing import pack
 from guardframe.llm.phrases import collocations
 from guardframe.llm.token_counts import BYTE_BPE, PIECES, Rollup, count_tokens, deletes, inserts, revisions
+from guardframe.operators.joins import lookup
 from guardframe.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,24 +29,25 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents, revised counts of those that have blanks to
-    spare, deletion of all but the first of equal texts. The last batch is committed twice."""
-    docs = read(spark, sf_dir, "documents")
+    spare, deletion of all but the first of equal texts. The last batch is committed twice.
+
+    The first of equal texts has the smallest id; rows without id are larger than all ids.
+    """
     versions = [BYTE_BPE, PIECES]
     blanks = F.trim(F.regexp_replace("text", r"[ \t]+", " "))
-    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key")
-    before = materialize(count_tokens(docs, versions), "counts")
-    after = materialize(count_tokens(
-        docs.where(blanks != F.col("text")).withColumn("text", blanks), versions), "recounts")
-    stale = before.join(after.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
-    live = before.join(after.select("doc_id", "version"), ["doc_id", "version"], "left_anti").unionByName(after)
-    hashes = docs.select("doc_id", key)
-    first = hashes.groupBy("key").agg(F.min("doc_id").alias("first"))
-    copies = hashes.join(first, "key").where("doc_id <> first").select("doc_id")
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"),
+        F.coalesce(blanks != F.col("text"), F.lit(False)).alias("spare"))
+    before = materialize(count_tokens(docs, versions, keep=["key", "spare"]), "counts")
+    after = materialize(count_tokens(docs.where("spare").withColumn("text", blanks), versions, keep=["key"]), "recounts")
+    live = before.where("not spare").drop("spare").unionByName(after)
+    first = materialize(before.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "first")
+    copies = lookup(live, first, "key", "times").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     rollup = Rollup(spark, scratch_path(spark, "token-counts"))
     rollup.commit(1, inserts(before))
-    rollup.commit(2, revisions(stale, after))
+    rollup.commit(2, revisions(before.where("spare"), after))
     for _ in range(2):
-        rollup.commit(3, deletes(live.join(copies, "doc_id", "left_semi")))
+        rollup.commit(3, deletes(copies))
     return rollup.totals()
 
 

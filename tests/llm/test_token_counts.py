@@ -2,7 +2,9 @@ from collections import Counter
 
 import edge
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from guardframe.llm.queries import op1_token_counts
@@ -48,6 +50,49 @@ def test_inserts_deletes_revisions_and_repeated_commits(spark):
     assert totals(rollup) == {}
 
 
+def test_a_commit_that_breaks_off_leaves_the_old_batch(spark):
+    rollup = Rollup(spark, scratch_path(spark, "rollup"))
+    row = spark.createDataFrame([(1, "s", "en", "v", 1, 10)], "doc_id long, source string, lang string, version string, sign int, tokens long")
+    rollup.commit(1, row)
+    with pytest.raises(Exception, match="lost"):
+        rollup.commit(1, row.withColumn("tokens", F.raise_error(F.lit("lost")).cast("long")))
+    assert totals(rollup) == {("s", "en", "v"): (1, 10)}
+    rollup.commit(1, row.withColumn("tokens", F.lit(12).cast("long")))
+    assert totals(rollup) == {("s", "en", "v"): (1, 12)}
+
+
+def test_old_batches_are_folded(spark):
+    rollup = Rollup(spark, scratch_path(spark, "rollup"))
+    rollup.compact(5)
+    row = spark.createDataFrame([(1, "s", None, "v", 1, 10)], "doc_id long, source string, lang string, version string, sign int, tokens long")
+    for batch in (1, 2, 3, 4):
+        rollup.commit(batch, row)
+    before = rollup.totals().collect()
+    for until in (2, 2, 3):
+        rollup.compact(until)
+        assert rollup.totals().collect() == before and before[0]["batches"] == 4
+    assert len(rollup.stored.current()["data"]) == 2
+    rollup.commit(4, row.limit(0))
+    assert totals(rollup) == {("s", None, "v"): (3, 30)}
+    with pytest.raises(ValueError):
+        rollup.commit(3, row)
+
+
+def test_copies_and_awkward_rows(spark, tmp_path):
+    """A third of the rows are one text; ids are missing, or name several texts."""
+    rows = [(k, "the same text  of many", "s", "en") for k in range(5, 105)] + [(k, f"text {k} ", f"s{k % 3}", "en") for k in range(200, 400)]
+    rows += [(200, "another text of a number", "s", None), (200, "another text of a number", "s", None), (None, "the same text  of many", None, "en"),
+             (None, "alone  here", "s", "en"), (3, None, "s", "en"), (4, "", "s", "en"), (None, "", "s", "en"), (6, "long " * 100_000, "s", "en")]
+    edge.clashing(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).write.parquet(f"{tmp_path}/documents.parquet")
+    first = {}
+    for key, text, _, _ in rows:
+        first[text or ""] = min(first.get(text or "", 1 << 62), 1 << 62 if key is None else key)
+    left = [(s, g, " ".join(w for w in (t or "").replace("\t", " ").split(" ") if w)) for k, t, s, g in rows
+            if (1 << 62 if k is None else k) == first[t or ""]]
+    found = {(r["source"], r["lang"], r["version"]): (r["docs"], r["tokens"]) for r in op1_token_counts(spark, str(tmp_path)).collect()}
+    assert found == plain(left)
+
+
 def test_registered_query(spark, sf_dir):
     rows, seen = [], set()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
