@@ -4,7 +4,8 @@ The block elements of a page are a tree, in which neighbours of one kind are one
 Trees of pages of one host are aligned by simple tree matching and merged into the host's
 template. All pages are then aligned with it, and the texts at every node are counted. Texts that
 stand at the same node of most pages are template; what varies is content. Landmarks and the usual
-roles of elements say which varying slots are not the article.
+roles of elements say which varying slots are not the article; the names in classes and ids only
+count where the template has such a slot.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from pyspark.sql import functions as F
 
 from guardframe.sources.scratch import materialize
 
-#: Texts in a node's summary, deepest level of a tree, most nodes of a template, fewest pages of a host
-#: to learn from, share of its pages that makes a text constant, and share of the varying text
-#: that a child must hold to be the content slot.
-TEXTS, DEPTH, NODES, PAGES, CONSTANT, SLOT = 16, 40, 400, 3, 0.5, 0.6
+#: Deepest level of a tree, most nodes of a template, fewest pages of a host to learn from, share of its
+#: pages that makes a text constant, and share of the varying text that a child must hold to be the content slot.
+DEPTH, NODES, PAGES, CONSTANT, SLOT = 40, 400, 3, 0.5, 0.6
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
 
@@ -47,23 +47,34 @@ NAMES = frozenset(
     " commentlist respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal"
     " overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination"
     " pager skip".split())
+#: Words beside names that say nothing of what an element is for.
+PLAIN = frozenset(
+    "area bar block body bottom box button col container content group heading inner item items js left link links list"
+    " module outer panel right row section side slot text title top unit wrap wrapper zone".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 
 
+#: Whether an element's names say what it is for: not at all, beside other words, or with plain words only.
+NO, PARTLY, WHOLLY = range(3)
+
+
 class Block:
-    """A block element of a page."""
-    __slots__ = ("kind", "parent", "children", "aside", "landmark", "template", "chars", "path")
+    """A block element of a page; ``inside`` an article or main element, ``article`` in one of the former."""
+    __slots__ = ("kind", "parent", "children", "aside", "named", "landmark", "inside", "article", "template", "chars", "path")
 
-    def __init__(self, kind: str, parent: Block | None, aside: bool, landmark: bool):
+    def __init__(self, kind: str, parent: Block | None, aside: bool = False, landmark: bool = False, named: int = NO):
         self.kind, self.parent, self.children = kind, parent, []
-        self.aside, self.landmark, self.template, self.chars = aside, landmark, None, 0
+        self.aside, self.named, self.landmark, self.template, self.chars = aside, named, landmark, None, 0
+        tag = kind.split(" ")[0]
+        self.article = tag == "article" or parent is not None and parent.article
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.path = xxhash.xxh64_hexdigest((parent.path if parent else "") + " " + kind)
         if parent is not None:
             parent.children.append(self)
@@ -73,8 +84,8 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _apart(tag: str, attributes: dict[str, str], inside: bool, nested: bool = False) -> bool:
-    """Whether an element's purpose is not the article's text; inside a landmark, and nested in an article."""
+def _apart(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is not the article's text by its kind, role or style; inside a landmark or not."""
     if tag in NOT_ARTICLE or (tag == "header" and not inside):
         return True
     if not attributes:
@@ -83,18 +94,27 @@ def _apart(tag: str, attributes: dict[str, str], inside: bool, nested: bool = Fa
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "").lower()):
         return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
-    if tag in ("html", "body", "main") or tag == "article" and not nested:
-        return False
-    return any(NAMES.intersection(_NAME.findall(attributes.get(a, "").lower())) for a in ("class", "id"))
+    return attributes.get("role", "").lower() in ROLES
+
+
+def _named(tag: str, attributes: dict[str, str], nested: bool = False) -> int:
+    """What class and id say of an element; an article counts where it is nested in another."""
+    found = NO
+    if attributes and tag not in ("html", "body", "main") and (tag != "article" or nested):
+        for attribute in ("class", "id"):
+            words = set(_NAME.findall(attributes.get(attribute, "").lower()))
+            if words & NAMES:
+                found = max(found, WHOLLY if words <= NAMES | PLAIN else PARTLY)
+    return found
 
 
 def parse(page: str | None) -> tuple[Block, list[tuple[Block, str]]]:
     """The tree of blocks, and the texts with the block they stand in, in page order."""
-    root = Block("#", None, False, False)
+    root = Block("#", None)
     texts: list[tuple[Block, str]] = []
     stack: list[tuple[str, Block, bool]] = [("#", root, False)]  # open elements: tag, block, not text
+    opened: Counter = Counter()  # open elements by tag
+    depths = [0]  # where in the stack blocks are
     run: list[str] = []
     page = page or ""
     at = 0
@@ -107,8 +127,11 @@ def parse(page: str | None) -> tuple[Block, list[tuple[Block, str]]]:
             run.clear()
 
     def close(depth: int) -> None:
-        if any(tag in BLOCKS for tag, _, _ in stack[depth:]):
+        if depths[-1] >= depth:
             flush()
+        while depths[-1] >= depth:
+            depths.pop()
+        opened.subtract(tag for tag, _, _ in stack[depth:])
         del stack[depth:]
 
     while True:
@@ -122,16 +145,13 @@ def parse(page: str | None) -> tuple[Block, list[tuple[Block, str]]]:
         if not tag:
             continue
         if token[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if opened[tag] > 0:
+                close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth][0] == tag))
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             if not stack[-1][2]:
                 run.append(" ")
@@ -140,36 +160,31 @@ def parse(page: str | None) -> tuple[Block, list[tuple[Block, str]]]:
             if not stack[-1][2]:
                 run.append(" " if tag == "br" else "")
             continue
-        if tag == "body":
-            for depth in range(1, len(stack)):
-                if stack[depth][0] == "head":
-                    close(depth)
-                    break
+        if tag == "body" and opened["head"] > 0:
+            close(next(depth for depth in range(1, len(stack)) if stack[depth][0] == "head"))
         _, block, silent = stack[-1]
         if tag not in BLOCKS:
             attributes = _attributes(token[3]) if token[3] else {}
-            apart = tag in NOT_TEXT or _apart(tag, attributes, block.landmark)
+            apart = tag in NOT_TEXT or _apart(tag, attributes, block.landmark) or _named(tag, attributes) == WHOLLY
             if not token[3].endswith("/") or tag not in NOT_TEXT:
                 stack.append((tag, block, silent or apart))
+                opened[tag] += 1
             continue
         flush()
-        for depth in range(len(stack) - 1, 0, -1):
-            other = stack[depth][0]
-            if other == "p" or other in CLOSES.get(tag, ()):
-                close(depth)
-                break
-            if other in BLOCKS:
-                break
+        last = stack[depths[-1]][0]
+        if last == "p" or last in CLOSES.get(tag, ()):
+            close(depths[-1])
         if tag == "hr":
             continue
         _, block, silent = stack[-1]
         attributes = _attributes(token[3]) if token[3] else {}
         landmark = block.landmark or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
         names = " ".join(sorted(set(_NAME.findall(attributes.get("class", "").lower()))))
-        nested = tag == "article" and _in(block, "article")
-        aside = block.aside or _apart(tag, attributes, block.landmark, nested)
-        block = Block(f"{tag} {names}".strip(), block, aside, landmark)
+        aside = block.aside or _apart(tag, attributes, block.landmark)
+        block = Block(f"{tag} {names}".strip(), block, aside, landmark, _named(tag, attributes, block.article))
+        depths.append(len(stack))
         stack.append((tag, block, silent))
+        opened[tag] += 1
     flush()
     return root, texts
 
@@ -220,16 +235,11 @@ def digest(text: str) -> str:
     return format(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), "x")
 
 
-def folded(root: Block, texts: list[tuple[Block, str]]) -> Node:
-    """A page's tree with neighbours of one kind as one node; every text counts once per node."""
-    own: dict[int, list[str]] = {}
-    for block, text in texts:
-        own.setdefault(id(block), []).append(digest(text))
-
+def folded(root: Block) -> Node:
+    """A page's tree with neighbours of one kind as one node."""
     def fold(blocks: list[Block], depth: int) -> Node:
         node = Node(blocks[0].kind, 1)
         node.blocks = blocks
-        node.texts = dict.fromkeys((t for b in blocks for t in own.get(id(b), ())), 1)
         if depth < DEPTH:
             lots: list[list[Block]] = []
             for child in (c for b in blocks for c in b.children):
@@ -266,22 +276,9 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
     return 1 + score[n][m], matched[::-1]
 
 
-def _add(into: dict[str, int], texts: dict[str, int]) -> None:
-    """Merge two summaries of frequent texts; of texts that come one by one, one in more than 1 of TEXTS + 1 is kept."""
-    for text, n in texts.items():
-        into[text] = into.get(text, 0) + n
-    if len(into) > TEXTS:
-        less = sorted(into.values(), reverse=True)[TEXTS]
-        for text in [t for t, n in into.items() if n <= less]:
-            del into[text]
-        for text in into:
-            into[text] -= less
-
-
 def merge(template: Node, page: Node) -> None:
     """Align a tree with the template and count it in; nodes without a partner are put between."""
     template.pages += page.pages
-    _add(template.texts, page.texts)
     partner = {j: i for i, j in matching(template, page)[1]}
     out, at = [], 0
     for j, child in enumerate(page.children):
@@ -319,34 +316,44 @@ def mark(template: Node, page: Node) -> None:
 def main_text(page: str | None, template: Node | None) -> str:
     """The article's blocks, one to a line."""
     root, texts = parse(page)
-    texts = [(b, t) for b, t in texts if not b.aside]
-    inside = [(b, t) for b, t in texts if _in(b, "article", "main")]
     learned = template is not None and template.pages >= PAGES
     if learned:
-        mark(template, folded(root, texts))
+        mark(template, folded(root))
+    set_apart(root, template if learned else None)
+    texts = [(b, t) for b, t in texts if not b.aside]
+    inside = [(b, t) for b, t in texts if b.inside]
     if inside:
         # all landmarks of a page make its article, with what they hold but what is set apart
         return "\n".join(t for _, t in (_own(inside, template) if learned else inside))
     if learned:
         texts = [(b, t) for b, t in texts if _often(b, t, template) < CONSTANT * template.pages] or texts
-    slot = _slot(root, texts)
+    slot = {id(b) for b in _below(_slot(root, texts))}
+    return "\n".join(t for b, t in texts if id(b) in slot)
 
-    def within(block: Block | None) -> bool:
-        while block is not None:
-            if block is slot:
-                return True
-            block = block.parent
-        return False
-    return "\n".join(t for b, t in texts if within(b))
+
+def _below(block: Block) -> list[Block]:
+    """A block and all blocks in it, parents first."""
+    out = [block]
+    for b in out:
+        out += b.children
+    return out
 
 
-def _in(block: Block | None, *tags: str) -> bool:
-    """Whether a block is one of these elements or stands in one."""
-    while block is not None:
-        if block.kind.split(" ")[0] in tags:
-            return True
-        block = block.parent
-    return False
+def set_apart(root: Block, template: Node | None) -> None:
+    """Set blocks apart whose names say so, with all blocks in them.
+
+    A name counts if the template has the element: on ``PAGES`` pages where nothing but names and plain
+    words is said, on the share of pages that makes a text constant where other words are said too.
+    Where no template or none of its nodes can tell, only the former count.
+    """
+    for block in _below(root):
+        if block.parent is not None and block.parent.aside:
+            block.aside = True
+        elif block.named and template is not None and block.template is not None:
+            often = PAGES if block.named == WHOLLY else max(PAGES, CONSTANT * template.pages)
+            block.aside |= block.template.pages >= often
+        elif block.named == WHOLLY:
+            block.aside = True
 
 
 def _often(block: Block, text: str, template: Node) -> int:
@@ -376,9 +383,10 @@ def _place(block: Block) -> int:
 def _slot(root: Block, texts: list[tuple[Block, str]]) -> Block:
     """The deepest block that holds most of the varying text."""
     for block, text in texts:
-        while block is not None:
-            block.chars += len(text)
-            block = block.parent
+        block.chars += len(text)
+    for block in reversed(_below(root)):
+        if block.parent is not None:
+            block.parent.chars += block.chars
     slot = root
     while slot.children:
         best = max(slot.children, key=lambda c: c.chars)
@@ -417,7 +425,7 @@ def _learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known = {}
             template = known.setdefault(host, Node("#"))
             root, _ = parse(page.as_py())
-            merge(template, folded(root, []))
+            merge(template, folded(root))
             prune(template)
     yield _templates([(h, salt, n) for h, n in known.items()])
 
@@ -477,7 +485,7 @@ def count(pages: Iterable[str | None], template: Node) -> Iterator[tuple[str, st
     for page in pages:
         root, texts = parse(page)
         texts = [(b, t) for b, t in texts if not b.aside]
-        mark(template, folded(root, texts))
+        mark(template, folded(root))
         found = set()
         for block, text in texts:
             key = digest(text)
@@ -523,7 +531,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     that most pages of the host have at the same place are left out. Character references are
     decoded, white space within a block is one space, blocks are joined by line feeds. Null html is
     empty, an empty page has empty text; a page without a host is read without a template. Rows
-    with null or repeated ids are kept; further columns are ignored.
+    with null or repeated ids are kept; further columns are ignored. Time is in proportion to a page's
+    length, however deep or broken its elements are; a template knows ``DEPTH`` levels of them.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
