@@ -65,8 +65,10 @@ def test_pipeline(spark, sf_dir):
 
 def test_language_stage_drops_noise(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # noise with a language's label would teach that it is that language
     scrambled = F.array_join(F.shuffle(F.split(F.substring("text", 1, 2000), ""), 5), "")
-    noise = docs.where("doc_id % 3 = 0 and length(text) > 100").withColumn("text", scrambled).withColumn("doc_id", -F.col("doc_id") - 1)
+    noise = docs.where("doc_id % 3 = 0 and length(text) > 100").withColumn("text", scrambled).withColumn("doc_id", -F.col("doc_id") - 1) \
+        .withColumn("lang", F.lit(None).cast("string"))
     kept = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(noise), sf_dir).collect()]
     lettered = docs.where(F.col("text").rlike(r"\p{L}")).count()
     assert noise.count() > 40 and sum(k < 0 for k in kept) <= 1
