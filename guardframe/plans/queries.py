@@ -456,7 +456,14 @@ def blocked_total(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------------
 
 def _stream(spark, sf_dir, name):
+    """A table as a stream: the files of its folder or, where it is one file, that file.
+
+    A source lists folders only, and a name pattern holds for the files in them, not for the folder's own name.
+    """
     schema = table(spark, sf_dir, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return jobs.read_stream(spark, f"{sf_dir}/{name}.parquet", schema)
     return jobs.read_stream(spark, sf_dir, schema, f"{name}.parquet")
 
 

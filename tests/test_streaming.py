@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from guardframe.operators.audit import audit, violations
 from guardframe.plans import inputs
+from guardframe.plans.queries import QUERIES
 from guardframe.sources.scratch import scratch_path
 from guardframe.streaming import jobs
 
@@ -50,3 +52,18 @@ def test_counters_run_over_batches(spark, sf_dir):
     # moderation requests are screenings, not processed queries
     assert total == inputs.table(spark, sf_dir, "events").where("event_id % 17 <> 9").count()
     assert spark.read.parquet(f"{out}/n").where(F.col("name") == "processed").count() == 3
+
+
+@pytest.mark.parametrize("name", ["stream_screen", "stream_audit", "stream_counters", "live_counters", "stream_rolling100",
+                                  "stream_violations_once"])
+def test_tables_in_several_files_are_streamed(spark, sf_dir, tmp_path, name):
+    for given in ("documents", "events"):
+        rows = inputs.table(spark, sf_dir, given)
+        rows.repartition(3).write.parquet(f"{tmp_path}/{given}.parquet")
+    want = _rows(QUERIES[name](spark, sf_dir))
+    assert want and _rows(QUERIES[name](spark, str(tmp_path))) == want
+
+
+def test_partitioned_tables_are_streamed(spark, sf_dir, tmp_path):
+    inputs.table(spark, sf_dir, "documents").write.partitionBy("lang").parquet(f"{tmp_path}/documents.parquet")
+    assert _rows(QUERIES["stream_screen"](spark, str(tmp_path))) == _rows(QUERIES["stream_screen"](spark, sf_dir))
