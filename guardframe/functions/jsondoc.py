@@ -125,13 +125,17 @@ def prohibited_operator(text: Column, canonical: Column) -> Column:
     return F.when(canonical.rlike(_OPERATOR_KEY), F.get(found, F.lit(0)))
 
 
-# One token of JSON text: a sign, a string, or another scalar. ``NaN`` and infinities pass as scalars.
+_TEXT = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_BLANK = r"[ \t\n\r]*+"
+# A key with its colon, and one token of JSON text: an opening sign; or a closing one, a string or
+# another scalar, with the comma behind it. ``NaN`` and infinities pass as scalars.
+_MEMBER = re.compile(rf"{_BLANK}({_TEXT}){_BLANK}:")
 _TOKEN = re.compile(
-    r'[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
-    r'|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity))')
+    rf"{_BLANK}(?:([{{\[])|(?:([}}\]])|({_TEXT})|"
+    rf"(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)){_BLANK}(,?+))")
 _MASKED = f'"{SECRET_MASK}"'
 # what a token may be at each place of a document
-_VALUE_AT, _FIRST_ITEM, _KEY_AT, _FIRST_KEY, _COLON, _AFTER, _END = range(7)
+_VALUE_AT, _FIRST_ITEM, _KEY_AT, _FIRST_KEY, _AFTER, _END = range(6)
 
 
 def _read_string(literal: str) -> str:
@@ -154,63 +158,89 @@ def segments(text: str) -> list[tuple[str, str | None]] | None:
     kept = at = 0
     place, secret, hidden = _VALUE_AT, False, None
     while place != _END:
+        if place in (_KEY_AT, _FIRST_KEY) and (key := _MEMBER.match(text, at)):
+            secret, at, place = is_sensitive_key(_read_string(key[1])), key.end(), _VALUE_AT
+            continue
         token = _TOKEN.match(text, at)
         if token is None:
             return None
-        at, start = token.end(), token.start(token.lastindex)
-        sign, literal = token[1], token[2]
-        if place in (_KEY_AT, _FIRST_KEY) and literal:
-            secret, place = is_sensitive_key(_read_string(literal)), _COLON
-            continue
-        if place == _COLON and sign == ":":
-            place = _VALUE_AT
-            continue
-        if place == _AFTER and sign == ",":
-            place = _KEY_AT if shut[-1] == "}" else _VALUE_AT
-            continue
-        if place in (_VALUE_AT, _FIRST_ITEM) and (sign is None or sign in "{["):
+        at = token.end()
+        opening, closing, literal, scalar, comma = token.groups()
+        if closing:
+            if not (shut and closing == shut[-1] and place in (_AFTER, _FIRST_KEY if closing == "}" else _FIRST_ITEM)):
+                return None
+            shut.pop()
+            end = token.end(2)
+        elif place in (_VALUE_AT, _FIRST_ITEM):
+            start, end = token.span(1 if opening else 3 if literal else 4)
             if secret and hidden is None:
                 hidden = len(shut)
                 out.append((text[kept:start], None))
             secret = False
-            if sign:
-                shut.append("}" if sign == "{" else "]")
-                place = _FIRST_KEY if sign == "{" else _FIRST_ITEM
+            if opening:
+                shut.append("}" if opening == "{" else "]")
+                place = _FIRST_KEY if opening == "{" else _FIRST_ITEM
                 continue
             if literal and hidden is None:
                 out += [(text[kept:start], None), (literal, _read_string(literal))]
-                kept = at
-        elif shut and sign == shut[-1] and place in (_AFTER, _FIRST_KEY if sign == "}" else _FIRST_ITEM):
-            shut.pop()
+                kept = end
         else:
             return None
         # a value is complete
         if hidden == len(shut):
             out.append((_MASKED, None))
-            kept, hidden = at, None
-        place = _AFTER if shut else _END
+            kept, hidden = end, None
+        if not comma:
+            place = _AFTER if shut else _END
+        elif shut:
+            place = _KEY_AT if shut[-1] == "}" else _VALUE_AT
+        else:
+            return None
     rest = text[at:]
     return None if rest.strip(" \t\n\r") else [*out, (text[kept:], None)]
 
 
-def _pieces(text: str | None) -> list[dict] | None:
-    if text is None:
-        return None
-    found = segments(text)
+# what a mask can change; of the digits of other scripts Python knows all that Java does
+_MAY_CHANGE = re.compile(r"@|\d(?:[-.()\s]*+\d){8}")
+# Values are joined by a sign that no pattern takes for a digit, letter, blank or mask sign, so a
+# match never spans two of them. Where a value holds the sign, two others stand for it.
+_ESCAPE = "\x02"
+
+
+def _parts(text: str | None, strings: bool) -> tuple[str | None, str | None, str | None]:
+    """A document cut at the string values that a mask may change: (rest, literals, values).
+
+    Each is joined by a sign that valid JSON text cannot hold. Without such values, ``rest`` is the
+    whole document. Text that is no document is one value and has no rest.
+    """
+    found = None if text is None else segments(text)
     if found is None:
-        # what begins like a document but cannot be read may hold secrets anywhere
-        whole = text.lstrip(" \t\n\r\ufeff").startswith(("{", "["))
-        return [{"raw": SECRET_MASK if whole else text, "value": None if whole else text, "quoted": False}]
-    return [{"raw": raw, "value": value, "quoted": True} for raw, value in found]
+        if text is not None and text.lstrip(" \t\n\r\ufeff").startswith(("{", "[")):
+            # what begins like a document but cannot be read may hold secrets anywhere
+            return SECRET_MASK, None, None
+        return None, None, text if strings else None
+    rest, literals, values = [], [], []
+    for raw, value in found:
+        if strings and value is not None and _MAY_CHANGE.search(value):
+            literals.append(raw)
+            values.append(value.replace(_ESCAPE, _ESCAPE + "#").replace(_BETWEEN, _ESCAPE + "!"))
+            rest.append(_BETWEEN)
+        else:
+            rest.append(raw)
+    if not values:
+        return "".join(rest), None, None
+    return "".join(rest), _BETWEEN.join(literals), _BETWEEN.join(values)
 
 
-_PIECE = T.StructType([
-    T.StructField("raw", T.StringType()), T.StructField("value", T.StringType()), T.StructField("quoted", T.BooleanType())])
+_PARTS = ["rest", "literals", "values"]
 
 
-@F.pandas_udf(T.ArrayType(_PIECE))
-def _pieces_of(texts: pd.Series) -> pd.Series:
-    return texts.map(_pieces)
+def _parts_of(strings: bool):
+    @F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in _PARTS]))
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_parts(text, strings) for text in texts], columns=_PARTS, dtype=object)
+
+    return parts
 
 
 def redact_json(text: Column | str, strings: bool = True) -> Column:
@@ -219,27 +249,30 @@ def redact_json(text: Column | str, strings: bool = True) -> Column:
     Only string values that a mask changes and the values of secret keys are replaced; all other
     bytes stay. Text that is not JSON is redacted as text, or masked whole if it begins like a
     document. Secret keys may hold values of any shape, which no expression can walk without a
-    schema, so Python cuts the text into pieces, where something in it asks for that; the masks are
-    the same expressions as everywhere. ``strings=False`` masks secret keys only.
+    schema, so Python cuts the values that a mask may change out of the text, where something in it
+    asks for that; the masks are the same expressions as everywhere, and run once over all values
+    of a document. ``strings=False`` masks secret keys only.
     """
     text = F.col(text) if isinstance(text, str) else text
     secret = F.lower(text).rlike("|".join(map(re.escape, SENSITIVE_KEYS)))
     asks = secret | text.contains("\\")
     if strings:
         asks = asks | text.contains("@") | text.rlike(NINE_DIGITS)
-    pieces = _pieces_of(F.when(asks, text))
-
-    def with_mask(piece: Column) -> Column:
-        return F.struct(piece["raw"].alias("raw"), piece["value"].alias("value"), piece["quoted"].alias("quoted"),
-                        redact(piece["value"]).alias("clean"))
-
-    def written(piece: Column) -> Column:
-        again = F.to_json(F.struct(piece["clean"].alias("v")))
-        quoted = F.substring(again, F.lit(6), F.length(again) - 6)
-        return F.when(piece["clean"].eqNullSafe(piece["value"]), piece["raw"]).when(piece["quoted"], quoted).otherwise(piece["clean"])
-
-    if strings:
-        joined = F.array_join(F.transform(F.transform(pieces, with_mask), written), "")
-    else:
-        joined = F.array_join(F.transform(pieces, lambda piece: piece["raw"]), "")
-    return F.when(asks, joined).otherwise(text)
+    parts = _parts_of(strings)(F.when(asks, text))
+    rest, literals, values = (parts[name] for name in _PARTS)
+    clean = redact(values)
+
+    def pieces(joined: Column) -> Column:
+        return F.split(joined, _BETWEEN)
+
+    def quoted(value: Column) -> Column:
+        value = F.replace(value, F.lit(_ESCAPE + "!"), F.lit(_BETWEEN))
+        again = F.to_json(F.struct(F.replace(value, F.lit(_ESCAPE + "#"), F.lit(_ESCAPE)).alias("v")))
+        return F.substring(again, F.lit(6), F.length(again) - 6)
+
+    # a value that no mask changes keeps its literal
+    changed = F.zip_with(pieces(values), pieces(clean), lambda was, now: F.when(was != now, quoted(now)))
+    written = F.zip_with(changed, pieces(literals), lambda now, literal: F.coalesce(now, literal))
+    filled = F.zip_with(pieces(rest), written, lambda raw, value: F.concat(raw, F.coalesce(value, F.lit(""))))
+    whole = F.when(rest.isNull(), clean).when(values.isNull(), rest).otherwise(F.array_join(filled, ""))
+    return F.coalesce(whole, text)

@@ -175,6 +175,15 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of short rows that are heavy to work on, dealt to as many tasks as a shuffle has.
+
+    Many such rows fit a file so small that its scan is one task.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, name).repartition(tasks)
+
+
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()])
 
@@ -193,7 +202,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People as nested documents with secrets at several depths."""
-    return people(spark, sf_dir).select(
+    return derive(dealt_table(spark, sf_dir, "customer"), PEOPLE).select(
         "_id", "account_balance", "password_hash",
         F.struct("email", "phone", F.col("user_id").alias("API_Token")).alias("contact"),
         F.array("credit_card", "ssn").alias("cards"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from guardframe.functions import jsondoc, pii
 from guardframe.operators import redaction
-from guardframe.plans import oracle
+from guardframe.plans import inputs, oracle, queries
 
 LITERALS = [
     ("bwayne@wayneenterprises.com", "b***e@wayneenterprises.com"),
@@ -200,3 +200,28 @@ def test_variant_columns(spark):
     df = spark.createDataFrame([('{"token": 1, "mail": "jo@x.org"}',)], "d string")
     doc = redaction.redact_document(df.select(F.parse_json("d").alias("v")))
     assert json.loads(doc.select(F.to_json("v")).first()[0]) == {"mail": "j***o@x.org", "token": "********"}
+
+
+def test_values_of_a_document_are_masked_apart(spark):
+    rnd = random.Random(8)
+    signs = "0123456789" * 2 + "  --..()+@@ab_!#%\x01\x02\x1f\"\\\né٤"
+    docs = [["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(0, 6))]
+            for _ in range(2000)]
+    docs += [["40855", "57834"], ["jo@x.org", "b@y.org", "902-88", "-1122"], ["\x01jo@x.org\x02!", "408-555-7834\x02#", "\x01"]]
+    df = spark.createDataFrame([(json.dumps(d, ensure_ascii=rnd.random() < 0.5), d) for d in docs], "t string, d array<string>")
+    texts = df.select(jsondoc.redact_json("t").alias("got"), jsondoc.redact_json("t", strings=False).alias("keys"), "t",
+                      F.transform("d", pii.redact).alias("want")).collect()
+    assert all(json.loads(r.got) == r.want and r.keys == r.t for r in texts)
+
+
+def test_signs_that_python_and_spark_take_for_digits_and_blanks(spark):
+    every = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    nine = every.select("c", F.explode(F.array(F.repeat("c", 9), F.concat(F.lit("1234"), "c", F.lit("56789")))).alias("t"))
+    texts = [r.t for r in nine.where(F.col("t").rlike(pii.NINE_DIGITS)).select("t").collect()]
+    assert len(texts) > 600 and all(jsondoc._MAY_CHANGE.search(t) for t in texts)
+
+
+def test_many_short_rows_in_one_file_are_several_tasks(spark, sf_dir, tmp_path):
+    inputs.table(spark, sf_dir, "customer").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = queries.redact_json(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
+    assert tasks >= 8
