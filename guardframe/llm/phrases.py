@@ -6,12 +6,17 @@ filter lets through and whose parts it lets through too: by the Apriori rule the
 frequent phrase. They are dealt to tries of bounded size, two levels per word, which are broadcast.
 The third pass moves the states of all positions of a text through a trie, level by level, and
 counts the accepting states; the counts of all tasks are summed.
+
+A text meets every trie of its language, and tries grow in number with the texts. Where they would be
+more than can travel at once, the second pass is the last: it writes down with every sequence how
+often a task has met it, and the sums by sequence are the counts. Every text is then read twice, at any size.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,12 @@ from guardframe.sources.scratch import materialize
 BITS = 29
 #: Least number of parts of the filter; sessions with many shuffle partitions have four times as many parts.
 GROUPS = 4096
-#: Phrases of a trie, tries that are broadcast at a time, and neighbouring phrases whose counts are summed together.
-TRIE, AT_ONCE, RANGE = 1 << 17, 16, 1 << 13
+#: Phrases of a trie, tries whose phrases are broadcast at a time, and neighbouring phrases whose counts are summed together.
+TRIE, AT_ONCE, RANGE = 1 << 17, 4, 1 << 13
 #: Bytes of text and hashes that a task works on at a time, and words and hashes of phrases that it remembers.
 CHUNK, GATHER, REMEMBER, TOLD = 1 << 20, 2_500_000, 150_000, 2_000_000
+#: Phrases, and bytes of them, that a task sums up before it hands them on.
+HELD, HELD_BYTES = 500_000, 1 << 25
 #: Least share of a phrase's occurrences, in percent, that a longer one must have to take its place.
 COVERED = 50
 
@@ -170,8 +177,8 @@ def _count_hashes(most: int, least: int, groups: int):
 
 
 def _frequent(least: int, groups: int, bits: int):
-    """Parts of the filter: bits of the keys that were counted often enough."""
-    schema = pa.schema([("part", pa.int32()), ("held", pa.binary())])
+    """Parts of the filter: bits of the keys that were counted often enough, and the number of these keys."""
+    schema = pa.schema([("part", pa.int32()), ("held", pa.binary()), ("n", pa.int64())])
     size = (1 << bits) // groups
     kind = "<u1" if least < 256 else "<u4"
 
@@ -181,7 +188,8 @@ def _frequent(least: int, groups: int, bits: int):
         table = np.zeros(size, bool)
         table[_places(kept, size).ravel()] = True
         packed = [zlib.compress(np.packbits(table).tobytes(), 1)] if len(kept) else []
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(packed), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(packed), pa.int32()), pa.array(packed, pa.binary()),
+                                           pa.array([len(kept)] * len(packed), pa.int64())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, []
@@ -212,31 +220,146 @@ class Filter:
         return ((self.table[(keys >> np.uint64(32)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
+def _passing(held: Filter, hashed: Hashed, lang: str, words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every length from 1 on: (first places, hashes) of the sequences that may be frequent, and whose parts may be."""
+    before = None
+    for places, hashes in hashed(lang, words, most):
+        if before is not None:  # both parts that are a word shorter
+            on = before[places] & before[places + 1]
+            places, hashes = places[on], hashes[on]
+        passed = held.among(hashes)
+        places, hashes = places[passed], hashes[passed]
+        before = np.zeros(len(words) + 1, bool)
+        before[places] = True
+        yield places, hashes
+
+
 def _candidates(filter, groups: int, bits: int, most: int):
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hashed, told = Filter(filter.value, groups, bits), Hashed(), np.zeros(0, np.uint64)
         for lang, words in chunks(_rows(batches)):
-            found, told_now, before = [], [], None
-            for length, (places, hashes) in enumerate(hashed(lang, words, most), 1):
-                passed = held.among(hashes)
-                if before is not None:  # both parts that are a word shorter
-                    passed &= before[places] & before[places + 1]
-                before = np.zeros(len(words) + 1, bool)
-                before[places[passed]] = True
-                once, at = np.unique(hashes[passed], return_index=True)
+            found, told_now = [], []
+            for length, (places, hashes) in enumerate(_passing(held, hashed, lang, words, most), 1):
+                once, at = np.unique(hashes, return_index=True)
                 if len(told):
                     new = told[np.minimum(np.searchsorted(told, once), len(told) - 1)] != once
                     once, at = once[new], at[new]
                 told_now.append(once)
-                found += [b" ".join(words[i:i + length]).decode() for i in places[passed][at].tolist()]
+                found += [b" ".join(words[i:i + length]).decode() for i in places[at].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], schema=schema)
             # what is forgotten is told again, which does no harm
             told = np.sort(np.concatenate([told if len(told) < TOLD else told[:0], *told_now]))
     return run
 
 
+class Tally:
+    """Times of the phrases that a task has met, told apart by the hashes of language and words."""
+
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("times", pa.binary())])
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        # hashes in order with the numbers of their phrases, which count in the order of arrival
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.times, self.texts, self.size = np.zeros(0, np.int64), [], 0
+        self.langs: list[tuple[str, int]] = []
+
+    def add(self, lang: str, words: list[bytes], found: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Count the sequences of a chunk, which come as first places and hashes for every length."""
+        places, hashes = zip(*found)
+        lengths = np.repeat(np.arange(1, len(places) + 1), list(map(len, places)))
+        places, hashes = np.concatenate(places), np.concatenate(hashes)
+        if not len(hashes):
+            return
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        times = np.diff(firsts, append=len(hashes))
+        once, at = hashes[firsts], order[firsts]
+        slots = np.searchsorted(self.hashes, once)
+        known = np.zeros(len(once), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(slots, len(self.hashes) - 1)] == once
+        self.times[self.numbers[slots[known]]] += times[known]
+        new = ~known
+        texts = [b" ".join(words[i:i + n]) for i, n in zip(places[at[new]].tolist(), lengths[at[new]].tolist())]
+        self.hashes = np.insert(self.hashes, slots[new], once[new])
+        self.numbers = np.insert(self.numbers, slots[new], len(self.texts) + np.arange(len(texts)))
+        self.times = np.concatenate([self.times, times[new]])
+        self.texts += texts
+        self.size += sum(map(len, texts))
+        self.langs.append((lang, len(texts)))
+
+    def close(self, groups: int) -> pa.RecordBatch:
+        """Phrases and times by part and language; forgets them."""
+        hashes = np.zeros(len(self.texts), np.uint64)
+        hashes[self.numbers] = self.hashes
+        parts = (hashes & np.uint64(groups - 1)).astype(np.int64)
+        codes = {lang: i for i, lang in enumerate(dict(self.langs))}
+        langs = np.repeat([codes[lang] for lang, _ in self.langs], [n for _, n in self.langs])
+        keys = parts * len(codes) + langs
+        order = np.argsort(keys)
+        keys, times = keys[order], self.times[order].astype("<i8")
+        texts = [self.texts[i] for i in order.tolist()]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        names, spans = list(codes), list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]))
+        self.forget()
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys[starts] // len(names), pa.int32()), pa.array([names[i] for i in (keys[starts] % len(names)).tolist()], pa.string()),
+            # no word holds a line break
+            pa.array([b"\n".join(texts[a:b]) for a, b in spans], pa.binary()),
+            pa.array([times[a:b].tobytes() for a, b in spans], pa.binary())], schema=self.schema)
+
+
+def _tell(filter, groups: int, bits: int, most: int):
+    """Candidates of a task with the times they were met; under the empty phrase, a language's words."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashed, tally, totals = Filter(filter.value, groups, bits), Hashed(), Tally(), {}
+        for lang, words in chunks(_rows(batches)):
+            totals[lang] = totals.get(lang, 0) + len(words) - words.count(b".")
+            tally.add(lang, words, _passing(held, hashed, lang, words, most))
+            if len(tally.texts) >= HELD or tally.size >= HELD_BYTES:
+                yield tally.close(groups)
+        if tally.texts:
+            yield tally.close(groups)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([zlib.crc32(lang.encode()) & (groups - 1) for lang in totals], pa.int32()), pa.array(list(totals), pa.string()),
+            pa.array([b""] * len(totals), pa.binary()),
+            pa.array([np.array([n], "<i8").tobytes() for n in totals.values()], pa.binary())], schema=Tally.schema)
+    return run
+
+
+def _add(least: int):
+    """Phrases told often enough, and a language's words, from tallies whose parts and languages follow each other."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+    def kept(name: list, sums: dict[bytes, int]) -> list[tuple[str, str, int]]:
+        return [(name[1], p.decode(), f) for p, f in sums.items() if f >= least or not p]
+
+    def send(found: list[tuple[str, str, int]]) -> pa.RecordBatch:
+        columns = list(zip(*found)) if found else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, found = None, {}, []
+        for batch in batches:
+            for *name, phrases, times in zip(*(batch.column(n).to_pylist() for n in ("part", "lang", "phrases", "times"))):
+                if name != now:
+                    found += kept(now, sums)
+                    now, sums = name, {}
+                    if len(found) >= 10_000:
+                        yield send(found)
+                        found = []
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(times, "<i8").tolist()):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        yield send(found + kept(now, sums))
+    return run
+
+
 class Trie:
     """A double array: from state s, digit d leads to ``base[s] + d`` if ``check`` there is s.
 
@@ -424,16 +547,21 @@ def phrase_counts(texts: DataFrame, most: int, least: int, *, bits: int = BITS,
                   at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of 1 to ``most`` words, (lang, phrase, f), and all words by language, (lang, n).
 
-    ``texts`` has lang and binary text. Tries hold about ``trie`` phrases each; for more than ``at_once`` of
-    them the texts are read again.
+    ``texts`` has lang and binary text. Tries hold about ``trie`` phrases each; more phrases than ``at_once`` of
+    them hold are summed up without tries.
     """
     spark = texts.sparkSession
     groups = max(GROUPS, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     groups = min(groups, (1 << bits) // 64)
     hashes = texts.mapInArrow(_count_hashes(most, least, groups), "part int, keys binary, times binary")
     kept = hashes.repartition("part").sortWithinPartitions("part").mapInArrow(
-        _frequent(least, groups, bits), "part int, held binary")
-    passed = spark.sparkContext.broadcast({r["part"]: r["held"] for r in kept.collect()})  # 2 ** bits / 8 bytes at most
+        _frequent(least, groups, bits), "part int, held binary, n long").collect()
+    passed = spark.sparkContext.broadcast({r["part"]: r["held"] for r in kept})  # 2 ** bits / 8 bytes at most
+    if sum(r["n"] for r in kept) > trie * at_once:
+        told = texts.mapInArrow(_tell(passed, groups, bits, most), "part int, lang string, phrases binary, times binary")
+        sums = materialize(told.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(
+            _add(least), "lang string, phrase string, f long"), "phrases")
+        return sums.where("phrase <> ''"), sums.where("phrase = ''").select("lang", F.col("f").alias("n"))
     candidates = materialize(texts.mapInArrow(
         _candidates(passed, groups, bits, most), "lang string, phrase string").distinct(), "candidates")
     shards = candidates.groupBy("lang").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / trie).cast("int"))
@@ -442,15 +570,17 @@ def phrase_counts(texts: DataFrame, most: int, least: int, *, bits: int = BITS,
     tries = materialize(dealt.repartition("lang", "shard").sortWithinPartitions("lang", "shard", "phrase").mapInArrow(
         _build, "lang string, shard int, radix int, n int, alphabet binary, base binary, check binary, value binary, phrases array<string>"),
         "tries")
-    names = tries.select("lang", "shard").orderBy("lang", "shard").collect()  # one for every ``trie`` phrases
+    names = tries.select("lang", "shard", "n").orderBy("lang", "shard").collect()  # one for every ``trie`` phrases and language
+    together: dict[int, list[tuple[str, int]]] = {}  # one round, unless the filter was too full
+    for r, upto in zip(names, accumulate(r["n"] for r in names)):
+        together.setdefault((upto - 1) // (trie * at_once), []).append((r["lang"], r["shard"]))
     rounds = []
-    for at in range(0, len(names), at_once):
-        some = F.lit(False)
-        for r in names[at:at + at_once]:
-            some = some | ((F.col("lang") == r["lang"]) & (F.col("shard") == r["shard"]))
-        held = spark.sparkContext.broadcast([tuple(r) for r in tries.where(some).drop("phrases").collect()])
+    for some in together.values():
+        own = F.broadcast(spark.createDataFrame(some, "lang string, shard int"))
+        held = spark.sparkContext.broadcast([tuple(r) for r in tries.drop("phrases").join(
+            own, ["lang", "shard"], "left_semi").collect()])
         rounds.append(materialize(texts.mapInArrow(
-            _count(held, most, at == 0), "lang string, shard int, range int, numbers binary, times binary, words long"), "counts"))
+            _count(held, most, not rounds), "lang string, shard int, range int, numbers binary, times binary, words long"), "counts"))
         held.unpersist()
     if not rounds:
         return spark.createDataFrame([], "lang string, phrase string, f long"), spark.createDataFrame([], "lang string, n long")

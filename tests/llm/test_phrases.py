@@ -1,9 +1,11 @@
 import random
 import re
+import types
 from collections import Counter
 
 import edge
 import numpy as np
+import pyarrow as pa
 
 from guardframe.llm import phrases as ph
 from guardframe.llm.phrases import collocations
@@ -118,6 +120,71 @@ def test_trie_counts_and_forgets():
     assert {tuple(p.encode().split(b" ")): n for p, n in zip(phrases, counts.tolist()) if n} == dict(wanted)
 
 
+def counted(rows, most, least):
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, " ".join(w[i:i + k])) for k in range(1, most + 1) for i in range(len(w) - k + 1))
+    return {(lang, p): a for (lang, p), a in f.items() if a >= least}, {lang: a for lang, a in n.items() if a}
+
+
+def test_texts_are_read_twice_however_many_tries_there_would_be(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "de", "a\nb"]), t) for t in texts(rng, 300, [f"w{k}" for k in range(25)] + ["É", "the"])]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(lang, t.encode()) for lang, t in rows], "lang string, text binary").repartition(4)
+    counts, totals = ph.phrase_counts(docs.mapInArrow(seen, docs.schema), 3, 4, trie=15, at_once=2)
+    phrases, words = counted(rows, 3, 4)
+    assert len(phrases) > 10 * 15 * 2  # more than ten rounds of tries
+    assert sorted(map(tuple, counts.collect())) == sorted((*p, a) for p, a in phrases.items())
+    assert sorted(map(tuple, totals.collect())) == sorted(words.items())
+    assert reads.value == 2 * len(rows)
+
+
+def test_few_phrases_of_many_languages_travel_together(spark):
+    rows = [(f"l{k:02d}", "one two three. " * 5) for k in range(12)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(lang, t.encode()) for lang, t in rows], "lang string, text binary").repartition(2)
+    counts, totals = ph.phrase_counts(docs.mapInArrow(seen, docs.schema), 3, 4, trie=100, at_once=2)
+    phrases, words = counted(rows, 3, 4)
+    assert sorted(map(tuple, counts.collect())) == sorted((*p, a) for p, a in phrases.items())
+    assert sorted(map(tuple, totals.collect())) == sorted(words.items())
+    assert reads.value == 3 * len(rows)
+
+
+def test_tallies_are_handed_on(monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), t) for t in texts(rng, 80, [f"v{k}" for k in range(20)] + ["É", "x" * 300])]
+    batches = [pa.RecordBatch.from_pydict({"lang": [r[0]], "text": [r[1].encode()]}) for r in rows]
+    in_order = lambda told, *names: pa.Table.from_batches(told).sort_by([(n, "ascending") for n in names]).combine_chunks().to_batches()
+    monkeypatch.setattr(ph, "chunks", lambda given, cut=ph.chunks: cut(given, 500))
+    kept = ph._frequent(3, 16, 12)(in_order(ph._count_hashes(3, 3, 16)(batches), "part"))
+    passed = types.SimpleNamespace(value={r["part"]: r["held"] for b in kept for r in b.to_pylist()})
+    for held, size in ((1 << 20, 1 << 20), (50, 1 << 20), (1 << 20, 1000)):
+        monkeypatch.setattr(ph, "HELD", held)
+        monkeypatch.setattr(ph, "HELD_BYTES", size)
+        told = list(ph._tell(passed, 16, 12, 3)(batches))
+        assert (len(told) > 2) == (min(held, size) < 1 << 20)
+        got = [tuple(r.values()) for b in ph._add(3)(in_order(told, "part", "lang")) for r in b.to_pylist()]
+        phrases, words = counted(rows, 3, 3)
+        assert len(got) == len(phrases) + len(words)
+        assert {(lang, p): f for lang, p, f in got} == {**phrases, **{(lang, ""): n for lang, n in words.items()}}
+
+
 def test_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
